@@ -161,3 +161,26 @@ def slices(table: pa.RecordBatch, column: str, most: int = 8 << 20):
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
         yield table.slice(i, j - i)
         i = j
+
+
+def annotated(docs: DataFrame, column: str, made, name: str, kind: str) -> DataFrame:
+    """docs with all columns as they are and one more at the end: made(batch, texts) gives its values (or an Arrow array) for a slice of rows; texts are the column's, null as empty."""
+    held = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(held))])
+    at = held.index(column)
+
+    def run(batches):
+        for whole in batches:
+            text = whole.column(at)
+            text = text.fill_null("") if text.null_count else text
+            filled = pa.RecordBatch.from_arrays([text, pa.array(np.arange(whole.num_rows))], names=["text", "row"])
+            for part in slices(filled, "text"):
+                if part.num_rows:
+                    rows = whole.slice(part.column(1)[0].as_py(), part.num_rows)
+                    new = made(rows, part.column(0))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, new if isinstance(new, pa.Array) else pa.array(new)], names=[*rows.schema.names, "_new"])
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*plain.schema.fields, T.StructField("_new", T._parse_datatype_string(kind))])
+    return plain.mapInArrow(run, schema).toDF(*held, name)

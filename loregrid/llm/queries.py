@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, language, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,28 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("content_hash")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op6_exact_dedup)}
+def _held_out(doc_id):
+    return F.crc32(doc_id.cast("string")) % 3 == 1
+
+
+def _learns(doc_id):
+    return ~_held_out(doc_id)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trees = quality.fit(docs, _table(spark, sf_dir, "labels"), learns=_learns)
+    rows = quality.scored(docs.select("doc_id", "text"), trees)
+    return rows.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = language.predicted(docs.select("doc_id", "text"), language.fit(docs, learns=_learns))
+    return rows.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_quality, op6_exact_dedup, op10_language)}
 
 #: The white space that is deleted before comparison.
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
