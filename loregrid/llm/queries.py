@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, packing, quality, topk, warc
+from . import bpe, exact_dedup, jaccard, language, packing, quality, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.clusters(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -60,7 +64,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_quality, op5_top_k, op6_exact_dedup, op8_warc, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_quality, op4_jaccard, op5_top_k, op6_exact_dedup, op8_warc, op10_language)}
 
 #: The white space that is deleted before comparison.
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
