@@ -115,7 +115,10 @@ def fit(docs: DataFrame, most_rows: int = 6_000, learns=None, centroids: int = 4
         rows = rows.where(learns(F.col("doc_id")))
     known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(400).count()
     each = max(50, most_rows // max(1, known))
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= each)
+    order = (F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt"))  # a language may have most rows: it is cut down in parts first
+    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("n") <= each)
+    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= each)
     ids = ids.select("doc_id", "lang").distinct().limit(400 * 50 + most_rows)
     chosen = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")  # at most each * languages ids are broadcast
     got = sorted((r.lang, bytes(r.x)) for r in chosen.mapInArrow(_count, "lang string, x binary").collect())
