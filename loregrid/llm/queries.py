@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, language, packing, quality, topk, warc
+from . import bpe, exact_dedup, jaccard, language, packing, quality, suffix_dedup, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.removed(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    gone = F.aggregate("cut.spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return rows.select("doc_id", (F.octet_length("cut.kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("cut.spans").cast("long").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,7 +70,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_quality, op4_jaccard, op5_top_k, op6_exact_dedup, op8_warc, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_quality, op4_jaccard, op5_top_k, op6_exact_dedup, op7_suffix_dedup, op8_warc, op10_language)}
 
 #: The white space that is deleted before comparison.
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
