@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, language, packing, quality, suffix_dedup, topk, warc
+from . import bpe, exact_dedup, jaccard, language, lmscore, packing, quality, suffix_dedup, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,13 +64,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lmscore.scored(docs, lmscore.fit(docs))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows = language.predicted(docs.select("doc_id", "text"), language.fit(docs, learns=_learns))
     return rows.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_quality, op4_jaccard, op5_top_k, op6_exact_dedup, op7_suffix_dedup, op8_warc, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_quality, op4_jaccard, op5_top_k, op6_exact_dedup, op7_suffix_dedup, op8_warc, op9_lm_score, op10_language)}
 
 #: The white space that is deleted before comparison.
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
