@@ -1,15 +1,93 @@
-"""Cleaning and packing a corpus."""
+"""Cleaning and packing a corpus: each stage applies one operator to what the stage before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of docs, in their order, extra ones included.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loregrid.llm import exact_dedup, jaccard, packing, quality, suffix_dedup
+from loregrid.llm.common import pick, stored
+
+#: Rows (some 50 bytes each) that may be broadcast; beyond, they are joined by an exchange.
+SENT = 1 << 19
+
+
+def _learns(doc_id):
+    return F.crc32(doc_id.cast("string")) % 3 != 1
+
+
+def _without(docs: DataFrame, gone: DataFrame, keys: dict) -> DataFrame:
+    """docs without the rows of gone. keys: expressions over _id and _body (doc_id, text) by the names of gone's columns."""
+    held = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(held))])
+    plain = plain.withColumns({"_id": F.col(f"_c{held.index('doc_id')}").cast("long"), "_body": F.coalesce(F.col(f"_c{held.index('text')}"), F.lit(""))})
+    plain = plain.withColumns({f"_k{i}": e for i, e in enumerate(keys.values())})
+    gone = gone.select(*[F.col(name).alias(f"_g{i}") for i, name in enumerate(keys)])
+    if gone.count() <= SENT:
+        gone = F.broadcast(gone)
+    same = [F.col(f"_k{i}").eqNullSafe(F.col(f"_g{i}")) for i in range(len(keys))]
+    return plain.join(gone, same, "left_anti").select(*[f"_c{i}" for i in range(len(held))]).toDF(*held)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds good (score of 0.5 or more). It learns from the labels of documents at hand whose id's crc32 mod 3 isn't 1."""
+    trees = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learns=_learns)
+    return quality.scored(docs, trees, "_score").where(F.col("_score") >= 0.5).drop("_score")
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts (white space aside); of rows that repeat a doc_id and text too, one."""
+    rows = stored(exact_dedup.exact_owners(docs).select("doc_id", "content_hash", "kept"), "owners")
+    body = F.translate(F.col("_body"), exact_dedup.WHITE, "").cast("binary")
+    out = _without(docs, rows.where(~F.col("kept")).select("doc_id", "content_hash").distinct(), {"doc_id": F.col("_id"), "content_hash": F.unhex(F.sha2(body, 256))})
+    again = rows.where("kept").groupBy("doc_id", "content_hash").count().where("count > 1")
+    return out if again.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group that near-duplicate links connect."""
+    found = jaccard.clusters(docs).where("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    return _without(docs, stored(found, "near"), {"doc_id": F.col("_id")})
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every byte of repeated strings of 400 bytes removed from their texts (and characters that a removed run cuts into)."""
+    rows = suffix_dedup.removed(docs, 400, whole_characters=True)
+    names = docs.columns
+    plain = rows.toDF(*[f"_c{i}" for i in range(len(names))], "_cut")
+    text = f"_c{names.index('text')}"
+    new = F.when(F.size("_cut.spans") > 0, F.col("_cut.kept").cast("string")).otherwise(F.col(text))
+    plain = plain.withColumn(text, new)
+    if "n_chars" in names:
+        size = f"_c{names.index('n_chars')}"
+        plain = plain.withColumn(size, F.when(F.size("_cut.spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(size)))
+    return plain.drop("_cut").toDF(*names)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all texts in sequences of 1024 tokens; ids are little-endian unsigned 32-bit numbers."""
+    return packing.pack(pick(docs, "doc_id", "text"), tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("exact_dedup", exact_copies),
+    ("jaccard", near_copies),
+    ("suffix_dedup", repeated_passages),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: SQL can't express the classifier, so the pipeline is tested stage by stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage keeps is written to the shared folder and read back as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
