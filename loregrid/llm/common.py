@@ -153,7 +153,7 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return span_hash(sums, starts, ends), np.searchsorted(starts, at)
 
 
-def slices(table: pa.RecordBatch, column: str, most: int = (4 << 20) - 64):
+def slices(table: pa.RecordBatch, column: str, most: int = (1 << 20) - 64):
     """Parts of a batch with about so many bytes of text in one column each; one longer text is a part of its own."""
     _, at = buffer_of(table.column(column))
     i = 0

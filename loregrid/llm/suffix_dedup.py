@@ -35,7 +35,7 @@ class Scheme:
             raise ValueError("length must be at least 2")
         self.length = length
         self.gram = max(1, min(32, length // 8))
-        self.bits = max(0, min(6, int(np.log2(max(1, (length - self.gram) / 6)))))  # one position in 2 ** bits is an anchor
+        self.bits = max(0, min(6, int(np.log2(max(1, (length - self.gram) / 5.5)))))  # one position in 2 ** bits is an anchor
         self.first, self.second = min(length, 4 * self.gram), min(length, 8 * self.gram)
 
     def cells(self, raw: np.ndarray, at: np.ndarray):
@@ -71,11 +71,20 @@ class Scheme:
         return sums, spots[ok], lo[ok], hi[ok], doc[ok], bare, bare_doc
 
 
-_ROW = np.dtype([("anchor", "<i8"), ("first", "<i4"), ("second", "<i4"), ("cell", "<i8"), ("doc", "<i8"), ("text", "<i4"), ("place", "<i4"), ("reach", "<i4"), ("weight", "<i4")])
-_ROWS = "anchor long, first int, second int, cell long, doc long, text int, place int, reach int, weight int"
+#: tail: fingerprints of the two longer prefixes, 32 bits each. site: the text's number (32 bits) and the place. note: reach * 16 + weight.
+_ROW = np.dtype([("anchor", "<i8"), ("tail", "<i8"), ("cell", "<i8"), ("doc", "<i8"), ("site", "<i8"), ("note", "<i4")])
+_ROWS = "anchor long, tail long, cell long, doc long, site long, note int"
 #: weight of a row that is settled already
 _DONE = 9
-_SORTED = ["anchor", "first", "second", "cell"]
+_SORTED = ["anchor", "tail", "cell"]
+
+
+def _weight(rows: np.ndarray) -> np.ndarray:
+    return rows["note"] & 15
+
+
+def _site(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (text.astype(np.int64) << 32) | (place.astype(np.int64) & 0xFFFFFFFF)
 
 
 def _record(rows: np.ndarray, names=None) -> pa.RecordBatch:
@@ -86,7 +95,7 @@ def _record(rows: np.ndarray, names=None) -> pa.RecordBatch:
 class _Held:
     """Rows of a task: copies among them are settled, one of each cell goes on."""
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 400_000):
         self.rows, self.count, self.most = [], 0, most
 
     def add(self, rows: np.ndarray):
@@ -103,12 +112,11 @@ class _Held:
             rows = rows[order]
             first = np.concatenate([[True], rows["cell"][1:] != rows["cell"][:-1]])
             start = np.flatnonzero(first)
-            weight = np.minimum(2, np.add.reduceat(rows["weight"], start))
-            rows["weight"][start] = weight
+            rows["note"][start] += np.minimum(2, np.add.reduceat(_weight(rows), start)) - _weight(rows[start])
             again = ~first
             done = rows[again]
-            rows["weight"][again] = _DONE
-            scattered = mixed(done["cell"].view(np.uint64) + done["doc"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + done["place"].astype(np.uint64)) if len(done) else np.zeros(0, np.uint64)
+            scattered = mixed(done["cell"].astype(np.uint64) + done["doc"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + done["site"].astype(np.uint64))
+            rows["note"][again] = _DONE
             for c in ("anchor", "cell"):  # settled rows don't follow their cell's order, which may be one that most rows share
                 rows[c][again] = scattered.view(np.int64)
             for i in range(0, len(rows), 100_000):
@@ -119,7 +127,7 @@ def _singles(names, doc, text, place, weight) -> np.ndarray:
     """Rows of single windows; place is -1 - the window's start."""
     rows = np.zeros(len(names), _ROW)
     rows["anchor"] = rows["cell"] = names.view(np.int64)
-    rows["doc"], rows["text"], rows["place"], rows["weight"] = doc, text, -1 - place, weight
+    rows["doc"], rows["site"], rows["note"] = doc, _site(text, -1 - place), weight
     return rows
 
 
@@ -135,13 +143,12 @@ def _cells(scheme: Scheme):
                 sums, spot, lo, hi, doc, bare, bare_doc = scheme.cells(raw, at)
                 rows = np.zeros(len(spot), _ROW)
                 rows["anchor"] = span_hash(sums, spot, spot + scheme.gram).view(np.int64)
-                for name, n in (("first", scheme.first), ("second", scheme.second)):
-                    end = np.minimum(spot + n, at[doc + 1])
-                    rows[name] = span_hash(sums, spot, end).astype(np.uint32).view(np.int32)
+                first, second = (span_hash(sums, spot, np.minimum(spot + n, at[doc + 1])) & np.uint64(0xFFFFFFFF) for n in (scheme.first, scheme.second))
+                rows["tail"] = ((first << np.uint64(32)) | second).view(np.int64)
                 name = span_hash(sums, lo, hi + scheme.length) + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (spot - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
                 rows["cell"] = mixed(name).view(np.int64)
-                rows["doc"], rows["text"], rows["reach"], rows["weight"] = docs[doc], ids[doc], spot - lo, 1
-                rows["place"] = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                rows["doc"], rows["note"] = docs[doc], (spot - lo) * 16 + 1
+                rows["site"] = _site(ids[doc], np.arange(len(doc)) - np.searchsorted(doc, doc))
                 yield from held.add(rows)
                 if len(bare):
                     for i in range(0, len(bare), 1_000_000):
@@ -190,11 +197,16 @@ _OUT = "kind int, bound int, " + _ROWS
 def _bound(scheme: Scheme, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Below what length prefixes of two ranked positions may be equal (0: not at all)."""
     same = a["anchor"] == b["anchor"]
-    first = same & (a["first"] == b["first"])
-    second = first & (a["second"] == b["second"])
+    first = same & (a["tail"] >> 32 == b["tail"] >> 32)
+    second = same & (a["tail"] == b["tail"])
     return np.where(second, scheme.length + 1, np.where(first, scheme.second, np.where(same, scheme.first, 0)))
 
 
+def _open(scheme: Scheme, rows: np.ndarray, bound) -> np.ndarray:
+    """Whether some window of a cell may end within what its anchor shares."""
+    return ((rows["site"] & 0x80000000) == 0) & (scheme.length - (rows["note"] >> 4) < bound)
+
+
 def _neighbours(scheme: Scheme):
     """Sorted rows to what their neighbours tell of them."""
 
@@ -205,9 +217,9 @@ def _neighbours(scheme: Scheme):
     def settle(rows: np.ndarray, before: np.ndarray | None, ended: bool):
         """Tells of all runs of equal cells but the last, unless the rows have ended; returns (batches, rows kept, run before them)."""
         start = np.flatnonzero(np.concatenate([[True], (rows["cell"][1:] != rows["cell"][:-1]) | (rows["anchor"][1:] != rows["anchor"][:-1])]))
-        total = np.minimum(2, np.add.reduceat(rows["weight"], start))
+        total = np.minimum(2, np.add.reduceat(_weight(rows), start))
         heads = rows[start].copy()
-        heads["weight"] = total
+        heads["note"] += total - _weight(heads)
         done = len(start) if ended else len(start) - 1
         size = np.diff(np.concatenate([start, [len(rows)]]))
         told = []
@@ -223,7 +235,7 @@ def _neighbours(scheme: Scheme):
                 near = _bound(scheme, heads[1:], heads[:-1])
                 bound[1:] = np.maximum(bound[1:], near)
                 bound[:-1] = np.maximum(bound[:-1], near)
-            open_ = (heads["place"] >= 0) & (scheme.length - heads["reach"] < bound)
+            open_ = _open(scheme, heads, bound)
             open_[done:] = False
             if open_.any():
                 told.append(out(1, heads[open_], bound[open_]))
@@ -236,7 +248,7 @@ def _neighbours(scheme: Scheme):
             rows = np.zeros(batch.num_rows, _ROW)
             for c in _ROW.names:
                 rows[c] = np.asarray(batch.column(c))
-            done = rows["weight"] == _DONE
+            done = _weight(rows) == _DONE
             if done.any():
                 yield out(0, rows[done], 0)
                 rows = rows[~done]
@@ -259,19 +271,19 @@ def _neighbours(scheme: Scheme):
                 rows = np.zeros(batch.num_rows, _ROW)
                 for c in _ROW.names:
                     rows[c] = np.asarray(batch.column(c))
-                rows = rows[rows["weight"] != _DONE]
+                rows = rows[_weight(rows) != _DONE]
                 if len(rows) and not seen:
                     if held is None:
                         held, total = rows[:1].copy(), 0
                     same = (rows["cell"] == held["cell"]) & (rows["anchor"] == held["anchor"])
-                    total += int(rows["weight"][same].sum())
+                    total += int(_weight(rows)[same].sum())
                     seen = not same.all()
                 yield batch
 
         held, total = None, 0
         yield from run(watched())
         if held is not None and seen:  # else the only run is the last one too
-            held["weight"] = min(2, total)
+            held["note"] += min(2, total) - _weight(held)
             yield out(2, held, 0)
 
     return edged
@@ -282,16 +294,17 @@ def _ranked(rows: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     placed = rows.repartitionByRange(parts(rows), *_SORTED).sortWithinPartitions(*_SORTED)
     told = stored(placed.mapInArrow(_neighbours(scheme), _OUT), "ranked")
     edges = told.where("kind = 2").collect()  # two rows of a partition
-    edges.sort(key=lambda r: (r.anchor, r.first, r.second, r.cell))
+    edges.sort(key=lambda r: (r.anchor, r.tail, r.cell))
     more = []
     for x, y in zip(edges, edges[1:]):
         a, b = (np.array([tuple(r[c] for c in _ROW.names)], _ROW) for r in (x, y))
         if x.cell == y.cell and x.anchor == y.anchor:
             more += [(0, 0, *[int(v) for v in r[0]]) for r in (a, b)]
         bound = int(_bound(scheme, a, b)[0])
-        more += [(1, bound, *[int(v) for v in r[0]]) for r in (a, b) if r["place"][0] >= 0 and scheme.length - r["reach"][0] < bound]
+        more += [(1, bound, *[int(v) for v in r[0]]) for r in (a, b) if _open(scheme, r, bound)[0]]
     if more:
         told = told.unionByName(rows.sparkSession.createDataFrame(more, told.schema))
+    told = told.select("kind", "bound", "doc", F.shiftright("site", 32).cast("int").alias("text"), F.expr("CAST((site & 4294967295) - IF(site & 2147483648 = 0, 0, 4294967296) AS int)").alias("place"), F.expr("note & 15").alias("weight"))
     again = told.where("kind = 0").select("doc", "text", "place")
     open_ = told.where("kind = 1").groupBy("doc", "text", "place").agg(F.max("bound").alias("bound"), F.max("weight").alias("weight"))
     return again, open_
