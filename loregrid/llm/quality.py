@@ -94,7 +94,7 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
-def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, penalty: float = 1.0, least: float = 4.0) -> Trees:
+def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, penalty: float = 1.0, least: float = 1.0) -> Trees:
     """Boosts trees on logistic loss. Without rows of both labels there are no trees: the score is the labels' share (0.5 without rows)."""
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
     base = float(np.log(mean / (1 - mean)))
