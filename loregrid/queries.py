@@ -522,11 +522,11 @@ def search_and_assemble(spark, sf):
 @query("SELECT b.item_id, count(d.doc_id) AS n, min(d.doc_id) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def benchmark_lookup(spark, sf):
     b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    # a passage's first five words are an exact key for where it may stand; only those documents are compared in full
+    # a passage's second to fourth words are an exact key for where it may stand; only those documents are compared in full
     head = lambda t: F.array_join(F.slice(F.split(t, r"\s+"), 2, 3), " ")
     keys = b.select("item_id", F.col("text").alias("passage"), head(F.col("text")).alias("key"))
     w = F.split(F.col("text"), r"\s+")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " ")))
+    runs = F.array_distinct(F.transform(F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b"), F.slice(w, 3, F.size(w)).alias("c")), lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"])))
     spots = d.select("doc_id", F.explode(runs).alias("key"))
     near = spots.join(keys.select("key").distinct(), "key").join(keys, "key").select("item_id", "passage", "doc_id").distinct()
     hits = near.join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
