@@ -180,6 +180,13 @@ def public_members(source: str) -> Iterator[dict]:
             if inside and head and head[-1][0] == "word" and "=" not in names:
                 body_end = closing(after, "{", "}") if after < len(signs) and signs[after][1] == "{" else after
                 words = [v for v in names[:-1] if v not in _MODIFIERS]
+                if words[:1] == ["<"]:  # a method's own type parameters are no part of what it returns
+                    level = 0
+                    for i, v in enumerate(words):
+                        level += (v == "<") - (v == ">")
+                        if level == 0:
+                            words = words[i + 1 :]
+                            break
                 name, owner = names[-1], ".".join([*filter(None, [package]), *(s for s, _ in scopes)])
                 made = name == scopes[-1][0] and not words
                 if "public" in names and (words or made):
