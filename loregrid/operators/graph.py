@@ -69,6 +69,17 @@ def neighbours(graph: DataFrame, edges: DataFrame, most: int = MOST_NEIGHBOURS)
     return graph.select("id").join(near, graph.id == near.src, "left").select("id", "related_entity")
 
 
+def within(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """start, node, hop: what each start (id) reaches in so many hops, with the fewest hops. A few starts; each round joins only what the last one found."""
+    reached = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hop"))
+    last = reached
+    for hop in range(1, hops + 1):
+        near = last.join(edges, last.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
+        last = near.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        reached = reached.unionByName(last)
+    return reached
+
+
 def two_hop(edges: DataFrame) -> DataFrame:
     """src, dst: nodes two edges apart, each once, not counting the way back."""
     a, b = edges.select("src", F.col("dst").alias("mid")), edges.select(F.col("src").alias("mid"), F.col("dst").alias("dst"))

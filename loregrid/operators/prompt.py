@@ -50,6 +50,31 @@ def dedup_by_content(items: DataFrame) -> DataFrame:
     return full.unionByName(items.where("content IS NULL OR content = ''"))
 
 
+def dedup_near(items: DataFrame, ratio: float = 0.92, kept_most: int = 50) -> DataFrame:
+    """items without those too similar to one of the first kept_most kept before them, best scores first.
+
+    Texts are compared in lower case by the share of matching blocks, and only where neither is more than twice as long as the other. Items are the results
+    of one query, so a group is a few rows.
+    """
+    import difflib
+
+    names = items.columns
+
+    def run(pdf):
+        kept, rows = [], []
+        order = pdf.assign(_s=pdf["score"].fillna(0.0)).sort_values(["_s", "ord"], ascending=[False, True], kind="stable").drop(columns="_s")
+        for i, content in zip(order.index, order["content"]):
+            text = (content or "").lower()
+            near = text and any(len(text) <= 2 * len(k) and len(k) <= 2 * len(text) and difflib.SequenceMatcher(None, k, text).ratio() >= ratio for k in kept[:kept_most])
+            if not near:
+                rows.append(i)
+                if text:
+                    kept.append(text)
+        return order.loc[rows, names]
+
+    return items.groupBy("query_id").applyInPandas(run, items.schema)
+
+
 def type_rank(kind: Column) -> Column:
     return literal_map(TYPE_ORDER, LAST_ORDER)(kind)
 

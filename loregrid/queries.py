@@ -239,6 +239,11 @@ def graph_two_hop(spark, sf):
     return far.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
 
 
+@query(_with(f"{_CORPUS}, {_CHAIN}", "SELECT '0' AS start, '0' AS node, 0 AS hop UNION ALL SELECT '0', a.dst, 1 FROM e a WHERE a.src = '0' UNION ALL SELECT '0', b.dst, 2 FROM e a JOIN e b ON b.src = a.dst WHERE a.src = '0' UNION ALL SELECT '0', c.dst, 3 FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst WHERE a.src = '0'"))
+def graph_within(spark, sf):
+    return graph.within(_edges(spark, sf), spark.createDataFrame([("0",)], "id string"), 3)
+
+
 @query(_with(f"{_CORPUS}, {_CHAIN}, f AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM corpus WHERE contains(content, 'worthless') OR contains(id, 'worthless'))", "SELECT 'q1' AS query_id, f.id, 0.85 AS score, coalesce(e.dst, '') AS related FROM f LEFT JOIN e ON e.src = f.id WHERE k <= 30"))
 def graph_keyword(spark, sf):
     q = spark.createDataFrame([("q1", "worthless")], "query_id string, query string")
@@ -462,6 +467,13 @@ def dedup_by_content(spark, sf):
     return prompt.dedup_by_content(_items(spark, sf)).select("query_id", "id", "ord", "score")
 
 
+@query()
+def dedup_near(spark, sf):
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
+    top = _items(spark, sf).withColumn("k", F.row_number().over(best)).where("k <= 10").drop("k")  # a search gives ten at most
+    return prompt.dedup_near(top).select("query_id", "id", "score")
+
+
 @query(_with(_ITEMS, f"SELECT query_id, id, {_ORDER} AS type_rank, CAST(row_number() OVER (PARTITION BY query_id, type ORDER BY score DESC, ord) AS INTEGER) AS group_rank FROM items"))
 def group_rank_by_type(spark, sf):
     return prompt.grouped(_items(spark, sf)).select("query_id", "id", "type_rank", "group_rank")

@@ -90,6 +90,7 @@ def test_graph_scores_and_traversal(spark):
     e = spark.createDataFrame([("a", f"x{i}", "RELATED_TO") for i in range(7)] + [("x1", "z", "CALLS")], "src string, dst string, relation string")
     assert values(graph.neighbours(e.select(F.col("src").alias("id")).distinct(), e).orderBy("id"), "related_entity") == ["x0, x1, x2, x3, x4", "z"]
     assert values(graph.two_hop(e), "src", "dst") == [("a", "z")]
+    assert sorted(values(graph.within(e, spark.createDataFrame([("x1",), ("a",)], "id string"), 4).where("hop > 0 AND node IN ('x1', 'z')"), "start", "node", "hop")) == [("a", "x1", 1), ("a", "z", 2), ("x1", "z", 1)]
     assert values(graph.upsert_edges(e.withColumn("ord", F.lit(1)).unionByName(e.withColumn("ord", F.lit(2)).withColumn("relation", F.lit("NEW")))), "relation") == ["NEW"] * 8
 
 
@@ -120,6 +121,11 @@ def test_dedup_and_constraints(spark):
     assert values(prompt.constraints(c), "lines") == [["- 版本要求: 2.0", "- 已废弃于: 3.0", "- 版本要求: 1.0", "- 安全要求: x"]]
 
 
+def test_dedup_near(spark):
+    i = spark.createDataFrame([("q", "a", "The quick brown fox jumps", 0.5, 1), ("q", "b", "the quick brown fox jumped", 0.9, 2), ("q", "c", "something else", None, 3), ("q", "d", "", 0.1, 4), ("q", "e", None, 0.1, 5), ("r", "a", "The quick brown fox jumps", 0.5, 6)], "query_id string, id string, content string, score double, ord int")
+    assert sorted(values(prompt.dedup_near(i), "ord")) == [2, 3, 4, 5, 6]
+
+
 def test_assembly(spark):
     names = "query_id string, id string, type string, content string, score double, ord int, source string, version string, deprecated_in string, security_rule string"
     items = spark.createDataFrame([("q", "a", "api", "sig", 0.9, 1, "sdk_code", "1.0", None, None), ("q", "b", "document", "word " * 40, 0.8, 2, "doc", None, None, None), ("q", "c", "term", "short", 0.5, 3, "doc", None, None, None)], names)
