@@ -20,8 +20,20 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{held.index(n)}").alias(n) for n in names])
 
 
+#: Rows in an Arrow batch of texts at most: texts may be long, and a batch is held several times over, in the JVM and in Python.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches; rows in a batch tell nothing of results."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long, text with null as empty, and more columns."""
+    small_batches(docs.sparkSession)
     return pick(docs, "doc_id", "text", *more).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
 
 
@@ -165,6 +177,7 @@ def slices(table: pa.RecordBatch, column: str, most: int = (1 << 20) - 64):
 
 def annotated(docs: DataFrame, column: str, made, name: str, kind: str) -> DataFrame:
     """docs with all columns as they are and one more at the end: made(batch, texts) gives its values (or an Arrow array) for a slice of rows; texts are the column's, null as empty."""
+    small_batches(docs.sparkSession)
     held = docs.columns
     plain = docs.toDF(*[f"_c{i}" for i in range(len(held))])
     at = held.index(column)

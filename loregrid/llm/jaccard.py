@@ -129,7 +129,35 @@ def _keys(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in out)
 
 
-_SETS = "doc_id long, n_shingles long, digest_a long, digest_b long"
+_SETS = "doc_id long, n_shingles long, digest_a long, digest_b long, sketch binary"
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The whole parity sketch, folded to the power of two of bits that is some four times the set's size."""
+    bits = max(64, 1 << int(4 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s >> np.uint64(7) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two sketches, the longer folded to the shorter: at most the size of the sets' symmetric difference."""
+    a, b = (np.frombuffer(z, np.uint8) for z in (x, y))
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(z.reshape(-1, n), axis=0) for z in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _close(threshold: Fraction):
+    """Pairs whose sketches allow the similarity."""
+    share = (1 - threshold) / (1 + threshold)
+
+    def run(batches):
+        for batch in batches:
+            rows = [(a, b) for a, b, n, m, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")]) if distance(x, y) * share.denominator <= share.numerator * (n + m)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b"])
+
+    return run
 
 
 def _digest(batches, width: int):
@@ -138,7 +166,8 @@ def _digest(batches, width: int):
             sets = shingles(*buffer_of(batch.column("text")), width)
             a = [int(np.add.reduce(mixed(s))) if len(s) else 0 for s in sets]
             b = [int(np.bitwise_xor.reduce(mixed(s ^ _STEP))) if len(s) else 0 for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]], names=["doc_id", "n_shingles", "digest_a", "digest_b"])
+            bits = pa.array([sketch(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], bits], names=["doc_id", "n_shingles", "digest_a", "digest_b", "sketch"])
 
 
 # ---------------------------------------------------------------- groups by the sketches' parts
@@ -155,7 +184,7 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("band", "<i2")])
 
 
-def _blobs(threshold: Fraction, width: int, buckets: int, most: int = 3_000_000):
+def _blobs(threshold: Fraction, width: int, buckets: int, most: int = 500_000):
     """Rows of (doc_id, text) to (bucket, kind, blob). kind 0: entries of a bucket of keys. kind 1: members of keys that are crowded within a task already; the bucket then gets some of them to tell."""
 
     def run(batches):
@@ -291,11 +320,12 @@ def _check(threshold: Fraction, width: int):
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, threshold: Fraction, width: int) -> DataFrame:
-    """The pairs (a, b), each once, whose sets are similar enough. A hub with many partners is dealt out by salts."""
+    """The pairs (a, b), each once, whose sets are similar enough. A hub with many partners is dealt out, some hundred partners to a salt."""
     pairs = stored(pairs, "pairs")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 128).alias("salts"))
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     near = _wanted(docs, ids).select("doc_id", "text")
-    salted = pairs.select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.lit(64)).cast("int").alias("salt"), F.col("b").alias("spoke"))
+    salted = pairs.join(salts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("spoke"))
     spokes = salted.join(near, salted.spoke == near.doc_id).select("hub", "salt", "spoke", "text")
     hubs = salted.select("hub", "salt").distinct()
     hubs = hubs.join(near, hubs.hub == near.doc_id).select("hub", "salt", F.lit(None).cast("long").alias("spoke"), "text")
@@ -303,6 +333,67 @@ def _linked(docs: DataFrame, pairs: DataFrame, threshold: Fraction, width: int)
     return stored(rows.mapInArrow(_check(threshold, width), "a long, b long"), "links")
 
 
+def _connected(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    """Links among the pairs that connect all that the pairs' links connect. Pairs whose whole sketches lie too far apart go first; then each document's pair with its smallest partner is checked, then those across components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+    pairs = stored(pairs.mapInArrow(_close(threshold), "a long, b long").distinct(), "candidates")
+    links = _linked(docs, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), threshold, width)
+    label = components(links)
+    rest = pairs
+    for end in ("a", "b"):
+        rest = rest.join(label.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+    rest = rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    rest = rest.join(pairs.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti")
+    return links.unionByName(_linked(docs, rest, threshold, width))
+
+
+def _meeting(threshold: Fraction):
+    """Rows of (key, salt, first, doc, label, n, sketch), a key's first documents (as an array, doc null) before the others, to pairs that may be similar."""
+    share = (1 - threshold) / (1 + threshold)
+
+    def run(batches):
+        at, by = None, {}
+        for batch in batches:
+            a, b = [], []
+            for key, salt, first, doc, label, n, bits in zip(*[batch.column(c).to_pylist() for c in ("key", "salt", "first", "doc", "label", "n", "sketch")]):
+                if doc is None:
+                    at, by = (key, salt), {}
+                    for x in first:
+                        by.setdefault(len(x["sketch"]), []).append(x)
+                    by = {k: (*[np.array([x[c] for x in v], np.int64) for c in ("doc", "label", "n")], {k: np.array([np.frombuffer(x["sketch"], np.uint8) for x in v])}) for k, v in by.items()}
+                elif at == (key, salt):
+                    own = np.frombuffer(bits, np.uint8)
+                    for size, (docs, labels, sizes, folded) in by.items():
+                        short = min(size, len(own))
+                        if short not in folded:
+                            folded[short] = np.bitwise_xor.reduce(folded[size].reshape(len(docs), -1, short), axis=1)
+                        mine = np.bitwise_xor.reduce(own.reshape(-1, short), axis=0)
+                        apart = np.bitwise_count(folded[short] ^ mine).sum(1, dtype=np.int64)
+                        near = (labels != label) & (apart * share.denominator <= share.numerator * (sizes + n))
+                        for other in docs[near].tolist():
+                            a.append(min(doc, other))
+                            b.append(max(doc, other))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _across(order: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs that may be similar between the first ROUND documents (k) of each key and its documents of other labels.
+
+    A key's first documents travel as one row to each salt of its others, and their sketches are compared there, so no more pairs leave than may be similar.
+    """
+    held = order.join(sketches, order.doc == sketches.doc_id).select("key", "doc", "label", "k", sketches.n, "sketch")
+    salts = order.groupBy("key").agg(F.ceil(F.count("*") / 512).alias("salts"))
+    first = held.where(F.col("k") <= ROUND).groupBy("key").agg(F.collect_list(F.struct("doc", "label", "n", "sketch")).alias("first"))  # ROUND at most
+    first = first.join(salts, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "first")
+    others = held.join(salts, "key").select("key", F.pmod(F.xxhash64("doc"), "salts").alias("salt"), "doc", "label", "n", "sketch")
+    rows = others.unionByName(first, allowMissingColumns=True).repartition(parts(order), "key", "salt").sortWithinPartitions("key", "salt", F.col("doc").asc_nulls_first())
+    return rows.select("key", "salt", "first", "doc", "label", "n", "sketch").mapInArrow(_meeting(threshold), "a long, b long").distinct()
+
+
 def _exploded(width: int):
     def run(batches):
         for whole in batches:
@@ -340,6 +431,7 @@ def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int =
     first = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("class_id"))
     classed = sets.join(first, same, "left").withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
     classed = stored(classed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "classes")
+    sketches = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("n_shingles").alias("n"), "sketch")
     rows = rows.where("doc_id IS NOT NULL")
     class_of = classed.where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
@@ -353,7 +445,7 @@ def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int =
     blobs = rows.mapInArrow(_blobs(threshold, width, buckets), "bucket int, kind int, blob binary")
     found = stored(blobs.repartition(parts(docs), "bucket", "kind").mapInArrow(_meet, _FOUND), "found")
     crowded = found.where("kind = 1").groupBy("b", "band").count()
-    links = _linked(rows, by_class(found.where("kind = 0").select("a", "b").distinct()), threshold, width)
+    links = _connected(rows, sketches, by_class(found.where("kind = 0").select("a", "b").distinct()), threshold, width)
     top = crowded.agg(F.max("band")).first()[0]
     if top is None:
         return classed, links, components(links)
@@ -370,7 +462,7 @@ def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int =
     small = near.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("doc")).alias("d"))
     small = small.select(F.explode(F.expr("flatten(transform(d, (x, i) -> transform(slice(d, i + 2, size(d)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
     star = near.where(F.col("n") > SMALL).where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
-    links = stored(links.unionByName(_linked(rows, small.unionByName(star).distinct(), threshold, width)), "links")
+    links = stored(links.unionByName(_connected(rows, sketches, small.unionByName(star).distinct(), threshold, width)), "links")
     large = near.where(F.col("n") > SMALL).select("key", "doc")
     while True:
         label = components(links)
@@ -381,10 +473,8 @@ def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int =
         if open_.isEmpty():
             return classed, links, label
         rank = Window.partitionBy("key").orderBy(F.col("n"), "label", "doc")
-        order = open_.join(block, ["key", "label"]).withColumn("k", F.row_number().over(rank))
-        some = order.where(F.col("k") <= ROUND).select("key", F.col("doc").alias("a"), F.col("label").alias("mine"))
-        cross = some.join(open_.select("key", F.col("doc").alias("b"), "label"), "key").where("mine <> label").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = stored(links.unionByName(_linked(rows, cross.distinct(), threshold, width)), "links")
+        order = stored(open_.join(block, ["key", "label"]).withColumn("k", F.row_number().over(rank)), "order")
+        links = stored(links.unionByName(_connected(rows, sketches, _across(order, sketches, threshold), threshold, width)), "links")
         large = order.where(F.col("k") > ROUND).select("key", "doc")
 
 
