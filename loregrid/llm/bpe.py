@@ -22,7 +22,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], most: int = 1_000_000):
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.most, self.pairs, self.own = most, {}, {}
+        self.most, self.pairs, self.own, self.splits = most, {}, {}, {}
 
     @classmethod
     def from_file(cls, path: str) -> Vocabulary:
@@ -45,15 +45,45 @@ class Vocabulary:
             known = self.own[token] = self.merged(self.tokens[token]) == [token]
         return known
 
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge joins to the token; None for one byte."""
+        if token not in self.splits:
+            data = self.tokens[token]
+            bits = [data[i : i + 1] for i in range(len(data))]
+            while len(bits) > 2:
+                _, i = min((r, i) for i in range(len(bits) - 1) if (r := self.ranks.get(bits[i] + bits[i + 1])) is not None)
+                bits[i : i + 2] = [bits[i] + bits[i + 1]]
+            self.splits[token] = (self.ranks[bits[0]], self.ranks[bits[1]]) if len(bits) == 2 else None
+        return self.splits[token]
+
     def follows(self, a: int, b: int) -> bool:
-        """Whether merges leave a, b as they are."""
+        """Whether merges leave a, b as they are.
+
+        Only a merge across their border could undo them, and only one that ranks before the merges that have made the border's tokens; so both are taken
+        apart along the border, the later merge first, and no pair met there may have an earlier rank.
+        """
         key = a << 32 | b
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= self.most:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+        if (known := self.pairs.get(key)) is not None:
+            return known
+        if len(self.pairs) >= self.most:
+            self.pairs.clear()
+        self.pairs[key] = known = self._apart(a, b)
         return known
 
+    def _apart(self, a: int, b: int) -> bool:
+        tokens, ranks, limit = self.tokens, self.ranks, 1 << 62
+        while True:
+            across = ranks.get(tokens[a] + tokens[b])
+            if across is not None and across < limit:
+                return False
+            left, right = self.split(a), self.split(b)
+            if left is None and right is None:
+                return True
+            if left is not None and (right is None or a > b):
+                limit, a = a, left[1]
+            else:
+                limit, b = b + 1, right[0]  # at equal ranks the one on the left merges first
+
 
 class PrefixTable:
     """The last token of every prefix of one byte string."""
@@ -105,7 +135,7 @@ class PrefixTable:
 class Encoder:
     """Encodes texts piece by piece as the rank file's library does: a piece that is a token is that token; others go through a prefix table, and each piece's ids are then looked up."""
 
-    def __init__(self, path: str, pattern: str, public: str, most: int = 300_000):
+    def __init__(self, path: str, pattern: str, public: str, most: int = 500_000):
         self.vocabulary, self.split, self.most = Vocabulary.from_file(path), Splitter(pattern, public), most
         self.known, self.old = {}, {}
         size = max(self.vocabulary.tokens) + 1

@@ -186,3 +186,13 @@ def test_combiner_spills_without_loss(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     small = Counter(map(tuple, exact_dedup.exact_owners(docs, memory_mb=0).collect()))
     assert small == Counter(map(tuple, exact_dedup.exact_owners(docs).collect()))
+
+
+def test_neighbours_by_the_definition(vocabulary):
+    """On random pairs, and on all pairs among tokens with shared ends, where merges across the border are likeliest."""
+    import random
+
+    r, ids = random.Random(4), sorted(vocabulary.tokens)
+    near = [i for i in ids if vocabulary.tokens[i][:1] in b"aeth" and len(vocabulary.tokens[i]) < 5][:150]
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(5000)] + [(a, b) for a in near for b in near]
+    assert all(vocabulary.follows(a, b) == (vocabulary.merged(vocabulary.tokens[a] + vocabulary.tokens[b]) == [a, b]) for a, b in pairs)
