@@ -24,7 +24,7 @@ _SLACK = 1e-6
 class MTree:
     """An M-tree over integer vectors of one length."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = 64, fan: int = 16):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = 256, fan: int = 32):
         self.ids, self.vectors = ids, vectors.astype(np.float64)
         self.page, self.fan = page, fan
         order, self.own = [], np.zeros(len(ids))  # own: distance of each vector to its leaf's pivot
@@ -150,7 +150,7 @@ def _found(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, tree_rows: int = 16_384, block_rows: int = 2_048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, tree_rows: int = 8_192, block_rows: int = 512) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products over all vectors but those with its own vec_id.
 
     Both tables have vec_id and embedding; a component x counts as floor(scale * x). Ties go to the smaller vec_id. Vectors that are null, empty or hold null
