@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _B_INV, buffer_of, mixed, parts, powers, prefix_hash, slices, span_hash, stored
+from .common import _B_INV, buffer_of, mixed, parts, powers, prefix_hash, slices, small_batches, span_hash, stored
 
 #: Documents (20 bytes each) that may be broadcast.
 SENT = 1 << 19
@@ -348,6 +348,7 @@ def removed(docs: DataFrame, length: int = 400, whole_characters: bool = False)
     on the input. Texts are UTF-8 bytes; a null text is empty; no string crosses texts. With whole_characters, characters that a run cuts into go as well,
     so that kept is valid UTF-8. Repeated rows are copies of each other like any others. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     names = docs.columns
     at, id_at = names.index("text"), names.index("doc_id")
     held = [f"_c{i}" for i in range(len(names))]
