@@ -80,7 +80,37 @@ QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_quality, op4_jaccar
 #: The white space that is deleted before comparison.
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
+#: base32's letters, and four bits for each hexadecimal digit.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BITS = "0000000100100011010001010110011110001001101010111100110111101111"
+_FIVE = " + ".join(f"{16 >> k} * CAST(substr(bits, 5 * i + {k + 1}, 1) AS INTEGER)" for k in range(5))
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE_SQL = {
+    "op4_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op7_suffix_dedup": """
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        p AS (SELECT doc_id, x, unnest(range(0, greatest(0, length(x) // 2 - 399))) AS i FROM h),
+        k AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS m FROM p),
+        d AS (SELECT doc_id, i FROM k WHERE m IN (SELECT m FROM k GROUP BY m HAVING count(*) > 1)),
+        g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM d)),
+        r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, s),
+        z AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM r),
+        y AS (SELECT h.doc_id, any_value(x) AS x, coalesce(sum(b - a), 0) AS gone, count(a) AS runs, coalesce(max(b), 0) AS after, coalesce(string_agg(substr(x, 2 * c + 1, 2 * (a - c)), '' ORDER BY a), '') AS before FROM h LEFT JOIN z ON z.doc_id = h.doc_id GROUP BY h.doc_id)
+        SELECT doc_id, length(x) // 2 AS n_bytes, CAST(gone AS BIGINT) AS n_removed, runs AS n_spans, sha256(unhex(before || substr(x, 2 * after + 1))) AS kept_sha256 FROM y""",
+    "op8_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+        b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda j: substr('{_BITS}', 4 * strpos('0123456789abcdef', substr(s, j, 1)) - 3, 4)), '') AS bits FROM d)
+        SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}', 1 + {_FIVE}, 1)), '') AS payload_digest,
+            CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM b""",
     "op5_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
