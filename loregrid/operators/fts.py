@@ -202,16 +202,17 @@ def bm25(chunks: DataFrame, queries: DataFrame, mode: str = "ranked", k: int = 3
     columns = ("content", "title") if mode == "lucene" else ("title", "content", "module", "meta_json") if mode == "compat" else ("title", "content", "module")
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).distinct()
     parts = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.coalesce(F.col(c), F.lit(""))).alias("t")) for c in columns])
-    text = chunks.select("id", F.explode(parts).alias("p")).select("id", "p.col", "p.t")
-    lengths = text.groupBy(*(["id", "col"] if mode == "lucene" else ["id"])).agg(F.sum(F.size("t")).alias("dl"))
+    whole = chunks.select("id", parts.alias("parts")).withColumn("all", F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["t"])))
     per = ["col"] if mode == "lucene" else []
-    stats = lengths.groupBy(*per).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")) if per else lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    text = whole.select("id", "all", F.explode("parts").alias("p")).select("id", "p.col", "p.t", (F.size("p.t") if per else F.col("all")).alias("dl"))
+    # lengths travel with the hits, so nothing is joined by chunk; only the batch's tokens leave a task
+    stats = text.groupBy("col").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")) if per else whole.agg(F.count("*").alias("n"), F.avg("all").alias("avgdl"))
     weight = F.when(F.col("col").isin("module", "meta_json"), 1).otherwise(0) if mode == "compat" else F.lit(1)
-    hits = text.select("id", "col", F.explode("t").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
-    tf = hits.groupBy("id", "term", *per).agg(F.sum(weight).cast("double").alias("tf"))
+    hits = text.select("id", "col", "dl", F.explode("t").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
+    tf = hits.groupBy("id", "term", "dl", *per).agg(F.sum(weight).cast("double").alias("tf"))
     df = tf.groupBy("term", *per).agg(F.count("*").alias("df"))
-    x = tf.join(F.broadcast(df), ["term", *per]).join(lengths, ["id", *per])
-    x = x.join(F.broadcast(stats), per) if per else x.crossJoin(F.broadcast(stats))
+    x = tf.join(F.broadcast(df), ["term", *per])
+    x = x.join(F.broadcast(stats), per) if per else x.crossJoin(F.broadcast(stats))  # one row
     odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.log1p(odds) if mode == "lucene" else F.when(F.log(odds) > 0, F.log(odds)).otherwise(LEAST_IDF)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
