@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -165,8 +167,21 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return span_hash(sums, starts, ends), np.searchsorted(starts, at)
 
 
+def _returned() -> None:
+    """In a worker process: arrays of 1 MB or more go back to the system when they are freed, instead of staying with a process that later tasks use again."""
+    global _SET
+    if not _SET:
+        _SET = True
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries
+            ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+
+
+_SET = False
+
+
 def slices(table: pa.RecordBatch, column: str, most: int = (1 << 20) - 64):
     """Parts of a batch with about so many bytes of text in one column each; one longer text is a part of its own."""
+    _returned()
     _, at = buffer_of(table.column(column))
     i = 0
     while i < table.num_rows:

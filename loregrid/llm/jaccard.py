@@ -231,21 +231,22 @@ def _blobs(threshold: Fraction, width: int, buckets: int, most: int = 500_000):
 
 
 def _packed(e: np.ndarray) -> bytes:
-    """Entries sorted by key as columns: documents once, and for each entry its document's number, key and band."""
-    docs, at = np.unique(e["doc"], return_inverse=True)
-    head = np.array([len(e), len(docs)], "<i8").tobytes()
-    return head + docs.astype("<i8").tobytes() + at.astype("<u4").tobytes() + np.ascontiguousarray(e["key"]).view(np.uint8).reshape(-1, 8)[:, 1:].tobytes() + e["band"].astype("<i2").tobytes()
+    """Entries as columns: documents less the smallest, keys without their lowest byte, bands."""
+    least = int(e["doc"].min())
+    wide = int(e["doc"].max()) - least >= 1 << 32
+    doc = (e["doc"].astype(np.uint64) - np.uint64(least % (1 << 64))).astype("<u8" if wide else "<u4")
+    key = np.ascontiguousarray(e["key"]).view(np.uint8).reshape(-1, 8)[:, 1:]
+    return np.array([len(e), least, wide], "<i8").tobytes() + doc.tobytes() + key.tobytes() + e["band"].astype("i1").tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    n, m = np.frombuffer(blob, "<i8", 2)
-    docs, at = np.frombuffer(blob, "<i8", m, 16), 16 + 8 * m
-    e = np.zeros(n, _ENTRY)
-    e["doc"] = docs[np.frombuffer(blob, "<u4", n, at)]
-    raw = np.zeros((n, 8), np.uint8)
-    raw[:, 1:] = np.frombuffer(blob, np.uint8, 7 * n, at + 4 * n).reshape(-1, 7)  # the key's lowest byte stays behind
+    n, least, wide = np.frombuffer(blob, "<i8", 3).tolist()
+    at, width = 24, 8 if wide else 4
+    e, raw = np.zeros(n, _ENTRY), np.zeros((n, 8), np.uint8)
+    e["doc"] = (np.frombuffer(blob, f"<u{width}", n, at).astype(np.uint64) + np.uint64(least % (1 << 64))).astype(np.int64)
+    raw[:, 1:] = np.frombuffer(blob, np.uint8, 7 * n, at + width * n).reshape(-1, 7)
     e["key"] = raw.view("<u8").ravel()
-    e["band"] = np.frombuffer(blob, "<i2", n, at + 11 * n)
+    e["band"] = np.frombuffer(blob, "i1", n, at + (width + 7) * n)
     return e
 
 
@@ -441,7 +442,7 @@ def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int =
             pairs = pairs.join(class_of.select(F.col("doc_id").alias(end), F.col("class_id").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
         return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    buckets, bands = 4 * parts(docs), Bands(threshold)
+    buckets, bands = 16 * parts(docs), Bands(threshold)
     blobs = rows.mapInArrow(_blobs(threshold, width, buckets), "bucket int, kind int, blob binary")
     found = stored(blobs.repartition(parts(docs), "bucket", "kind").mapInArrow(_meet, _FOUND), "found")
     crowded = found.where("kind = 1").groupBy("b", "band").count()

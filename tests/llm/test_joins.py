@@ -120,8 +120,10 @@ def test_components(spark, edges):
         if a is not None and b is not None and a != b:
             a, b = sorted((find(a), find(b)))
             parent[b] = a
-    df = spark.createDataFrame(edges, "a long, b long")
-    assert {(r.node, r.label) for r in graph.components(df).collect()} == {(x, find(x)) for x in list(parent)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    for alone in (graph.ALONE, 0):
+        got = [(r.node, r.label) for r in graph.components(df, alone).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(x, find(x)) for x in list(parent)}
 
 
 def nearest(rows, asked, k):
