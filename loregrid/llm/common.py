@@ -167,19 +167,21 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return span_hash(sums, starts, ends), np.searchsorted(starts, at)
 
 
+_SET = False
+
+
 def _returned() -> None:
-    """In a worker process: arrays of 1 MB or more go back to the system when they are freed, instead of staying with a process that later tasks use again."""
+    """In a worker process: large arrays go back to the system when they are freed, instead of staying with a process that later tasks use again. Those of a slice are smaller and stay."""
     global _SET
     if not _SET:
         _SET = True
         with contextlib.suppress(OSError, AttributeError):  # other C libraries
-            ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
-
-
-_SET = False
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 4 << 20)  # the least size that is mapped by itself
+            libc.mallopt(-1, 16 << 20)  # what may stay free at the heap's end
 
 
-def slices(table: pa.RecordBatch, column: str, most: int = (1 << 20) - 64):
+def slices(table: pa.RecordBatch, column: str, most: int = (1 << 18) - 64):
     """Parts of a batch with about so many bytes of text in one column each; one longer text is a part of its own."""
     _returned()
     _, at = buffer_of(table.column(column))

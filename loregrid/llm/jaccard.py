@@ -184,7 +184,7 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("band", "<i2")])
 
 
-def _blobs(threshold: Fraction, width: int, buckets: int, most: int = 500_000):
+def _blobs(threshold: Fraction, width: int, buckets: int, most: int = 300_000):
     """Rows of (doc_id, text) to (bucket, kind, blob). kind 0: entries of a bucket of keys. kind 1: members of keys that are crowded within a task already; the bucket then gets some of them to tell."""
 
     def run(batches):
@@ -330,7 +330,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, threshold: Fraction, width: int)
     spokes = salted.join(near, salted.spoke == near.doc_id).select("hub", "salt", "spoke", "text")
     hubs = salted.select("hub", "salt").distinct()
     hubs = hubs.join(near, hubs.hub == near.doc_id).select("hub", "salt", F.lit(None).cast("long").alias("spoke"), "text")
-    rows = hubs.unionByName(spokes).repartition(parts(docs), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("spoke").asc_nulls_first())
+    rows = hubs.unionByName(spokes).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("spoke").asc_nulls_first())
     return stored(rows.mapInArrow(_check(threshold, width), "a long, b long"), "links")
 
 
@@ -391,7 +391,7 @@ def _across(order: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataF
     first = held.where(F.col("k") <= ROUND).groupBy("key").agg(F.collect_list(F.struct("doc", "label", "n", "sketch")).alias("first"))  # ROUND at most
     first = first.join(salts, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "first")
     others = held.join(salts, "key").select("key", F.pmod(F.xxhash64("doc"), "salts").alias("salt"), "doc", "label", "n", "sketch")
-    rows = others.unionByName(first, allowMissingColumns=True).repartition(parts(order), "key", "salt").sortWithinPartitions("key", "salt", F.col("doc").asc_nulls_first())
+    rows = others.unionByName(first, allowMissingColumns=True).repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("doc").asc_nulls_first())
     return rows.select("key", "salt", "first", "doc", "label", "n", "sketch").mapInArrow(_meeting(threshold), "a long, b long").distinct()
 
 

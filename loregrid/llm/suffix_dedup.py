@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _B_INV, buffer_of, mixed, parts, powers, prefix_hash, slices, small_batches, span_hash, stored
+from .common import _B_INV, buffer_of, mixed, powers, prefix_hash, slices, small_batches, span_hash, stored
 
 #: Documents (20 bytes each) that may be broadcast.
 SENT = 1 << 19
@@ -95,7 +95,7 @@ def _record(rows: np.ndarray, names=None) -> pa.RecordBatch:
 class _Held:
     """Rows of a task: copies among them are settled, one of each cell goes on."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.rows, self.count, self.most = [], 0, most
 
     def add(self, rows: np.ndarray):
@@ -291,7 +291,7 @@ def _neighbours(scheme: Scheme):
 
 def _ranked(rows: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
     """(doc, text, place) of repeated cells and windows, and (doc, text, place, bound, weight) of cells whose windows go on."""
-    placed = rows.repartitionByRange(parts(rows), *_SORTED).sortWithinPartitions(*_SORTED)
+    placed = rows.repartitionByRange(*_SORTED).sortWithinPartitions(*_SORTED)
     told = stored(placed.mapInArrow(_neighbours(scheme), _OUT), "ranked")
     edges = told.where("kind = 2").collect()  # two rows of a partition
     edges.sort(key=lambda r: (r.anchor, r.tail, r.cell))
