@@ -1,8 +1,8 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network predicts every word from the words on both sides, with the word itself masked; a document's score is the sum of its words' conditional
-log-probabilities. The vocabulary is the corpus' most frequent words; other words share hashed classes. Every partition trains the network on a share
-of its words from common weights, the weights are averaged, and so for some rounds: what is gathered grows with the corpus, what reaches the driver
+log-probabilities. The vocabulary is the corpus' most frequent words; other words share hashed classes. Every partition trains the network on a part
+of its words from common weights, the weights are averaged, and so for some rounds, until every word was a target: what is gathered grows with the corpus, what reaches the driver
 does not. The output layer has two halves (row and column of the class), so its cost grows with the root of the number of classes.
 """
 
@@ -206,8 +206,9 @@ class Model:
     network: Network
 
 
-def fit(docs: DataFrame, rounds: int = 2, every: int = 24, batch_size: int = 2_048, rate: float = 0.5, window: int = 3) -> Model:
-    """A model of all texts. Words are counted over all documents; in each of the rounds every partition trains on one word in `every`, all over its texts.
+def fit(docs: DataFrame, rounds: int = 2, every: int = 2, batch_size: int = 2_048, rate: float = 0.5, window: int = 3) -> Model:
+    """A model of all texts. Words are counted over all documents; in each of the rounds every partition trains on one word in `every`, all over its texts:
+    with as many rounds, on every word once.
 
     The driver gets the known words' counts, and weights averaged to 16 rows at most.
     """

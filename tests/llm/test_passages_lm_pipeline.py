@@ -1,7 +1,9 @@
 import hashlib
+import inspect
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -126,6 +128,18 @@ def test_training_learns_both_sides(spark):
     assert lmscore.scored(odd, empty).count() == 7
 
 
+def test_every_word_is_a_target():
+    """The turns of fit() as it is called, on one partition: each word is trained on once."""
+    default = {k: v.default for k, v in inspect.signature(lmscore.fit).parameters.items()}
+    rounds, every = default["rounds"], default["every"]
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{k}" for k in range(n)) for n in (1, 5, 100, 0, 1_001)]})
+    net, seen = lmscore.Network.fresh(np.ones(lmscore.CLASSES), width=4), 0
+    for turn in range(rounds):
+        run = lmscore._trained(net, np.zeros(0, np.uint64), every, turn * every // rounds, 64, 0.5)
+        seen += sum(b.column("n").to_pylist()[0] for b in run(iter([batch])))
+    assert seen == 1_107
+
+
 def test_lm_query_covers_all_words(spark, sf_dir):
     rows = {r.doc_id: r for r in QUERIES["op9_lm_score"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
