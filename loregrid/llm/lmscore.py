@@ -1,7 +1,8 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A small network predicts every word from the words on both sides, with the word itself masked; a document's score is the sum of its words' conditional
-log-probabilities. The vocabulary is the corpus' most frequent words; other words share hashed classes. Every partition trains the network on a part
+log-probabilities. The corpus' most frequent words are classes of their own; the others share hashed classes, and within its class each word has the share
+that its own count in the corpus gives it. All counts are kept: the most frequent at hand, the rest in a table that is joined. Every partition trains the network on a part
 of its words from common weights, the weights are averaged, and so for some rounds, until every word was a target: what is gathered grows with the corpus, what reaches the driver
 does not. The output layer has two halves (row and column of the class), so its cost grows with the root of the number of classes.
 """
@@ -15,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, parts, slices, texts, word_hashes
+from .common import buffer_of, parts, slices, stored, texts, word_hashes
 
 SIDE = 32
 CLASSES = SIDE * SIDE
 #: Classes: known words, shared by hash, and (never predicted) beyond a text's ends.
 KNOWN, OUTSIDE = 768, CLASSES - 1
 SHARED = OUTSIDE - KNOWN
+#: So many words' counts are sent to the tasks; those of others are joined by exchange.
+AT_HAND = 1 << 18
 
 
 def classes(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -71,7 +74,7 @@ class Network:
         return len(self.context) // 2
 
     def _forward(self, around: np.ndarray, word: np.ndarray):
-        """(hidden layer, log-probabilities of rows, of columns given the row) for places' contexts."""
+        """(hidden layer, scores of rows, of columns given the row; the largest of each is 0) for places' contexts."""
         h = self.context[0][around[0]]
         for k in range(1, len(around)):
             h += self.context[k][around[k]]
@@ -79,27 +82,27 @@ class Network:
         np.tanh(h, out=h)
         a = h @ self.row + self.row_bias
         a -= a.max(1, keepdims=True)
-        a -= np.log(np.exp(a).sum(1, keepdims=True))
         b = h @ self.column + self.given[word // SIDE]
         b -= b.max(1, keepdims=True)
-        b -= np.log(np.exp(b).sum(1, keepdims=True))
         return h, a, b
 
-    def log_probability(self, around: np.ndarray, word: np.ndarray, step: int = 16_384) -> np.ndarray:
+    def log_probability(self, around: np.ndarray, word: np.ndarray, step: int = 4_096) -> np.ndarray:
         """Of each word given its context (2 * window classes, those on the left first)."""
         out = np.empty(len(word))
         for i in range(0, len(word), step):
             w = word[i : i + step]
             _, a, b = self._forward(around[:, i : i + step], w)
             at = np.arange(len(w))
-            out[i : i + step] = a[at, w // SIDE] + b[at, w % SIDE]
+            out[i : i + step] = a[at, w // SIDE] + b[at, w % SIDE] - np.log(np.exp(a).sum(1)) - np.log(np.exp(b).sum(1))
         return out
 
     def train(self, around: np.ndarray, word: np.ndarray, rate: float) -> None:
         """A step down the gradient of the mean negative log-probability."""
         n, at = len(word), np.arange(len(word))
-        h, a, b = self._forward(around, word)
-        ga, gb = np.exp(a), np.exp(b)
+        h, ga, gb = self._forward(around, word)
+        for g in (ga, gb):
+            np.exp(g, out=g)
+            g /= g.sum(1, keepdims=True)
         ga[at, word // SIDE] -= 1
         gb[at, word % SIDE] -= 1
         gh = (ga @ self.row.T + gb @ self.column.T) * (1 - h * h)
@@ -111,7 +114,7 @@ class Network:
         self.given -= rate / n * (which @ gb)
         self.hidden -= rate / n * gh.sum(0)
         for k in range(len(self.context)):
-            order = np.argsort(around[k], kind="stable")
+            order = np.argsort(around[k].astype(np.int16), kind="stable")  # sorted by radix
             c = around[k][order]
             start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
             # rare classes get longer steps: by the root of the batch's size instead of the size
@@ -202,24 +205,39 @@ def _averaged(batches):
 
 @dataclass
 class Model:
+    """vocabulary: sorted hashes of known words. held, held_log: sorted hashes of the most frequent words, and the logarithms of their counts.
+
+    rest: word, n of the other words that stand more than once; None without such. A word in neither stands once. shared_log: of all words of each hashed class.
+    """
+
     vocabulary: np.ndarray
     network: Network
+    held: np.ndarray
+    held_log: np.ndarray
+    rest: DataFrame | None
+    shared_log: np.ndarray
 
 
 def fit(docs: DataFrame, rounds: int = 2, every: int = 2, batch_size: int = 2_048, rate: float = 0.5, window: int = 3) -> Model:
     """A model of all texts. Words are counted over all documents; in each of the rounds every partition trains on one word in `every`, all over its texts:
     with as many rounds, on every word once.
 
-    The driver gets the known words' counts, and weights averaged to 16 rows at most.
+    The driver gets the counts of AT_HAND words and of the hashed classes, and weights averaged to 16 rows at most.
     """
-    counted = word_counts(docs)
-    top = counted.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    top = sorted((np.int64(r.word).view(np.uint64).item(), r.n) for r in top)
-    vocabulary = np.array([w for w, _ in top], np.uint64)
-    counts = np.zeros(CLASSES)
-    counts[: len(top)] = [n for _, n in top]
-    counts[KNOWN:OUTSIDE] = max(0, total - counts.sum()) / SHARED
+    counted = stored(word_counts(docs), "words")
+    top = counted.orderBy(F.desc("n"), "word").limit(AT_HAND).toArrow()
+    held, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    vocabulary, counts = np.sort(held[:KNOWN]), np.zeros(CLASSES)
+    counts[: len(vocabulary)] = n[:KNOWN][np.argsort(held[:KNOWN])]
+    negative = F.when(F.col("word") < 0, F.lit(2**64 % SHARED)).otherwise(F.lit(0))  # hashes are unsigned
+    shared = F.pmod(F.pmod(F.col("word"), F.lit(SHARED)) + negative, F.lit(SHARED))
+    for r in counted.groupBy(shared.alias("k")).agg(F.sum("n").alias("n")).collect():
+        counts[KNOWN + r.k] = r.n
+    np.subtract.at(counts, classes(held[:KNOWN], vocabulary[:0]), n[:KNOWN])
+    rest = None
+    if len(held) == AT_HAND and n[-1] > 1:
+        last = top.slice(AT_HAND - 1).to_pylist()[0]
+        rest = counted.where((F.col("n") > 1) & ((F.col("n") < last["n"]) | (F.col("n") == last["n"]) & (F.col("word") > last["word"])))
     network = Network.fresh(counts, window)
     text = texts(docs).select("text")
     for turn in range(rounds):
@@ -229,24 +247,44 @@ def fit(docs: DataFrame, rounds: int = 2, every: int = 2, batch_size: int = 2_04
             seen = sum(r.n for r in got)
             mean = sum(np.frombuffer(r.weights, "<f4").astype(float) * (r.n / seen) for r in got)
             network = network.unpacked(mean.astype("<f4").tobytes())
-    return Model(vocabulary, network)
+    order = np.argsort(held)
+    return Model(vocabulary, network, held[order], np.log(n[order]).astype(np.float32), rest, np.log(counts[KNOWN:OUTSIDE] + 1))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (the sum over all words), score (the mean, 0 without words) of each whole text.
 
-    Words are runs of bytes beside white space, with A-Z lower-cased. Null and empty texts have no words. Rows that repeat are scored each; an empty table
-    gives no rows; other columns are not read.
+    Words are runs of bytes beside white space, with A-Z lower-cased. A word that the corpus doesn't have counts as one that stands there once. Null and empty
+    texts have no words. Rows that repeat are scored each; an empty table gives no rows; other columns are not read.
     """
+    vocabulary, network, held, held_log, shared_log, joins = model.vocabulary, model.network, model.held, model.held_log, model.shared_log, model.rest is not None
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 words, first = word_hashes(*buffer_of(batch.column("text")))
-                word = classes(words, model.vocabulary)
-                p = model.network.log_probability(contexts(word, first, model.network.window), word)
+                word = classes(words, vocabulary)
+                p = network.log_probability(contexts(word, first, network.window), word)
                 n = np.diff(first)
-                total = np.bincount(np.repeat(np.arange(len(n)), n), weights=p, minlength=len(n))[: len(n)].astype(float)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(n, 1))], names=["doc_id", "n_tokens", "log_likelihood", "score"])
-
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, score double")
+                doc = np.repeat(np.arange(len(n)), n)
+                hashed = np.flatnonzero(word >= KNOWN)
+                w = words[hashed]
+                at = np.minimum(np.searchsorted(held, w), max(0, len(held) - 1))
+                here = held[at] == w if len(held) else np.zeros(len(w), bool)
+                p[hashed] -= shared_log[word[hashed] - KNOWN]
+                p[hashed[here]] += held_log[at[here]]
+                total = np.bincount(doc, weights=p, minlength=len(n))[: len(n)].astype(float)
+                row = batch.column("row")
+                yield pa.RecordBatch.from_arrays([row, batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total), pa.nulls(len(n), pa.int64())], names=["row", "doc_id", "n_tokens", "log_likelihood", "word"])
+                if joins:
+                    far, of = w[~here].view(np.int64), row.to_numpy()[doc[hashed[~here]]]
+                    for i in range(0, len(far), 50_000):
+                        f, none = far[i : i + 50_000], len(far[i : i + 50_000])
+                        yield pa.RecordBatch.from_arrays([pa.array(of[i : i + 50_000]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float64()), pa.array(f)], names=["row", "doc_id", "n_tokens", "log_likelihood", "word"])
+
+    out = texts(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "row long, doc_id long, n_tokens long, log_likelihood double, word long")
+    if joins:
+        out = stored(out, "scored")
+        more = out.where("n_tokens IS NULL").select("row", "word").join(model.rest, "word").groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+        out = out.where("n_tokens IS NOT NULL").join(more, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1))).alias("score"))

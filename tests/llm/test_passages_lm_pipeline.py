@@ -140,6 +140,32 @@ def test_every_word_is_a_target():
     assert seen == 1_107
 
 
+@pytest.mark.parametrize("at_hand", [1 << 18, 800])
+def test_words_of_a_class_keep_their_counts(spark, monkeypatch, at_hand):
+    """Counts sent to the tasks, or joined: words of one hashed class differ by the logarithm of their counts."""
+    monkeypatch.setattr(lmscore, "AT_HAND", at_hand)
+    often = [f"o{k}" for k in range(900)]
+    rare = [f"r{k}" for k in range(600)]
+    lines = [" ".join(often)] * 9 + [" ".join(rare)] + [" ".join(rare[:300])] * 2
+    model = lmscore.fit(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3), batch_size=128)
+    hashes, _ = texts_of(" ".join(often + rare))
+    at = lmscore.classes(hashes, model.vocabulary)
+    n = {w: 9 for w in often} | {w: 3 if k < 300 else 1 for k, w in enumerate(rare)}
+    groups = defaultdict(list)
+    for w, c in zip(often + rare, at):
+        if c >= lmscore.KNOWN:
+            groups[c].append(w)
+    words = [w for g in groups.values() if len({n[w] for w in g}) > 1 for w in g]
+    got = {r.doc_id: r.log_likelihood for r in lmscore.scored(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), model).collect()}
+    of = {w: got[i] for i, w in enumerate(words)}
+    for g in groups.values():
+        total = sum(n[w] for w in g)
+        assert abs(model.shared_log[at[(often + rare).index(g[0])] - lmscore.KNOWN] - np.log(total + 1)) < 1e-9
+        for w in g[1:] if g[0] in of else []:
+            assert abs(of[w] - of[g[0]] - np.log(n[w] / n[g[0]])) < 1e-4
+    assert len({n[w] for w in of}) == 3 and (model.rest is not None) == (at_hand == 800)
+
+
 def test_lm_query_covers_all_words(spark, sf_dir):
     rows = {r.doc_id: r for r in QUERIES["op9_lm_score"](spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
