@@ -17,6 +17,19 @@ def values(df, *columns):
 # ---------------------------------------------------------------- text
 
 
+def test_whole_documents_are_sanitised(spark, sf_dir):
+    from loregrid import queries
+
+    docs = {str(r.doc_id): r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.text and r.text.isascii() and len(r.text) > 200}
+    added = {0: ("[已移除] ", ""), 1: ("", " [已移除] [已移除]1)"), 2: ("", " [已移除]"), 3: ("", "")}
+    want = {i: added[int(i) % 4][0] + t + added[int(i) % 4][1] for i, t in docs.items()}
+    plain = {r.id: r.content for r in queries.QUERIES["sanitize_text_whole"](spark, sf_dir).collect()}
+    full = {r.id: r.content for r in queries.QUERIES["sanitize_nfkc"](spark, sf_dir).collect()}
+    assert want and {i: plain[i] for i in want} == want and {i: full[i] for i in want} == {i: t + " full 1 fi" for i, t in want.items()}
+    log = {r.item_id for r in queries.QUERIES["sanitize_log_whole"](spark, sf_dir).collect()}
+    assert {i for i in want if int(i) % 4 < 3} == log & set(want) and {r.item_id for r in queries.QUERIES["audit_log_whole"](spark, sf_dir).collect()} == log
+
+
 def test_token_estimates(spark):
     df = spark.createDataFrame([("积分abc。",), ("",), ("abcde",)], "t string")
     assert values(df.select(text.prompt_tokens(F.col("t")).alias("n")), "n") == [3, 0, 2]
