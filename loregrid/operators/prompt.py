@@ -50,26 +50,64 @@ def dedup_by_content(items: DataFrame) -> DataFrame:
     return full.unionByName(items.where("content IS NULL OR content = ''"))
 
 
-def dedup_near(items: DataFrame, ratio: float = 0.92, kept_most: int = 50) -> DataFrame:
-    """items without those too similar to one of the first kept_most kept before them, best scores first.
+def dedup_near(items: DataFrame, ratio: float = 0.92, kept_most: int | None = None) -> DataFrame:
+    """items without those too similar to one kept before them (of the first kept_most, if given), best scores first.
 
-    Texts are compared in lower case by the share of matching blocks, and only where neither is more than twice as long as the other. Items are the results
-    of one query, so a group is a few rows.
+    Texts are compared in lower case by the share of matching blocks, and only where neither is more than twice as long as the other. A query's items are one
+    task. Pairs whose lengths, counts of characters or runs of four characters rule out the ratio are not compared; these are bounds, so no pair is lost.
     """
     import difflib
 
+    import numpy as np
+
     names = items.columns
 
+    def bags(text):
+        """Counts of characters in 128 classes, and the sorted runs of four characters, numbered where they repeat."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        g = np.sort(((c[:-3] * 1_000_003 + c[1:-2]) * 1_000_003 + c[2:-1]) * 1_000_003 + c[3:]) if len(c) > 3 else c[:0]
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+        nth = np.arange(len(g)) - np.repeat(start, np.diff(np.append(start, len(g))))
+        return np.bincount((c % 128).astype(np.int64), minlength=128).astype(np.int32), np.sort(g * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64))
+
     def run(pdf):
-        kept, rows = [], []
+        kept, rows, seen = [], [], set()
+        sizes, chars, runs = np.zeros(16, np.int64), np.zeros((16, 128), np.int32), []
         order = pdf.assign(_s=pdf["score"].fillna(0.0)).sort_values(["_s", "ord"], ascending=[False, True], kind="stable").drop(columns="_s")
+
+        def near(text, n, own, quads):
+            most = len(kept) if kept_most is None else min(kept_most, len(kept))
+            both = sizes[:most] + n
+            at = np.flatnonzero((2 * np.minimum(sizes[:most], n) >= ratio * both - 1e-6) & (sizes[:most] <= 2 * n) & (n <= 2 * sizes[:most]))
+            at = at[2 * np.minimum(chars[at], own).sum(1) >= ratio * both[at] - 1e-6]
+            for k in at:
+                total = both[k]
+                match = int(np.ceil(ratio * total / 2 - 1e-6))
+                # matches lie in at most one block more than there are characters unmatched, and a block has three runs fewer than characters
+                least = match - 3 * (total - 2 * match + 1)
+                if least > 0 and len(np.intersect1d(quads, runs[k], assume_unique=True)) < least:
+                    continue
+                if difflib.SequenceMatcher(None, kept[k], text).ratio() >= ratio:
+                    return True
+            return False
+
         for i, content in zip(order.index, order["content"]):
             text = (content or "").lower()
-            near = text and any(len(text) <= 2 * len(k) and len(k) <= 2 * len(text) and difflib.SequenceMatcher(None, k, text).ratio() >= ratio for k in kept[:kept_most])
-            if not near:
+            if not text:
                 rows.append(i)
-                if text:
-                    kept.append(text)
+                continue
+            if kept_most is None and text in seen:  # kept, or near one that is
+                continue
+            seen.add(text)
+            own, quads = bags(text)
+            if near(text, len(text), own, quads):
+                continue
+            rows.append(i)
+            if len(kept) == len(sizes):
+                sizes, chars = np.concatenate([sizes, np.zeros_like(sizes)]), np.concatenate([chars, np.zeros_like(chars)])
+            sizes[len(kept)], chars[len(kept)] = len(text), own
+            kept.append(text)
+            runs.append(quads)
         return order.loc[rows, names]
 
     return items.groupBy("query_id").applyInPandas(run, items.schema)

@@ -486,9 +486,7 @@ def dedup_by_content(spark, sf):
 
 @query()
 def dedup_near(spark, sf):
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
-    top = _items(spark, sf).withColumn("k", F.row_number().over(best)).where("k <= 10").drop("k")  # a search gives ten at most
-    return prompt.dedup_near(top).select("query_id", "id", "score")
+    return prompt.dedup_near(_items(spark, sf)).select("query_id", "id", "score")
 
 
 @query(_with(_ITEMS, f"SELECT query_id, id, {_ORDER} AS type_rank, CAST(row_number() OVER (PARTITION BY query_id, type ORDER BY score DESC, ord) AS INTEGER) AS group_rank FROM items"))

@@ -139,6 +139,39 @@ def test_dedup_near(spark):
     assert sorted(values(prompt.dedup_near(i), "ord")) == [2, 3, 4, 5, 6]
 
 
+def test_dedup_near_compares_all_rows(spark, sf_dir):
+    """By plain loops over all items, beyond 10 rows a query and 50 kept ones."""
+    import difflib
+    import random
+
+    from loregrid import queries
+
+    def plain(rows):
+        kept, out = [], []
+        for r in sorted(rows, key=lambda r: (-(r.score or 0), r.ord)):
+            t = (r.content or "").lower()
+            if t and any(len(t) <= 2 * len(k) and len(k) <= 2 * len(t) and difflib.SequenceMatcher(None, k, t).ratio() >= 0.92 for k in kept):
+                continue
+            out.append((r.query_id, r.ord))
+            kept += [t] if t else []
+        return out
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdefgh ij") for _ in range(r.randint(5, 260))) for _ in range(120)]
+    for _ in range(80):
+        t = list(r.choice(texts[:120]))
+        for _ in range(int(len(t) * r.choice([0.01, 0.05, 0.08, 0.1]))):
+            t[r.randrange(len(t))] = r.choice("xyzab")
+        texts.append("".join(t))
+    made = spark.createDataFrame([("q", str(i), t, 1 - i / 1000, i) for i, t in enumerate(texts)], "query_id string, id string, content string, score double, ord long")
+    want = plain(made.collect())
+    assert 120 < len(want) < 195 and sorted(values(prompt.dedup_near(made), "query_id", "ord")) == sorted(want)
+    items, want = queries._items(spark, sf_dir).collect(), []
+    for q in {i.query_id for i in items}:
+        want += [f"{o}" for _, o in plain([i for i in items if i.query_id == q])]
+    assert sorted(values(queries.QUERIES["dedup_near"](spark, sf_dir), "id")) == sorted(want)
+
+
 def test_assembly(spark):
     names = "query_id string, id string, type string, content string, score double, ord int, source string, version string, deprecated_in string, security_rule string"
     items = spark.createDataFrame([("q", "a", "api", "sig", 0.9, 1, "sdk_code", "1.0", None, None), ("q", "b", "document", "word " * 40, 0.8, 2, "doc", None, None, None), ("q", "c", "term", "short", 0.5, 3, "doc", None, None, None)], names)
