@@ -49,6 +49,11 @@ def _vector_queries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").where("vec_id < 4").select(F.concat(F.lit("q"), (F.col("vec_id") + 1).cast("string")).alias("query_id"), "embedding")
 
 
+def _all_vector_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """One of a hundred vectors asks."""
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("query_id"), "embedding")
+
+
 # ---------------------------------------------------------------- SQL that several queries share
 
 _TYPES_SQL = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
@@ -195,12 +200,22 @@ def vector_topk_postfilter(spark, sf):
     return vector.top(_vectors(spark, sf), _vector_queries(spark, sf), 20, types=["api", "spec"])
 
 
+@query()
+def vector_topk_whole(spark, sf):
+    return vector.top(_vectors(spark, sf), _all_vector_queries(spark, sf), 5)
+
+
+@query()
+def vector_topk_postfilter_whole(spark, sf):
+    return vector.top(_vectors(spark, sf), _all_vector_queries(spark, sf), 20, types=["api", "spec"])
+
+
 @query()
 def vector_topk_cells(spark, sf):
     import numpy as np
 
     centres = np.array([r.e for r in _vectors(spark, sf).where("vec_id < 16").orderBy("vec_id").select(F.col("embedding").alias("e")).collect()])
-    return vector.top_by_cells(_vectors(spark, sf), _vector_queries(spark, sf), centres, 5, probes=10)
+    return vector.top_by_cells(_vectors(spark, sf), _all_vector_queries(spark, sf), centres, 5, probes=10)
 
 
 @query()

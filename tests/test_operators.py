@@ -94,6 +94,27 @@ def test_vector_filters(spark):
     assert abs(sum(x * x for x in e[0].embedding) - 1) < 1e-5 and not any(e[1].embedding)
 
 
+def test_recall_of_cells(spark, sf_dir):
+    """The query, with fewer probes than cells, against brute force on the embeddings."""
+    import numpy as np
+
+    from loregrid import queries
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, m = np.array([r.vec_id for r in e]), np.array([r.embedding for r in e], float)
+    got, exact = {}, {}
+    for name, out in (("vector_topk_cells", got), ("vector_topk_whole", exact)):
+        for r in queries.QUERIES[name](spark, sf_dir).collect():
+            out.setdefault(r.query_id, set()).add(r.id)
+    want = {}
+    for k in np.flatnonzero(ids % 100 == 0):
+        s = np.round(m @ m[k], 4)
+        want[f"v{ids[k]}"] = {str(ids[i]) for i in sorted(range(len(ids)), key=lambda i: (-s[i], str(ids[i])))[:5]}
+    assert len(want) == (ids % 100 == 0).sum() > 1 and set(got) == set(exact) == set(want)
+    recall = sum(len(got[q] & want[q]) for q in want) / (5 * len(want))
+    assert exact == want and recall >= 0.9, recall
+
+
 def test_graph_scores_and_traversal(spark):
     n = spark.createDataFrame([("find", "api", "none"), ("b", "api", "Find it"), ("c", "api", "find find"), ("d", "spec", "find " * 5)], "id string, type string, content string")
     q = spark.createDataFrame([("q", "FIND")], "query_id string, query string")
