@@ -248,7 +248,17 @@ def graph_neighbors(spark, sf):
 
 @query("SELECT DISTINCT a.l_orderkey AS src, b.l_orderkey AS dst FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey WHERE a.l_orderkey <> b.l_orderkey AND a.l_quantity > 49 AND b.l_quantity > 49")
 def graph_two_hop(spark, sf):
-    items = table(spark, sf, "lineitem").where("l_quantity > 49").select("l_orderkey", F.concat_ws("|", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("offer"))
+    return _two_hop(table(spark, sf, "lineitem").where("l_quantity > 49"))
+
+
+@query()
+def graph_two_hop_whole(spark, sf):
+    return _two_hop(table(spark, sf, "lineitem"))
+
+
+def _two_hop(lines):
+    """Orders that share an offer, by the edges between lines' orders and offers."""
+    items = lines.select("l_orderkey", F.concat_ws("|", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("offer"))
     edges = items.select(F.col("l_orderkey").cast("string").alias("src"), F.col("offer").alias("dst")).unionByName(items.select(F.col("offer").alias("src"), F.col("l_orderkey").cast("string").alias("dst")))
     far = graph.two_hop(edges.distinct()).where(~F.contains("src", F.lit("|")))
     return far.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))

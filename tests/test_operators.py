@@ -128,6 +128,17 @@ def test_graph_scores_and_traversal(spark):
     assert values(graph.upsert_edges(e.withColumn("ord", F.lit(1)).unionByName(e.withColumn("ord", F.lit(2)).withColumn("relation", F.lit("NEW")))), "relation") == ["NEW"] * 8
 
 
+def test_two_hop_takes_all_lines(spark, sf_dir):
+    from loregrid import queries
+
+    offers = {}
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect():
+        offers.setdefault((r.l_partkey, r.l_suppkey), set()).add(r.l_orderkey)
+    want = {(a, b) for o in offers.values() for a in o for b in o if a != b}
+    got = values(queries.QUERIES["graph_two_hop_whole"](spark, sf_dir), "src", "dst")
+    assert len(got) == len(want) and set(got) == want
+
+
 # ---------------------------------------------------------------- fusion
 
 
