@@ -192,12 +192,13 @@ def match(chunks: DataFrame, query: str, columns: tuple[str, ...] = ("content",)
 # ---------------------------------------------------------------- ranking
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, mode: str = "ranked", k: int = 30) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, mode: str = "ranked", k: int = 30, types: list[str] | None = None, module: str | None = None) -> DataFrame:
     """query_id, id, raw, score, rank: the k best chunks of each query (query_id, query).
 
     ranked: all columns weigh 1, score = 1 / (1 + exp(raw)) with raw <= 0, so better is higher. compat: only module and meta_json weigh, and
     score = 1 / (1 + exp(-raw)). lucene: the better of content and title, each by itself; score is the raw sum. A query's tokens each add their share; chunks
-    are joined on the tokens that queries have, so only those postings are made.
+    are joined on the tokens that queries have, so only those postings are made. types and module keep only chunks of those, before the k are chosen; scores
+    are those of all chunks.
     """
     columns = ("content", "title") if mode == "lucene" else ("title", "content", "module", "meta_json") if mode == "compat" else ("title", "content", "module")
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).distinct()
@@ -225,5 +226,9 @@ def bm25(chunks: DataFrame, queries: DataFrame, mode: str = "ranked", k: int = 3
         x = x.groupBy("query_id", "id").agg((-F.sum("share")).alias("s"))
         sign = -1 if mode == "compat" else 1
         x = x.select("query_id", "id", F.round("s", 4).alias("raw"), F.round(1 / (1 + F.exp(sign * F.col("s"))), 4).alias("score"))
+    if types or module:
+        kept = chunks.where(F.col("type").isin(types)) if types else chunks
+        kept = kept.where(F.col("module") == module) if module else kept
+        x = x.join(kept.select("id"), "id", "left_semi")
     order = Window.partitionBy("query_id").orderBy(F.col("raw").desc() if mode == "lucene" else F.col("raw"), "id")
     return x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

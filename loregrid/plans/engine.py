@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from ..operators import fts, fusion, graph, prompt, vector
 from ..schemas import CANDIDATE_MULTIPLIER, MIN_SCORE
 
-#: A leg takes the queries and how many candidates to give, and returns query_id, id, score, rank.
-Leg = Callable[[DataFrame, int], DataFrame]
+#: A leg takes the queries, how many candidates to give, and types and module or None, and returns query_id, id, score, rank. Legs of two arguments are filtered afterwards.
+Leg = Callable[..., DataFrame]
 
 
 @dataclass
@@ -26,18 +27,20 @@ class Engine:
 
     def __post_init__(self):
         if not self.legs:
-            self.legs = {"bm25": lambda q, k: fts.bm25(self.chunks, q, self.mode, k)}
+            self.legs = {"bm25": lambda q, k, types=None, module=None: fts.bm25(self.chunks, q, self.mode, k, types, module)}
             if self.vectors is not None:
                 self.legs["vector"] = lambda q, k: vector.top(self.vectors, q, k)
-            self.legs["graph"] = lambda q, k: graph.substring(graph.nodes(self.chunks), q, k)
+            self.legs["graph"] = lambda q, k, types=None, module=None: graph.substring(graph.nodes(self.chunks), q, k, types)
 
-    def candidates(self, queries: DataFrame, top_k: int = 5) -> DataFrame:
+    def candidates(self, queries: DataFrame, top_k: int = 5, types: list[str] | None = None, module: str | None = None) -> DataFrame:
+        """Legs that take types and module choose by them before they cut."""
         k = top_k * CANDIDATE_MULTIPLIER
-        return fusion.union([(name, leg(queries, k)) for name, leg in self.legs.items()])
+        filters = lambda leg: {n: v for n, v in (("types", types), ("module", module)) if n in inspect.signature(leg).parameters}
+        return fusion.union([(name, leg(queries, k, **filters(leg))) for name, leg in self.legs.items()])
 
     def search(self, queries: DataFrame, top_k: int = 5, min_score: float = MIN_SCORE, types: list[str] | None = None, module: str | None = None) -> DataFrame:
         """query_id, place, id, type, content, title, module, leg, score of the best chunks of queries (query_id, query)."""
-        found = fusion.fuse(self.candidates(queries, top_k))
+        found = fusion.fuse(self.candidates(queries, top_k, types, module))
         chunks = self.chunks.where(F.col("type").isin(types)) if types else self.chunks
         chunks = chunks.where(F.col("module") == module) if module else chunks
         items = found.join(chunks.select("id", "type", "content", "title", "module", "meta_json"), "id").join(F.broadcast(queries.select("query_id", "query")), "query_id")

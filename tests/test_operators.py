@@ -139,6 +139,18 @@ def test_two_hop_takes_all_lines(spark, sf_dir):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_filters_come_before_the_cut(spark):
+    """The best candidates are of another type and module; those asked for are still found."""
+    names = "id string, type string, content string, title string, module string, meta_json string"
+    rows = [(f"a{i:02}", "api", "alpha beta " * 9, "alpha", "m1", "{}") for i in range(40)] + [("z1", "spec", "alpha beta and many other words", "t", "m2", "{}"), ("z2", "spec", "alpha beta with words", "t", "m3", "{}")]
+    rows += [(f"n{i:03}", "term", "nothing of it", "t", "m4", "{}") for i in range(100)]
+    engine = Engine(spark.createDataFrame(rows, names))
+    q = spark.createDataFrame([("q", "alpha beta")], "query_id string, query string")
+    find = lambda **how: sorted(values(engine.search(q, top_k=5, min_score=0.0, **how), "id"))
+    assert find(types=["spec"]) == ["z1", "z2"] and find(module="m2") == ["z1"] and find(types=["spec"], module="m3") == ["z2"] and find(types=["api"], module="m2") == []
+    assert len(find()) == 5
+
+
 # ---------------------------------------------------------------- fusion
 
 
