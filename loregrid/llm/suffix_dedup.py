@@ -1,8 +1,7 @@
 """Removal of repeated passages by sorted, ranked positions.
 
-Every window of `length` bytes that also starts anywhere else is removed. Suffixes are ranked by prefix doubling: a position's rank for a longer
-prefix comes from the ranks of its first part and of what follows it; Spark sorts (rank, longer rank, ...) of positions, each is compared with its
-neighbours, and a position whose prefix is unique is done. Doing so for every byte would move tens of times the input, so
+Every window of `length` bytes that also starts anywhere else is removed. One sort over fingerprints of prefixes at anchors
+replaces the rounds of prefix doubling: no rank comes from other ranks. Doubling for every byte would, by an estimate, move tens of times the input, so
 
 * only anchors are sorted: positions whose next few bytes have a hash of a given form. They depend on content alone, so equal passages have equal
   anchors. A window is known by its first anchor; the windows between two anchors form a cell, named by all bytes that they cover;
