@@ -24,13 +24,15 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 #: Rows in an Arrow batch of texts at most: texts may be long, and a batch is held several times over, in the JVM and in Python.
 BATCH_ROWS = 1_000
+BATCH_BYTES = "1m"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches; rows in a batch tell nothing of results."""
+    """Bounds the session's Arrow batches by rows and bytes; they tell nothing of results."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -56,6 +58,15 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of some tens of bytes that may be broadcast.
+SENT = 1 << 18
+
+
+def sent(df: DataFrame, most: int = SENT) -> DataFrame:
+    """df, a stored table, to be broadcast in a join if it has few rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def parts(df: DataFrame) -> int:
     """Partitions for an exchange."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,8 +8,9 @@ several whole parts, and documents are joined by (band, part, bits of the part).
 * Sets with few shingles are joined by single bits: each odd bit is a part of its own.
 * More parts than needed are made, so that a linked pair agrees on a given number of parts. Parts that are empty, or that very many documents share,
   may then be left out for documents that have few of them. Documents with many of them are joined by their rarest shingles instead.
-* Groups of a few documents give all their pairs. Larger ones give each document's pair with the smallest; then, as long as a group spans several
-  components, pairs across them. Within a component no pair is left to check: links there can't change it.
+* Groups of a few documents give all their pairs. Larger ones give each document's pair with the smallest. Groups that still span several components are
+  cut into blocks; the sketches of two blocks are compared at once, and pairs across components that may be similar go on. Within a component no pair is
+  left to check: links there can't change it.
 * Candidates are checked on their texts' full sets.
 """
 
@@ -23,17 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffer_of, mixed, parts, slices, stored, texts, word_hashes
+from .common import buffer_of, mixed, parts, sent, slices, stored, texts, word_hashes
 from .graph import components
 
 #: Groups up to this size give all their pairs at once.
 SMALL = 8
 #: Sets up to this size are joined by single bits.
 FEW = 32
-#: Documents of a large group that meet all others of it in one round.
-ROUND = 256
-#: Identifiers (8 bytes each) that may be broadcast.
-SENT = 1 << 20
+#: Bytes of sketches, by a bound, in a block of a large group's documents that meets others.
+BLOCK = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PART = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -254,33 +253,41 @@ _FOUND = "kind int, a long, b long, band int"
 
 
 def _meet(batches):
-    """Buckets to pairs (kind 0: a < b) of small groups and members (kind 1: document b of band) of crowded ones."""
-    by: dict[int, list[np.ndarray]] = {}
+    """Blobs sorted by (kind, bucket) to pairs (kind 0: a < b) of small groups and members (kind 1: document b of band) of crowded ones; one bucket is held at a time."""
+    held, at = [], None
     for batch in batches:
         for bucket, kind, blob in zip(*[batch.column(c).to_pylist() for c in ("bucket", "kind", "blob")]):
             if kind:
                 e = _unpacked(blob)
                 yield _rows(1, e["key"].view(np.int64), e["doc"], e["band"])
-            else:
-                by.setdefault(bucket, []).append(np.frombuffer(blob, np.uint8))
-    for bucket in list(by):
-        e = np.concatenate([_unpacked(x.tobytes()) for x in by.pop(bucket)])
-        order, start, size = _groups(e["key"])
-        e = e[order]
-        big = np.repeat(size > SMALL, size)
-        if big.any():
-            x = e[big]
-            yield _rows(1, x["key"].view(np.int64), x["doc"], x["band"])
-        a, b = [], []
-        for gap in range(1, SMALL):
-            for first in range(SMALL - gap):
-                i = start[(size <= SMALL) & (size > first + gap)] + first
-                a.append(e["doc"][i])
-                b.append(e["doc"][i + gap])
-        a, b = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-        if len(pairs):
-            yield _rows(0, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int32))
+                continue
+            if bucket != at and held:
+                yield from _met(np.concatenate(held))
+                held = []
+            at = bucket
+            held.append(_unpacked(blob))
+    if held:
+        yield from _met(np.concatenate(held))
+
+
+def _met(e: np.ndarray):
+    """What _meet() tells of one bucket's entries."""
+    order, start, size = _groups(e["key"])
+    e = e[order]
+    big = np.repeat(size > SMALL, size)
+    if big.any():
+        x = e[big]
+        yield _rows(1, x["key"].view(np.int64), x["doc"], x["band"])
+    a, b = [], []
+    for gap in range(1, SMALL):
+        for first in range(SMALL - gap):
+            i = start[(size <= SMALL) & (size > first + gap)] + first
+            a.append(e["doc"][i])
+            b.append(e["doc"][i + gap])
+    a, b = np.concatenate(a), np.concatenate(b)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+    if len(pairs):
+        yield _rows(0, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int32))
 
 
 def _rows(kind: int, a, b, band) -> pa.RecordBatch:
@@ -290,11 +297,6 @@ def _rows(kind: int, a, b, band) -> pa.RecordBatch:
 # ---------------------------------------------------------------- checking
 
 
-def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose ids are in ids (doc_id, distinct): a broadcast if they are few, else an exchange."""
-    return docs.join(F.broadcast(ids) if ids.count() <= SENT else ids, "doc_id", "left_semi")
-
-
 def _alike(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> bool:
     common = len(np.intersect1d(x, y, assume_unique=True))
     return common > 0 and common * threshold.denominator >= threshold.numerator * (len(x) + len(y) - common)
@@ -320,102 +322,113 @@ def _check(threshold: Fraction, width: int):
     return run
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, threshold: Fraction, width: int) -> DataFrame:
-    """The pairs (a, b), each once, whose sets are similar enough. A hub with many partners is dealt out, some hundred partners to a salt."""
-    pairs = stored(pairs, "pairs")
+def _linked(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    """The pairs (a, b), each once, whose sets are similar enough. Pairs whose whole sketches lie too far apart go first. A hub with many partners is dealt out, some hundred partners to a salt."""
+    for end in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+    pairs = stored(pairs.mapInArrow(_close(threshold), "a long, b long").distinct(), "candidates")  # documents whose ids repeat have several sketches
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 128).alias("salts"))
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    near = _wanted(docs, ids).select("doc_id", "text")
     salted = pairs.join(salts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("spoke"))
-    spokes = salted.join(near, salted.spoke == near.doc_id).select("hub", "salt", "spoke", "text")
-    hubs = salted.select("hub", "salt").distinct()
-    hubs = hubs.join(near, hubs.hub == near.doc_id).select("hub", "salt", F.lit(None).cast("long").alias("spoke"), "text")
-    rows = hubs.unionByName(spokes).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("spoke").asc_nulls_first())
-    return stored(rows.mapInArrow(_check(threshold, width), "a long, b long"), "links")
+    hubs = salted.select(F.col("hub").alias("doc_id"), "hub", "salt", F.lit(None).cast("long").alias("spoke")).distinct()
+    roles = stored(salted.select(F.col("spoke").alias("doc_id"), "hub", "salt", "spoke").unionByName(hubs), "roles")
+    rows = docs.join(sent(roles), "doc_id").select("hub", "salt", "spoke", "text")
+    rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("spoke").asc_nulls_first())
+    return stored(rows.mapInArrow(_check(threshold, width), "a long, b long").distinct(), "links")
 
 
-def _connected(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, threshold: Fraction, width: int) -> DataFrame:
-    """Links among the pairs that connect all that the pairs' links connect. Pairs whose whole sketches lie too far apart go first; then each document's pair with its smallest partner is checked, then those across components."""
-    for end in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
-    pairs = stored(pairs.mapInArrow(_close(threshold), "a long, b long").distinct(), "candidates")
-    links = _linked(docs, pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), threshold, width)
-    label = components(links)
-    rest = pairs
-    for end in ("a", "b"):
-        rest = rest.join(label.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
-    rest = rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-    rest = rest.join(pairs.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti")
-    return links.unionByName(_linked(docs, rest, threshold, width))
+# ---------------------------------------------------------------- crowded groups
 
 
-def _meeting(threshold: Fraction):
-    """Rows of (key, salt, first, doc, label, n, sketch), a key's first documents (as an array, doc null) before the others, to pairs that may be similar."""
-    share = (1 - threshold) / (1 + threshold)
+def _exploded(width: int):
+    """Rows of (doc_id, text) to (key, doc, set, n): the shingles of each text; set tells a document's texts apart where its id repeats."""
 
     def run(batches):
-        at, by = None, {}
-        for batch in batches:
-            a, b = [], []
-            for key, salt, first, doc, label, n, bits in zip(*[batch.column(c).to_pylist() for c in ("key", "salt", "first", "doc", "label", "n", "sketch")]):
-                if doc is None:
-                    at, by = (key, salt), {}
-                    for x in first:
-                        by.setdefault(len(x["sketch"]), []).append(x)
-                    by = {k: (*[np.array([x[c] for x in v], np.int64) for c in ("doc", "label", "n")], {k: np.array([np.frombuffer(x["sketch"], np.uint8) for x in v])}) for k, v in by.items()}
-                elif at == (key, salt):
-                    own = np.frombuffer(bits, np.uint8)
-                    for size, (docs, labels, sizes, folded) in by.items():
-                        short = min(size, len(own))
-                        if short not in folded:
-                            folded[short] = np.bitwise_xor.reduce(folded[size].reshape(len(docs), -1, short), axis=1)
-                        mine = np.bitwise_xor.reduce(own.reshape(-1, short), axis=0)
-                        apart = np.bitwise_count(folded[short] ^ mine).sum(1, dtype=np.int64)
-                        near = (labels != label) & (apart * share.denominator <= share.numerator * (sizes + n))
-                        for other in docs[near].tolist():
-                            a.append(min(doc, other))
-                            b.append(max(doc, other))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = shingles(*buffer_of(batch.column("text")), width)
+                size = [len(s) for s in sets]
+                if sum(size):
+                    ids = np.repeat(np.array(batch.column("doc_id").to_pylist(), np.int64), size)
+                    which = np.repeat(np.array([int(np.add.reduce(mixed(s))) if len(s) else 0 for s in sets], np.uint64), size)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(ids), pa.array(which.view(np.int64)), pa.array(np.repeat(size, size).astype(np.int64))], names=["key", "doc", "set", "n"])
 
     return run
 
 
-def _across(order: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs that may be similar between the first ROUND documents (k) of each key and its documents of other labels.
+def _rarest(docs: DataFrame, ids: DataFrame, threshold: Fraction, width: int) -> DataFrame:
+    """key, class, doc, n, short, own: the rarest shingles of the documents of ids among those of all of ids.
 
-    A key's first documents travel as one row to each salt of its others, and their sketches are compared there, so no more pairs leave than may be similar.
+    Of a linked pair the smaller set has 2t / (1 + t) of its shingles in common with the larger one at least, the larger one t of its own; so one of the few
+    shingles that the smaller may lack, and one more, taken from the rarest (short), is among as many of the larger. Keys are parted by classes of size that
+    differ by one at most for linked sets: a document is in its own class with all these, and with the short ones in the next class too (own is false).
     """
-    held = order.join(sketches, order.doc == sketches.doc_id).select("key", "doc", "label", "k", sketches.n, "sketch")
-    salts = order.groupBy("key").agg(F.ceil(F.count("*") / 512).alias("salts"))
-    first = held.where(F.col("k") <= ROUND).groupBy("key").agg(F.collect_list(F.struct("doc", "label", "n", "sketch")).alias("first"))  # ROUND at most
-    first = first.join(salts, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "first")
-    others = held.join(salts, "key").select("key", F.pmod(F.xxhash64("doc"), "salts").alias("salt"), "doc", "label", "n", "sketch")
-    rows = others.unionByName(first, allowMissingColumns=True).repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("doc").asc_nulls_first())
-    return rows.select("key", "salt", "first", "doc", "label", "n", "sketch").mapInArrow(_meeting(threshold), "a long, b long").distinct()
+    t, p = threshold, 2 * threshold / (1 + threshold)
+    rows = docs.join(sent(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_exploded(width), "key long, doc long, set long, n long").distinct()
+    often = rows.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    order = Window.partitionBy("doc", "set").orderBy("often", "key")
+    kept = rows.join(often, "key", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("k", F.row_number().over(order))
+    kept = kept.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator) + 1).where("often > 1")
+    short = F.col("k") <= F.col("n") - F.ceil(F.col("n") * p.numerator / p.denominator) + 1
+    kept = kept.select("key", "doc", "n", short.alias("short"), F.floor(F.log("n") / math.log(1.01 / t)).cast("int").alias("class"))
+    both = F.when(F.col("short"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    kept = kept.withColumn("own", F.explode(both)).withColumn("class", F.when(F.col("own"), F.col("class")).otherwise(F.col("class") + 1))
+    return stored(kept.select("key", "class", "doc", "n", "short", "own"), "rarest")
 
 
-def _exploded(width: int):
+def _meeting(threshold: Fraction):
+    """Rows of two blocks of documents (x, y) to pairs of different labels that may be similar."""
+    share = (1 - threshold) / (1 + threshold)
+
+    def columns(block: list[dict]):
+        by: dict[int, list[dict]] = {}
+        for d in block:
+            by.setdefault(len(d["sketch"]), []).append(d)
+        for size, rows in by.items():
+            yield size, {c: np.array([d[c] for d in rows]) for c in ("doc", "label", "n", "short", "own")}, np.array([np.frombuffer(d["sketch"], np.uint8) for d in rows])
+
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                sets = shingles(*buffer_of(batch.column("text")), width)
-                size = [len(s) for s in sets]
-                if sum(size):
-                    ids = np.repeat(np.array(batch.column("doc_id").to_pylist(), np.int64), size)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(ids), pa.array(np.repeat(size, size).astype(np.int64))], names=["key", "doc", "n"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (x,), (y,) = (batch.column(c).slice(i, 1).to_pylist() for c in ("x", "y"))
+                found, ys = [], list(columns(y))
+                for size, a, bits in columns(x):
+                    for other, b, more in ys:
+                        least = min(size, other)
+                        p, q = (np.bitwise_xor.reduce(z.reshape(len(z), -1, least), axis=1) for z in (bits, more))
+                        for k in range(len(p)):
+                            n = a["n"][k]
+                            near = (b["label"] != a["label"][k]) & (b["own"] | a["own"][k])
+                            near &= (a["short"][k] & (n <= b["n"])) | (b["short"] & (b["n"] <= n))
+                            near &= np.bitwise_count(q ^ p[k]).sum(1, dtype=np.int64) * share.denominator <= share.numerator * (b["n"] + n)
+                            if near.any():
+                                d, e = int(a["doc"][k]), b["doc"][near]
+                                found.append(np.stack([np.minimum(d, e), np.maximum(d, e)]))
+                if found:
+                    found = np.unique(np.concatenate(found, 1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(z)) for z in found], names=["a", "b"])
 
     return run
 
 
-def _rarest(docs: DataFrame, ids: DataFrame, threshold: Fraction, width: int) -> DataFrame:
-    """key, doc: each document's rarest shingles among those of ids, as many as a linked one can lack and one more."""
-    rows = _wanted(docs, ids).select("doc_id", "text").mapInArrow(_exploded(width), "key long, doc long, n long").distinct()
-    often = rows.groupBy("key").agg(F.count("*").alias("often"))
-    order = Window.partitionBy("doc").orderBy("often", "key")
-    lack = F.col("n") - F.ceil(F.col("n") * threshold.numerator / threshold.denominator)
-    kept = rows.join(often.where("often > 1"), "key", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("k", F.row_number().over(order)).where(F.col("k") <= lack + 1)
-    return stored(kept.where("often > 1").select("key", "doc"), "rarest")
+def _across(large: DataFrame, label: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of different labels that share a key and class of large, and may be similar.
+
+    Documents beside a key's largest label meet all of the key, in blocks whose sketches are compared at once; so the rows that are made are those of the blocks.
+    """
+    key = ["key", "class"]
+    large = stored(large.join(sent(label), large.doc == label.node, "left").select(*key, "doc", "n", "short", "own", F.coalesce("label", "doc").alias("label")), "members")
+    weight = F.sum(F.col("n") + 64)  # a sketch has fewer bytes than this
+    part = large.groupBy(*key, "label").agg(weight.alias("weight"), F.max("short").alias("short"), F.max("own").alias("own"))
+    whole = part.groupBy(*key).agg(F.count("*").alias("labels"), F.sum("weight").alias("weight"), F.max(F.struct("weight", "label")).alias("most"), F.max("short").alias("any_short"), F.max("own").alias("any_own"))
+    open_ = stored(whole.where("labels > 1 AND any_short AND any_own").select(*key, "weight", "most"), "open")
+    rows = large.join(sent(open_), key).withColumn("rest", F.col("label") != F.col("most.label"))
+    blocks = F.ceil(F.when(F.col("rest"), F.col("weight") - F.col("most.weight")).otherwise(F.col("most.weight")) / BLOCK)
+    rows = rows.select(*key, "rest", F.pmod(F.xxhash64("doc"), blocks).alias("block"), "doc", "label", "n", "short", "own")
+    rows = rows.join(sketches.select(F.col("doc_id").alias("doc"), "n", "sketch"), ["doc", "n"])
+    block = stored(rows.groupBy(*key, "rest", "block").agg(F.collect_list(F.struct("doc", "label", "n", "short", "own", "sketch")).alias("docs")), "blocks")
+    x = block.where("rest").select(*key, F.col("block").alias("i"), F.col("docs").alias("x"))
+    y = block.select(*key, F.col("block").alias("j"), "rest", F.col("docs").alias("y"))
+    return x.join(y, key).where("NOT rest OR i <= j").select("x", "y").mapInArrow(_meeting(threshold), "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -429,12 +442,13 @@ def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int =
     rows = texts(docs)
     sets = stored(rows.mapInArrow(lambda b: _digest(b, width), _SETS), "sets")
     same = ["n_shingles", "digest_a", "digest_b"]
-    first = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("class_id"))
-    classed = sets.join(first, same, "left").withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
-    classed = stored(classed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "classes")
+    first = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows"))
+    first = stored(first.where("rows > 1").drop("rows"), "classes")
+    classed = sets.select("doc_id", *same).join(sent(first), same, "left")  # both sides are plain exchanges beyond a broadcast, so a large class is split
+    classed = stored(classed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "classed")
     sketches = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("n_shingles").alias("n"), "sketch")
     rows = rows.where("doc_id IS NOT NULL")
-    class_of = classed.where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    class_of = sent(stored(classed.where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "class_of"))
 
     def by_class(pairs: DataFrame) -> DataFrame:
         """Distinct pairs of classes."""
@@ -444,11 +458,13 @@ def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int =
 
     buckets, bands = 16 * parts(docs), Bands(threshold)
     blobs = rows.mapInArrow(_blobs(threshold, width, buckets), "bucket int, kind int, blob binary")
-    found = stored(blobs.repartition(parts(docs), "bucket", "kind").mapInArrow(_meet, _FOUND), "found")
+    placed = blobs.repartition(parts(docs), "bucket", "kind").sortWithinPartitions("kind", "bucket")
+    found = stored(placed.mapInArrow(_meet, _FOUND), "found")
+    pairs = by_class(found.where("kind = 0").select("a", "b"))
     crowded = found.where("kind = 1").groupBy("b", "band").count()
-    links = _connected(rows, sketches, by_class(found.where("kind = 0").select("a", "b").distinct()), threshold, width)
-    top = crowded.agg(F.max("band")).first()[0]
+    top = found.where("kind = 1").agg(F.max("band")).first()[0]
     if top is None:
+        links = _linked(rows, sketches, pairs, threshold, width)
         return classed, links, components(links)
     # a small set shares as many bits with a linked one as the threshold asks; of a larger one's parts, as many as its band's plan has
     many = F.ceil(-F.col("band") * F.lit(threshold.numerator) / F.lit(threshold.denominator))
@@ -457,26 +473,17 @@ def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int =
         many = F.when(F.col("band") <= 0, many).otherwise(plans[F.col("band")])
     ids = crowded.where(F.col("count") >= many).select(F.col("b").alias("doc_id")).distinct()
     ids = stored(ids.join(class_of, "doc_id", "left").select(F.coalesce("class_id", "doc_id").alias("doc_id")).distinct(), "crowded")
-    members = _rarest(rows, ids, threshold, width)
-    size = members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("hub"))
-    near = members.join(size.where("n > 1"), "key")
-    small = near.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("doc")).alias("d"))
+    members, key = _rarest(rows, ids, threshold, width), ["key", "class"]
+    size = members.groupBy(*key).agg(F.count("*").alias("size"), F.min("doc").alias("hub"), F.max("short").alias("s"), F.max("own").alias("o"))
+    near = members.join(size.where("size > 1 AND s AND o"), key)
+    small = near.where(F.col("size") <= SMALL).groupBy(*key).agg(F.sort_array(F.collect_list("doc")).alias("d"))
     small = small.select(F.explode(F.expr("flatten(transform(d, (x, i) -> transform(slice(d, i + 2, size(d)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
-    star = near.where(F.col("n") > SMALL).where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
-    links = stored(links.unionByName(_connected(rows, sketches, small.unionByName(star).distinct(), threshold, width)), "links")
-    large = near.where(F.col("n") > SMALL).select("key", "doc")
-    while True:
-        label = components(links)
-        large = stored(large.join(label, large.doc == label.node, "left").select("key", "doc", F.coalesce("label", "doc").alias("label")), "members")
-        block = large.groupBy("key", "label").agg(F.count("*").alias("n"))
-        split = block.groupBy("key").agg(F.count("*").alias("blocks"), F.min(F.struct("n", "label")).alias("least")).where("blocks > 1")
-        open_ = stored(large.join(split.select("key", F.col("least.label").alias("least")), "key"), "open")
-        if open_.isEmpty():
-            return classed, links, label
-        rank = Window.partitionBy("key").orderBy(F.col("n"), "label", "doc")
-        order = stored(open_.join(block, ["key", "label"]).withColumn("k", F.row_number().over(rank)), "order")
-        links = stored(links.unionByName(_connected(rows, sketches, _across(order, sketches, threshold), threshold, width)), "links")
-        large = order.where(F.col("k") > ROUND).select("key", "doc")
+    large = near.where(F.col("size") > SMALL)
+    star = large.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+    links = _linked(rows, sketches, pairs.unionByName(small.where("a <> b")).unionByName(star).distinct(), threshold, width)
+    more = _linked(rows, sketches, _across(large, components(links), sketches, threshold), threshold, width)
+    links = links.unionByName(more)
+    return classed, links, components(links)
 
 
 def clusters(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int = 5) -> DataFrame:

@@ -79,6 +79,23 @@ def test_crowds_and_common_passages(spark):
     assert got(jaccard.clusters(df)) == brute(rows)
 
 
+def test_crowds_that_are_hardly_linked(spark, monkeypatch):
+    """Texts made of the same few passages, near the threshold in many pairs and of many sizes, in groups of several blocks; ids that repeat with another text."""
+    monkeypatch.setattr(jaccard, "BLOCK", 2_000)
+    r = np.random.default_rng(11)
+    say = lambda n: ["w%d" % k for k in r.integers(0, 5000, n)]
+    passages, docs = [say(int(n)) for n in r.integers(8, 30, 6)], []
+    for _ in range(180):
+        held = [passages[k] for k in sorted(r.choice(6, int(r.integers(3, 7)), replace=False))]
+        docs.append([w for p in held for w in p] + say(int(r.integers(0, 9))))
+    docs += [say(2) + passages[0] + passages[1] + say(int(n)) for n in r.integers(5, 9, 60)]
+    rows = [(int(i), " ".join(w)) for i, w in enumerate(docs)]
+    assert got(jaccard.clusters(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))) == brute(rows)
+    again = rows + [(i, " ".join(say(50))) for i in range(0, 40)]  # the first text's links stay those of the id
+    parts = {r.doc_id: r.component_id for r in jaccard.clusters(spark.createDataFrame(again, "doc_id long, text string").repartition(7)).collect()}
+    assert parts == {i: c for i, (_, c) in brute(rows).items()}
+
+
 def test_odd_rows(spark):
     long = " ".join(str(k) for k in range(60_000))
     rows = [(1, None, "a"), (2, "", "a"), (3, " \n", "b"), (4, "One two", "b"), (5, "one  TWO", None), (6, long, "c"), (7, long + " end", "c"), (7, long + " end", "c"), (None, "one two", "d")]
