@@ -437,7 +437,7 @@ def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int =
     Words are runs of bytes beside white space, with A-Z lower-cased; a class is the smallest doc_id of equal sets. Two documents link when the
     intersection of their sets is at least threshold times the union. Between classes of one component further links may exist that links doesn't list.
     Null texts count as empty; empty sets link with nothing and are classes of their own. Rows with a null doc_id get their set's size, a null class and no
-    links; rows that repeat a doc_id are one document with the links of all its texts. Empty tables give no rows; other columns are not read.
+    links; rows that repeat a doc_id are one document with the links of all its texts, whose classes are linked too. Empty tables give no rows; other columns are not read.
     """
     rows = texts(docs)
     sets = stored(rows.mapInArrow(lambda b: _digest(b, width), _SETS), "sets")
@@ -448,7 +448,10 @@ def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int =
     classed = stored(classed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "classed")
     sketches = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("n_shingles").alias("n"), "sketch")
     rows = rows.where("doc_id IS NOT NULL")
-    class_of = sent(stored(classed.where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "class_of"))
+    repeated = sent(stored(classed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated"))
+    # an id with several texts stands for itself, and its rows' classes are linked
+    class_of = sent(stored(classed.where("doc_id <> class_id").join(repeated, "doc_id", "left_anti").select("doc_id", "class_id"), "class_of"))
+    joined = classed.where("doc_id <> class_id").join(repeated, "doc_id", "left_semi").select(F.least("doc_id", "class_id").alias("a"), F.greatest("doc_id", "class_id").alias("b")).distinct()
 
     def by_class(pairs: DataFrame) -> DataFrame:
         """Distinct pairs of classes."""
@@ -464,7 +467,7 @@ def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int =
     crowded = found.where("kind = 1").groupBy("b", "band").count()
     top = found.where("kind = 1").agg(F.max("band")).first()[0]
     if top is None:
-        links = _linked(rows, sketches, pairs, threshold, width)
+        links = _linked(rows, sketches, pairs, threshold, width).unionByName(joined)
         return classed, links, components(links)
     # a small set shares as many bits with a linked one as the threshold asks; of a larger one's parts, as many as its band's plan has
     many = F.ceil(-F.col("band") * F.lit(threshold.numerator) / F.lit(threshold.denominator))
@@ -482,7 +485,7 @@ def similar(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int =
     star = large.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     links = _linked(rows, sketches, pairs.unionByName(small.where("a <> b")).unionByName(star).distinct(), threshold, width)
     more = _linked(rows, sketches, _across(large, components(links), sketches, threshold), threshold, width)
-    links = links.unionByName(more)
+    links = links.unionByName(more).unionByName(joined)
     return classed, links, components(links)
 
 
