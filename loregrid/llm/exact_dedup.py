@@ -1,9 +1,10 @@
 """Exact deduplication by Patricia-trie owners.
 
-Texts are compared without white space. Each text's full bytes are inserted into compressed radix tries, one for each length and content hash;
-a terminal node stores the best identifier and the number of rows. Tries are built twice: on the map side, as a combiner (before anything is
-shuffled, so a group that holds a third of all rows sends a row from each task at most a few times), and after the exchange by length and hash.
-Beyond its memory limit a combiner's trie spills its heaviest subtree downstream.
+Texts are compared without white space. Rows are dealt out by length and content hash; every partition inserts its texts' full bytes into a compressed radix
+trie, whose branches are the texts' own bytes, so that texts with equal beginnings share them. A terminal node stores the best identifier and the number of
+rows. Tries are built twice: on the map side, as a combiner (before anything is shuffled, so a group that holds a third of all rows sends a row from each task
+at most a few times), and after the exchange. Beyond its memory limit a combiner's trie spills its heaviest subtree downstream; after the exchange rows come
+in the order of length and hash, so a full trie's owners are complete between two of them, and leave.
 """
 
 from __future__ import annotations
@@ -66,14 +67,14 @@ class PatriciaTrie:
             node, at = middle, at + n
         return node
 
-    def add(self, key: bytes, rank: tuple, count: int) -> bool:
-        """Merges an identifier's rank (smaller is better) and a number of rows; True for a new key."""
+    def add(self, key: bytes, rank: tuple, count: int, told=None) -> bool:
+        """Merges an identifier's rank (smaller is better) and a number of rows; told is kept of a key's first row. True for a new key."""
         node = self.terminal(key)
         if node.value is None:
-            node.value = (rank, count)
+            node.value = (rank, count, told)
             self.size += 1
             return True
-        node.value = (min(node.value[0], rank), node.value[1] + count)
+        node.value = (min(node.value[0], rank), node.value[1] + count, node.value[2])
         return False
 
     def items(self, node: _Node | None = None, prefix: bytes = b""):
@@ -117,9 +118,10 @@ class PatriciaTrie:
         return total
 
 
-_OWNERS = "n_bytes long, content_hash binary, body binary, best_chars long, best_id long, n_rows long"
-_NAMES = ["n_bytes", "content_hash", "body", "best_chars", "best_id", "n_rows"]
-_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+_ROWS = "n_bytes long, content_hash binary, mark long, body binary, best_chars long, best_id long, n_rows long"
+_NAMES = ["n_bytes", "content_hash", "mark", "body", "best_chars", "best_id", "n_rows"]
+_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+_OWNERS = "n_bytes long, content_hash binary, mark long, keep_id long, group_size long"
 _LAST = 1 << 63  # where an identifier is null
 
 
@@ -127,82 +129,71 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
-def _row(key: bytes, value: tuple) -> tuple:
-    """key: length (8 bytes), hash (32 bytes), text."""
-    (chars, at), count = value
-    return int.from_bytes(key[:8], "big"), key[8:40], key[40:], -chars, None if at == _LAST else at, count
+def _rows(items):
+    """Batches of some MB of a trie's terminals."""
+    rows, weight = [], 0
+    for key, ((chars, at), count, (h, mark)) in items:
+        rows.append((len(key), h, mark, key, -chars, None if at == _LAST else at, count))
+        weight += len(key)
+        if weight > 1 << 20 or len(rows) >= 4_000:
+            yield _batch(rows)
+            rows, weight = [], 0
+    if rows:
+        yield _batch(rows)
 
 
 def _combine(most: int):
-    """Map side: rows of (length, hash, text, characters, id, rows) merged in one trie of bounded size."""
+    """Map side: rows merged in one trie of bounded size."""
 
     def run(batches):
         trie = PatriciaTrie()
         for batch in batches:
-            for n, h, body, chars, i, count in zip(*[batch.column(c).to_pylist() for c in _NAMES]):
-                trie.add(n.to_bytes(8, "big") + h + body, (-chars, _LAST if i is None else i), count)
-            out = []
+            for _, h, mark, body, chars, i, count in zip(*[batch.column(c).to_pylist() for c in _NAMES]):
+                trie.add(body, (-chars, _LAST if i is None else i), count, (h, mark))
             while trie.held > most and trie.size:
-                out += [_row(k, v) for k, v in trie.spill()]
-            if out:
-                yield _batch(out)
-        rows, weight = [], 0
-        for k, v in trie.items():
-            rows.append(_row(k, v))
-            weight += len(k)
-            if weight > 8 << 20:
-                yield _batch(rows)
-                rows, weight = [], 0
-        if rows:
-            yield _batch(rows)
+                yield from _rows(trie.spill())
+        yield from _rows(trie.items())
 
     return run
 
 
-def _own(batches):
-    """After the exchange: rows sorted by length and hash. One trie lives for one length and hash; its terminals are the owners."""
-    trie, at, out = PatriciaTrie(), None, []
+def _own(most: int):
+    """After the exchange: rows sorted by length and hash, merged in tries that end between two of them; their terminals are the owners."""
 
-    def close():
-        for k, v in trie.items():
-            _, _, _, chars, i, count = _row(k, v)
-            out.append((at[0], at[1], trie.size, chars, i, count))
+    def run(batches):
+        trie, at = PatriciaTrie(), None
+        for batch in batches:
+            for n, h, mark, body, chars, i, count in zip(*[batch.column(c).to_pylist() for c in _NAMES]):
+                if (n, h) != at:
+                    if trie.held > most or trie.size >= 20_000:
+                        yield _owners(trie)
+                        trie = PatriciaTrie()
+                    at = (n, h)
+                trie.add(body, (-chars, _LAST if i is None else i), count, (h, mark))
+        if trie.size:
+            yield _owners(trie)
 
-    for batch in batches:
-        for n, h, body, chars, i, count in zip(*[batch.column(c).to_pylist() for c in _NAMES]):
-            if (n, h) != at:
-                if at is not None:
-                    close()
-                trie, at = PatriciaTrie(), (n, h)
-            trie.add(n.to_bytes(8, "big") + h + body, (-chars, _LAST if i is None else i), count)
-            if trie.size > 1:
-                raise ValueError("two different texts share their length and SHA-256")
-        if len(out) > 20_000:
-            yield _owners(out)
-            out.clear()
-    if at is not None:
-        close()
-    if out:
-        yield _owners(out)
+    return run
 
 
-def _owners(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(cols[i], t) for i, t in ((0, pa.int64()), (1, pa.binary()), (4, pa.int64()), (5, pa.int64()))], names=["n_bytes", "content_hash", "keep_id", "group_size"])
+def _owners(trie: PatriciaTrie) -> pa.RecordBatch:
+    rows = [(len(key), h, mark, None if at == _LAST else at, count) for key, ((_, at), count, (h, mark)) in trie.items()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["n_bytes", "content_hash", "mark", "keep_id", "group_size"])
 
 
-def exact_owners(docs: DataFrame, memory_mb: int = 64) -> DataFrame:
+def exact_owners(docs: DataFrame, memory_mb: int = 16) -> DataFrame:
     """doc_id, keep_id, group_size, kept, content_hash (SHA-256 of the text without white space) for each row.
 
     Of rows with equal texts, that with the most code points in its own text stays, then that with the smallest doc_id. A null text counts as empty;
     empty texts equal each other. A null doc_id ranks after all others. Rows that repeat a doc_id and a text count each and share their verdict.
-    An empty table gives no rows; other columns are not read.
+    Texts are compared byte by byte; rows find their owners by length, SHA-256 and one more hash. An empty table gives no rows; other columns are not read.
     """
+    key = ["n_bytes", "content_hash", "mark"]
     base = texts(docs).select("doc_id", F.length("text").cast("long").alias("chars"), F.translate("text", WHITE, "").cast("binary").alias("body"))
-    base = base.select("doc_id", "chars", F.length("body").cast("long").alias("n_bytes"), F.unhex(F.sha2("body", 256)).alias("content_hash"), "body")
-    rows = base.select("n_bytes", "content_hash", "body", F.col("chars").alias("best_chars"), F.col("doc_id").alias("best_id"), F.lit(1).cast("long").alias("n_rows"))
-    local = rows.mapInArrow(_combine(memory_mb << 20), _OWNERS)
+    base = base.select("doc_id", "chars", F.length("body").cast("long").alias("n_bytes"), F.unhex(F.sha2("body", 256)).alias("content_hash"), F.xxhash64("body").alias("mark"), "body")
+    rows = base.select(*key, "body", F.col("chars").alias("best_chars"), F.col("doc_id").alias("best_id"), F.lit(1).cast("long").alias("n_rows"))
+    local = rows.mapInArrow(_combine(memory_mb << 20), _ROWS)
     placed = local.repartition(parts(docs), "n_bytes", "content_hash").sortWithinPartitions("n_bytes", "content_hash")
-    owners = placed.mapInArrow(_own, "n_bytes long, content_hash binary, keep_id long, group_size long")
-    members = base.select("doc_id", "n_bytes", "content_hash")
-    return members.join(owners, ["n_bytes", "content_hash"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "content_hash")
+    owners = placed.mapInArrow(_own(memory_mb << 20), _OWNERS)
+    members = base.select("doc_id", *key)
+    return members.join(owners, key).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "content_hash")

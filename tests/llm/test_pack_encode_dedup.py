@@ -173,8 +173,8 @@ def test_trie_and_spill(rows):
     trie, want = exact_dedup.PatriciaTrie(), {}
     for key, i in rows:
         trie.add(key, (i,), 1)
-        rank, n = want.get(key, ((i,), 0))
-        want[key] = (min(rank, (i,)), n + 1)
+        rank, n, _ = want.get(key, ((i,), 0, None))
+        want[key] = (min(rank, (i,)), n + 1, None)
     assert dict(trie.items()) == want and trie.size == len(want)
     out = []
     while trie.size:
@@ -182,6 +182,20 @@ def test_trie_and_spill(rows):
     assert dict(out) == want and len(out) == len(want)
 
 
+def test_trie_shares_beginnings():
+    trie = exact_dedup.PatriciaTrie()
+    for end in (b"", b"one", b"two", b"twice"):
+        trie.add(b"a long beginning " * 50 + end, (1,), 1)
+    assert trie.held <= 17 * 50 + 12
+
+
+def test_equal_hashes_of_different_texts():
+    """Texts whose length and hash are the same have owners each."""
+    batch = exact_dedup._batch([(3, b"h", k, body, 3, i, 1) for i, (body, k) in enumerate([(b"abc", 1), (b"abd", 2), (b"abc", 1)])])
+    (out,) = exact_dedup._own(1 << 20)([batch])
+    assert sorted((r["mark"], r["keep_id"], r["group_size"]) for r in out.to_pylist()) == [(1, 0, 2), (2, 1, 1)]
+
+
 def test_combiner_spills_without_loss(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     small = Counter(map(tuple, exact_dedup.exact_owners(docs, memory_mb=0).collect()))
