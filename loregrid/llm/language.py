@@ -100,27 +100,33 @@ def learn(counts: np.ndarray, langs: list[str], centroids: int = 4, quantile: fl
 
 def _count(batches):
     for whole in batches:
-        for batch in slices(whole, "text", 1 << 20):
+        for batch in slices(whole, "text"):
             x = np.minimum(profile(*buffer_of(batch.column("text"))), 65535).astype("<u2")
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
 
-def fit(docs: DataFrame, most_rows: int = 6_000, learns=None, centroids: int = 4) -> Centroids:
-    """Centroids from at most most_rows documents with text and lang: for each language as many, those whose doc_id has the smallest hash (50 at least, up to 400 languages).
+def fit(docs: DataFrame, most_rows: int = 6_000, learns=None, centroids: int = 4, most_languages: int = 400) -> Centroids:
+    """Centroids from a sample of documents with text and lang, of the most_languages most frequent languages: for each as many (most_rows by their number,
+    50 at least), those whose doc_id has the smallest hash.
 
-    learns says of a doc_id column which may be learned from (all by default).
+    learns says of a doc_id column which may be learned from (all by default). Null ids, texts and languages don't count; rows that repeat a doc_id, text
+    and lang count once. Without rows nothing is learned, and every text is `und`.
     """
     rows = pick(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     if learns is not None:
         rows = rows.where(learns(F.col("doc_id")))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(400).count()
-    each = max(50, most_rows // max(1, known))
-    order = (F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt"))  # a language may have most rows: it is cut down in parts first
-    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("n") <= each)
-    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("n") <= each)
-    ids = ids.select("doc_id", "lang").distinct().limit(400 * 50 + most_rows)
-    chosen = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text")  # at most each * languages ids are broadcast
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    each = max(50, most_rows // max(1, len(known)))
+    if not known:
+        return learn(np.zeros((0, BINS), np.float32), [], centroids)
+    # of a uniform hash: about twice as many as are taken, and 50 more, go on from a language of any size
+    limits = rows.sparkSession.createDataFrame([(r.lang, min(2.0**63, 2.0**63 * (2 * each + 50) / r["count"])) for r in known], "lang string, most double")
+    near = rows.withColumn("hash", F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1))).join(F.broadcast(limits), "lang").where(F.col("hash") <= F.col("most"))
+    order = Window.partitionBy("lang").orderBy("hash", "mark")
+    ids = near.select("lang", "hash", F.xxhash64("text").alias("mark")).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    ids = ids.groupBy("lang").agg(F.max(F.struct("hash", "mark")).alias("last"))  # a row for each language
+    chosen = near.withColumn("mark", F.xxhash64("text")).join(F.broadcast(ids), "lang").where(F.struct("hash", "mark") <= F.col("last"))
+    chosen = chosen.select("lang", "hash", "mark", "text").dropDuplicates(["lang", "hash", "mark"]).select("lang", "text")  # each * languages at most
     got = sorted((r.lang, bytes(r.x)) for r in chosen.mapInArrow(_count, "lang string, x binary").collect())
     counts = np.array([np.frombuffer(x, "<u2") for _, x in got], np.float32).reshape(-1, BINS)
     return learn(counts, [lang for lang, _ in got], centroids)
@@ -140,9 +146,11 @@ def lettered(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def predicted(docs: DataFrame, model: Centroids) -> DataFrame:
-    """docs with every column, and language: struct<lang_pred string, score double, rejected boolean>.
+    """docs with every column, and at the end language: struct<lang_pred string, score double, rejected boolean>, also where docs has a column of that name.
 
-    score is the cosine to the nearest centroid. A text that is null or has no letter is `und` with score 0, rejected; so is every text when nothing was learned.
+    A text is rejected if its cosine is below nine tenths of that of nearly all texts (all but one in a thousand) that its language was learned from: other
+    languages and scripts, and texts that hardly are language, such as one word over and over. Rejected texts still have the nearest language. Rows that
+    repeat are predicted each; an empty table gives no rows. score is the cosine to the nearest centroid. A text that is null or has no letter is `und` with score 0, rejected; so is every text when nothing was learned.
     """
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 

@@ -138,28 +138,34 @@ def _measure(batches):
     for whole in batches:
         for batch in slices(whole, "text"):
             x = statistics(*buffer_of(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))], names=["label", "x"])
+            rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "mark", "label")], rows], names=["doc_id", "mark", "label", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 20_000, learns=None, **how) -> Trees:
     """Trees for the label of the rows of labels.
 
     The fit takes at most most_rows labelled documents: those whose doc_id has the smallest hash. learns says of a doc_id column which may be learned
-    from (all by default). Null ids and labels don't count; a document with several labels has their mean, rounded up.
+    from (all by default). Null ids and labels don't count; a document with several labels has their mean, rounded up. Rows that repeat a doc_id count each
+    with its label, up to most_rows in all; null texts are empty. Without rows every text gets the same score.
     """
     rows = pick(labels, "doc_id", label).toDF("doc_id", "label").where("doc_id IS NOT NULL AND label IS NOT NULL")
     if learns is not None:
         rows = rows.where(learns(F.col("doc_id")))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("label") >= 0.5).cast("double").alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    found = texts(docs).join(F.broadcast(rows), "doc_id").select("label", "text")  # at most most_rows ids are broadcast
-    got = found.mapInArrow(_measure, "label double, x array<double>").collect()
+    found = texts(docs).join(F.broadcast(rows), "doc_id").select("doc_id", F.xxhash64("text").alias("mark"), "label", "text")  # at most most_rows ids are broadcast
+    measured = found.mapInArrow(_measure, "doc_id long, mark long, label double, x array<double>")
+    got = measured.orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(most_rows).select("label", "x").collect()  # an id may have many rows
     got.sort(key=lambda r: (r.label, r.x))
     return grow(np.array([r.x for r in got]).reshape(-1, FEATURES), np.array([r.label for r in got]), **how)
 
 
 def scored(docs: DataFrame, trees: Trees, name: str = "score") -> DataFrame:
-    """docs with every column, and the score (0 to 1, higher: label 1 likelier) of each whole text. A null text counts as empty; empty texts have a score too."""
+    """docs with every column, and at the end the score (0 to 1, higher: label 1 likelier) of each whole text, also where docs has a column of that name.
+
+    A null text counts as empty; empty texts have a score too. Rows that repeat are scored each; an empty table gives no rows.
+    """
 
     def score(batch: pa.RecordBatch, text: pa.Array) -> np.ndarray:
         return trees.score(statistics(*buffer_of(text)))

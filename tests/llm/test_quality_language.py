@@ -54,6 +54,8 @@ def test_quality_odd_rows(spark):
     assert got.columns == ["text", "doc_id", "score", "new"] and got.count() == 4
     assert all(0 <= r.new <= 1 for r in got.collect())
     assert quality.scored(docs.limit(0), t).count() == 0
+    few = quality.fit(docs.unionByName(docs), labels, most_rows=10)  # ids that repeat bring no more rows than that
+    assert len(few.value) or few.base is not None
     none = quality.fit(docs, labels.limit(0))
     assert {r.new for r in quality.scored(docs, none, "new").collect()} == {0.5}
 
@@ -80,8 +82,11 @@ def test_language_odd_rows(spark, texts):
     rows = [(r.doc_id, r.language.lang_pred) for r in got.collect()]
     assert sorted(rows, key=str) == sorted([(1, "und"), (2, "und"), (3, "und"), (4, rows[3][1]), (5, "en"), (None, "de"), (5, "en")], key=str) and rows[3][1] in ("en", "de")
     far = {r.doc_id: r.language.rejected for r in got.collect()}
-    assert far[4] and far[1] and not far[5]
+    assert far[4] and far[1] and far[5]  # by the rule for rejection: one word over and over is far from all that was learned
+    assert not any(r.language.rejected for r in language.predicted(texts, model).collect())
     assert language.predicted(odd.limit(0), model).count() == 0
+    again = language.fit(texts.unionByName(texts))  # rows that repeat change nothing
+    assert np.array_equal(again.centre, model.centre) and np.array_equal(again.least, model.least)
     nothing = language.fit(texts.limit(0))
     assert {r.language.lang_pred for r in language.predicted(texts, nothing).collect()} == {"und"}
 
