@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import re
 import tempfile
 import uuid
@@ -41,14 +39,23 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return pick(docs, "doc_id", "text", *more).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
 
 
+_TOPS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the cluster names; a temporary one where none is named (tests)."""
+    """A new folder in the shared folder that the cluster names, removed when the session's process ends; in local mode, as in tests, a temporary one where none is named."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="loregrid-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", top)
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/loregrid-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if (own := _TOPS.get(app + top)) is None:
+        own = _TOPS[app + top] = f"{top.rstrip('/')}/loregrid-{app}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
@@ -178,23 +185,8 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return span_hash(sums, starts, ends), np.searchsorted(starts, at)
 
 
-_SET = False
-
-
-def _returned() -> None:
-    """In a worker process: large arrays go back to the system when they are freed, instead of staying with a process that later tasks use again. Those of a slice are smaller and stay."""
-    global _SET
-    if not _SET:
-        _SET = True
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries
-            libc = ctypes.CDLL("libc.so.6")
-            libc.mallopt(-3, 4 << 20)  # the least size that is mapped by itself
-            libc.mallopt(-1, 16 << 20)  # what may stay free at the heap's end
-
-
 def slices(table: pa.RecordBatch, column: str, most: int = (1 << 18) - 64):
     """Parts of a batch with about so many bytes of text in one column each; one longer text is a part of its own."""
-    _returned()
     _, at = buffer_of(table.column(column))
     i = 0
     while i < table.num_rows:

@@ -118,8 +118,8 @@ class _Held:
             rows["note"][again] = _DONE
             for c in ("anchor", "cell"):  # settled rows don't follow their cell's order, which may be one that most rows share
                 rows[c][again] = scattered.view(np.int64)
-            for i in range(0, len(rows), 100_000):
-                yield _record(rows[i : i + 100_000])
+            for i in range(0, len(rows), 20_000):
+                yield _record(rows[i : i + 20_000])
 
 
 def _singles(names, doc, text, place, weight) -> np.ndarray:

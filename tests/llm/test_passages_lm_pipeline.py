@@ -242,6 +242,27 @@ def test_stages_with_odd_rows(spark, sf_dir):
     assert stages["packing"](spark, out, sf_dir).count() >= 3
 
 
+def test_stages_with_repeated_ids_ties_and_clashing_names(spark, sf_dir):
+    stages = dict(corpus_pipeline.STAGES)
+    say = lambda *w: " ".join(str(x) for x in w)
+    a, b = say(*range(100)), say(*range(1000, 1100))
+    near = say(*range(99), "other")
+    names = "doc_id long, text string, _score double, score string, _id string, _c0 long, component_id long, cut string"
+    rows = [(1, a, 0.5, "x", "i", 3, None, "c"), (7, near, 0.5, "x", "j", 3, 2, "c"), (7, b, 0.5, "x", "k", 3, 2, "c"), (8, b + " ", 0.5, None, "l", 3, 2, "c"), (9, say(*range(5000, 5100)), None, "z", "m", None, None, None), (9, say(*range(5000, 5100)), None, "y", "n", None, None, None)]
+    docs = spark.createDataFrame(rows, names)
+    for name in ("quality", "suffix_dedup"):
+        out = stages[name](spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.count() <= docs.count()
+    one = stages["exact_dedup"](spark, docs, sf_dir)
+    assert one.columns == docs.columns
+    assert sorted((r.doc_id, r._id) for r in one.collect()) == [(1, "i"), (7, "j"), (8, "l"), (9, "n")]  # b with a space is longer; of the ties "y" is before "z"
+    far = stages["jaccard"](spark, docs, sf_dir)
+    assert far.columns == docs.columns
+    assert sorted((r.doc_id, r._id) for r in far.collect()) == [(1, "i"), (8, "l"), (9, "m"), (9, "n")]  # b stays as 8, whose id stands once
+    apart = stages["jaccard"](spark, docs.where("doc_id <> 8"), sf_dir)
+    assert sorted((r.doc_id, r._id) for r in apart.collect()) == [(1, "i"), (7, "k"), (9, "m"), (9, "n")]  # the other text of 7 is no copy
+
+
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     sequences = defaultdict(int)
