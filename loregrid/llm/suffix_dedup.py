@@ -109,7 +109,7 @@ def _fewest(deep: np.ndarray, j: np.ndarray, run: np.ndarray) -> np.ndarray:
 class Chunk:
     """Marks of some texts, each text's last one left out.
 
-    head: (doc, text) of each text, 64 bits each; many: its marks. deep: rounds that a mark's rank was repeated in. most: how often a cell's inner segments
+    head: (doc, text) of each text; many: its marks. deep: rounds that a mark's rank was repeated in. most: how often a cell's inner segments
     stand at most. done: cells whose run is repeated; told: those of them whose windows go along. x: in round 0 with y the segments' names, then the ranks of
     marks with deep == level. A name is two 64-bit numbers.
     """
@@ -347,7 +347,7 @@ def _chunked(length: int):
     return lambda batches: _batched(rows(batches))
 
 
-_TOLD = "doc long, text_id long, deep binary, done binary, told binary"
+_TOLD = "doc long, text_id int, deep binary, done binary, told binary"
 
 
 def _judged(batches):
@@ -365,7 +365,7 @@ def _judged(batches):
                 i, j = end[k] - chunk.many[k], end[k]
                 rows.append((*chunk.head[k].tolist(), chunk.deep[i:j].tobytes(), np.packbits(chunk.done[i:j]).tobytes(), np.packbits(chunk.told[i:j]).tobytes()))
             for i in range(0, len(rows), 5_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 5_000]), (pa.int64(), pa.int64(), *[pa.binary()] * 3))], names=["doc", "text_id", "deep", "done", "told"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 5_000]), (pa.int64(), pa.int32(), *[pa.binary()] * 3))], names=["doc", "text_id", "deep", "done", "told"])
 
 
 def doubled(rows: DataFrame, length: int) -> DataFrame:
@@ -384,42 +384,45 @@ def doubled(rows: DataFrame, length: int) -> DataFrame:
 
 # ---------------------------------------------------------------- single windows
 
-_ROW = np.dtype([("x", "<i8"), ("y", "<i8"), ("doc", "<i8"), ("text_id", "<i8"), ("place", "<i4"), ("weight", "<i4")])
-_ROWS = "x long, y long, doc long, text_id long, place int, weight int"
-#: place of a window that only tells others: its own cell is known to be repeated
-_TELLS = -1
-#: weight of a window that is settled already, as another of its task is the same
+#: x, y: a window's fingerprint, but y's lowest two bits, which hold the weight. spot: the text's number (32 bits) and the window's start.
+_ROW = np.dtype([("x", "<i8"), ("y", "<i8"), ("doc", "<i8"), ("spot", "<i8")])
+_ROWS = "x long, y long, doc long, spot long"
+#: Start of a window that only tells others: its own cell is known to be repeated.
+_TELLS = 0xFFFFFFFF
+#: Weight of a run of windows that are settled already, as others of their task are the same; y holds their number.
 _DONE = 3
 
 
-def _record(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in _ROW.names], names=list(_ROW.names))
-
-
-def _rows_of(batch: pa.RecordBatch) -> np.ndarray:
-    rows = np.zeros(batch.num_rows, _ROW)
-    for c in _ROW.names:
-        rows[c] = np.asarray(batch.column(c))
-    return rows
-
-
 def _runs(rows: np.ndarray) -> np.ndarray:
     """Where runs of equal windows begin."""
-    return np.flatnonzero(np.concatenate([[True], (rows["x"][1:] != rows["x"][:-1]) | (rows["y"][1:] != rows["y"][:-1])])) if len(rows) else np.zeros(0, np.int64)
+    y = rows["y"] >> 2
+    return np.flatnonzero(np.concatenate([[True], (rows["x"][1:] != rows["x"][:-1]) | (y[1:] != y[:-1])])) if len(rows) else np.zeros(0, np.int64)
+
+
+def _record(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in rows.dtype.names], names=list(rows.dtype.names))
 
 
 def _settled(rows: np.ndarray):
-    """A task's windows: of equal ones, one goes on for all; the others are settled."""
+    """A task's windows: of equal ones, one goes on for all; the others are settled, and those side by side are one row."""
     rows = rows[np.lexsort((rows["y"], rows["x"]))]
     start = _runs(rows)
     again = np.ones(len(rows), bool)
     again[start] = False
-    rows["weight"][start] = np.minimum(2, np.add.reduceat(rows["weight"], start))
-    rows["weight"][again] = _DONE
-    spread = mixed(rows["doc"][again].astype(np.uint64) + rows["place"][again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    rows["x"][again] = spread.view(np.int64)  # they don't follow their window's order, which may be one that most texts share
-    for i in range(0, len(rows), 20_000):
-        yield _record(rows[i : i + 20_000])
+    weight = np.minimum(2, np.add.reduceat(rows["y"] & 3, start))
+    one, done = rows[start], rows[again]
+    one["y"] += weight - (one["y"] & 3)
+    done = done[done["spot"] & _TELLS != _TELLS]
+    done = done[np.lexsort((done["spot"], done["doc"]))]
+    if len(done):
+        begin = np.flatnonzero(np.concatenate([[True], (done["doc"][1:] != done["doc"][:-1]) | (done["spot"][1:] != done["spot"][:-1] + 1)]))
+        size = np.diff(np.concatenate([begin, [len(done)]]))
+        done = done[begin]
+        done["y"] = size << 2 | _DONE
+        done["x"] = mixed(done["doc"].astype(np.uint64) + done["spot"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)  # not dealt by a window that most texts share
+    for part in (one, done):
+        for i in range(0, len(part), 20_000):
+            yield _record(part[i : i + 20_000])
 
 
 def _windows(length: int, most: int = 200_000):
@@ -457,8 +460,8 @@ def _windows(length: int, most: int = 200_000):
                 for i in range(0, len(b), most):
                     s, e, known = b[i : i + most], d[i : i + most], knows[i : i + most]
                     rows = np.zeros(len(s), _ROW)
-                    rows["x"], rows["y"] = span_hash(sums, s, s + length).view(np.int64), _second(other, s, s + length).view(np.int64)
-                    rows["doc"], rows["text_id"], rows["place"], rows["weight"] = doc[e], text[e], np.where(known, _TELLS, s - at[e]), 1 + known
+                    rows["x"], rows["y"] = span_hash(sums, s, s + length).view(np.int64), _second(other, s, s + length).view(np.int64) & ~3 | 1 + known
+                    rows["doc"], rows["spot"] = doc[e], text[e].astype(np.int64) << 32 | np.where(known, _TELLS, s - at[e])
                     held.append(rows)
                     count += len(rows)
                     if count >= most:
@@ -470,26 +473,30 @@ def _windows(length: int, most: int = 200_000):
     return run
 
 
-_FOUND = "doc long, text_id long, place int"
+_FOUND = "doc long, text_id int, place int, many int"
 
 
 def _compared(batches):
-    """Sorted windows to those that are repeated."""
+    """Sorted windows to those that are repeated: so many side by side from place on."""
 
-    def told(rows: np.ndarray):
-        rows = rows[rows["place"] != _TELLS]
+    def told(rows: np.ndarray, many=None):
+        mine = rows["spot"] & _TELLS != _TELLS
+        rows, many = rows[mine], np.ones(int(mine.sum()), np.int32) if many is None else many[mine].astype(np.int32)
         for i in range(0, len(rows), 20_000):
             part = rows[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in ("doc", "text_id", "place")], names=["doc", "text_id", "place"])
+            cols = (part["doc"], (part["spot"] >> 32).astype(np.int32), (part["spot"] & _TELLS).astype(np.int32), many[i : i + 20_000])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["doc", "text_id", "place", "many"])
 
     def often(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
-        return rows[np.repeat(np.add.reduceat(rows["weight"], start) > 1, np.diff(np.concatenate([start, [len(rows)]])))]
+        return rows[np.repeat(np.add.reduceat(rows["y"] & 3, start) > 1, np.diff(np.concatenate([start, [len(rows)]])))]
 
     kept = np.zeros(0, _ROW)
     for batch in batches:
-        rows = _rows_of(batch)
-        done = rows["weight"] == _DONE
-        yield from told(rows[done])
+        rows = np.zeros(batch.num_rows, _ROW)
+        for c in _ROW.names:
+            rows[c] = np.asarray(batch.column(c))
+        done = rows["y"] & 3 == _DONE
+        yield from told(rows[done], rows["y"][done] >> 2)
         rows = np.concatenate([kept, rows[~done]])
         if not len(rows):
             continue
@@ -500,7 +507,7 @@ def _compared(batches):
         if len(kept) > 100_000:  # one stands for those so far
             yield from told(kept[1:])
             kept = kept[:1].copy()
-            kept["weight"] = 2
+            kept["y"] = kept["y"] >> 2 << 2 | 2
     if len(kept):
         yield from told(often(kept, np.zeros(1, np.int64)))
 
@@ -509,12 +516,17 @@ def _compared(batches):
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """docs with _doc and _text: what tells a row's text from others. Rows with the same doc_id and text share them."""
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("_text", F.xxhash64("text", F.lit(1)))
+    """docs with _doc and _text (32 bits): what tells a row's text from others. Rows with the same doc_id and text share them; _doc is the id where it stands once."""
+    again = stored(docs.groupBy(F.col("doc_id").cast("long").alias("_again")).count().where("count > 1").select("_again"), "again")
+    own = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    named = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), own)).withColumn("_text", F.hash("text"))
+    if again.isEmpty():
+        return named
+    return named.join(sent(again), F.col("doc_id").cast("long") == F.col("_again"), "left").withColumn("_doc", F.when(F.col("_again").isNull(), F.col("_doc")).otherwise(own)).drop("_again")
 
 
 def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """_doc, _text, done, places: a bit for each cell, and the starts of single windows, that are repeated; of each text that has any. docs: doc_id, text, _doc, _text."""
+    """_doc, _text, done, places: a bit for each cell, and runs of single windows (place, many), that are repeated; of each text that has any. docs: doc_id, text, _doc, _text."""
     if not 2 <= length < 1 << 15:
         raise ValueError("length must be 2 to 32767")
     long = docs.where(F.octet_length("text") >= length).select(F.col("_doc").alias("doc"), F.col("_text").alias("text_id"), "text")
@@ -522,19 +534,20 @@ def repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     per = doubled(long, length)
     near = long.join(sent(per.select(*key)), key, "left_semi").join(per, key)
     single = near.select(*key, "text", "deep", "done", "told").mapInArrow(_windows(length), _ROWS)
-    single = single.repartition(parts(docs), "x", "y").sortWithinPartitions("x", "y").mapInArrow(_compared, _FOUND)
-    single = single.groupBy(*key).agg(F.collect_set("place").alias("places"))  # at most as many as a text has bytes
-    both = per.join(single, key, "left").select(F.col("doc").alias("_doc"), F.col("text_id").alias("_text"), "done", F.coalesce("places", F.expr("CAST(array() AS array<int>)")).alias("places"))
+    single = single.repartition(parts(docs), "x").sortWithinPartitions("x", "y").mapInArrow(_compared, _FOUND)
+    single = single.groupBy(*key).agg(F.collect_set(F.struct("place", "many")).alias("places"))  # at most as many as a text has bytes
+    both = per.join(single, key, "left").select(F.col("doc").alias("_doc"), F.col("text_id").alias("_text"), "done", F.coalesce("places", F.expr("CAST(array() AS array<struct<place: int, many: int>>)")).alias("places"))
     return stored(both.where("size(places) > 0 OR trim(LEADING '0' FROM hex(done)) <> ''"), "repeats")
 
 
-def _spans(length: int, raw: np.ndarray, done: bytes, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _spans(length: int, raw: np.ndarray, done: bytes, places: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal removed runs of one text."""
     m = Marks(raw, np.array([0, len(raw)]), prefix_hash(raw), length)
     cell = np.flatnonzero(np.unpackbits(np.frombuffer(done, np.uint8), count=len(m.start) - 1))
     cell = cell[m.last[cell] >= 0]
-    start = np.concatenate([m.start[cell], np.array(places, np.int64)])
-    end = np.concatenate([m.last[cell], np.array(places, np.int64)]) + length
+    place, many = (np.array([p[c] for p in places], np.int64) for c in ("place", "many"))
+    start = np.concatenate([m.start[cell], place])
+    end = np.concatenate([m.last[cell], place + many - 1]) + length
     step = np.bincount(start, minlength=len(raw) + 1)[: len(raw) + 1] - np.bincount(end, minlength=len(raw) + 1)[: len(raw) + 1]
     covered = np.cumsum(step)[:-1] > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
@@ -563,7 +576,7 @@ def removed(docs: DataFrame, length: int = 400, whole_characters: bool = False)
                 out = []
                 for text, done, places in zip(*[batch.column(c).to_pylist() for c in ("text", "done", "places")]):
                     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
-                    start, end = _spans(length, raw, done, sorted(places))
+                    start, end = _spans(length, raw, done, places)
                     if whole_characters:
                         inner = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
                         start, end = start.copy(), end.copy()
