@@ -96,16 +96,17 @@ class Network:
             out[i : i + step] = a[at, w // SIDE] + b[at, w % SIDE] - np.log(np.exp(a).sum(1)) - np.log(np.exp(b).sum(1))
         return out
 
-    def train(self, around: np.ndarray, word: np.ndarray, rate: float) -> None:
-        """A step down the gradient of the mean negative log-probability."""
+    def train(self, around: np.ndarray, word: np.ndarray, rate: float, turn: int = 0) -> None:
+        """A step down the gradient of the mean negative log-probability. Every word is a target; the embeddings of a third of the places move, in turn, by steps three times as long."""
         n, at = len(word), np.arange(len(word))
         h, ga, gb = self._forward(around, word)
-        for g in (ga, gb):
+        ones = np.ones(SIDE, np.float32)
+        for g, half in ((ga, word // SIDE), (gb, word % SIDE)):
             np.exp(g, out=g)
-            g /= g.sum(1, keepdims=True)
-        ga[at, word // SIDE] -= 1
-        gb[at, word % SIDE] -= 1
-        gh = (ga @ self.row.T + gb @ self.column.T) * (1 - h * h)
+            g *= (1 / (g @ ones))[:, None]
+            g[at, half] -= 1
+        gh = ga @ self.row.T + gb @ self.column.T
+        gh *= 1 - h * h
         self.row -= rate / n * (h.T @ ga)
         self.column -= rate / n * (h.T @ gb)
         self.row_bias -= rate / n * ga.sum(0)
@@ -113,12 +114,12 @@ class Network:
         which[word // SIDE, at] = 1
         self.given -= rate / n * (which @ gb)
         self.hidden -= rate / n * gh.sum(0)
-        for k in range(len(self.context)):
+        for k in range(turn % 3, len(self.context), 3):
             order = np.argsort(around[k].astype(np.int16), kind="stable")  # sorted by radix
             c = around[k][order]
             start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
             # rare classes get longer steps: by the root of the batch's size instead of the size
-            self.context[k][c[start]] -= rate / np.sqrt(n) / 8 * np.clip(np.add.reduceat(gh[order], start), -4, 4)
+            self.context[k][c[start]] -= 3 * rate / np.sqrt(n) / 8 * np.clip(np.add.reduceat(gh[order], start), -4, 4)
 
 
 def contexts(word: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
@@ -171,7 +172,7 @@ def _trained(network: Network, vocabulary: np.ndarray, every: int, turn: int, ba
             around, word = np.concatenate([x[0] for x in held], 1), np.concatenate([x[1] for x in held])
             end = len(word) if last else len(word) // batch_size * batch_size
             for i in range(0, end, batch_size):
-                own.train(around[:, i : i + batch_size], word[i : i + batch_size], rate)
+                own.train(around[:, i : i + batch_size], word[i : i + batch_size], rate, (seen + i) // batch_size)
             seen += end
             held, count = ([], 0) if end == len(word) else ([(around[:, end:], word[end:])], len(word) - end)
 
