@@ -27,8 +27,12 @@ def call_edges(methods: DataFrame) -> DataFrame:
     return called.join(methods.select(F.col("id").alias("dst"), "name"), "name").select("src", "dst", F.lit("CALLS").alias("relation")).distinct()
 
 
-def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old with new's rows in place of those with the same id."""
+def upsert_nodes(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """old with new's rows in place of those with the same id. Of new rows with the same id, that with the largest order stays, or else the first as JSON."""
+    row = F.struct(*[F.col(c) for c in new.columns])
+    last = F.max_by(row, F.struct(order, F.to_json(row))) if order else F.min_by(row, F.to_json(row))
+    new = new.groupBy("id").agg(last.alias("_row")).select("_row.*")
+    new = new.drop(order) if order and order not in old.columns else new
     return old.join(new.select("id"), "id", "left_anti").unionByName(new)
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..schemas import ACTIONS
 
 
-def entity(entities: DataFrame, names: DataFrame, kind: str | None = None) -> DataFrame:
-    """query_id, asked, found and the entity: that with the name as it is, else the first whatever the case."""
+def entity(entities: DataFrame, names: DataFrame, kind: str | None = None, requirement: str | None = None) -> DataFrame:
+    """query_id, asked, found and the entity: that with the name as it is, else the first whatever the case. requirement: entities' since_version must meet it."""
     e = entities.where(F.col("entity_type") == kind) if kind else entities
+    e = e.where(satisfies(F.col("since_version"), F.lit(requirement))) if requirement else e
     hit = names.join(e, F.lower("asked") == F.lower("name"), "left")
     order = Window.partitionBy("query_id").orderBy((F.col("asked") == F.col("name")).desc_nulls_last(), "name", "entity_id")
     return hit.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k").withColumn("found", F.col("name").isNotNull())
@@ -31,8 +32,18 @@ def satisfies(version: Column, requirement: Column) -> Column:
     )
 
 
-def specs_for(specs: DataFrame, module: str) -> DataFrame:
-    return specs.where(F.col("module") == module)
+def specs_for(specs: DataFrame, module: str | None = None, file_path: str | None = None, dependencies: dict[str, str] | None = None) -> DataFrame:
+    """The specs that hold for a module, a file (specs' path_prefix is the beginning of its path) and a project's dependencies (name to version).
+
+    A spec's requires (map of name to requirement) must be met by those of the dependencies that it names; a null prefix or map asks for nothing.
+    """
+    out = specs.where(F.col("module") == module) if module else specs
+    if file_path:
+        out = out.where(F.col("path_prefix").isNull() | F.startswith(F.lit(file_path), F.col("path_prefix")))
+    for name, version in (dependencies or {}).items():
+        need = F.try_element_at("requires", F.lit(name))
+        out = out.where(need.isNull() | satisfies(F.lit(version), need))
+    return out
 
 
 def spec_conflicts(specs: DataFrame) -> DataFrame:
@@ -49,9 +60,23 @@ def recommended(usage: DataFrame, most: int = 5) -> DataFrame:
 
 
 def feedback_rows(sessions: DataFrame) -> DataFrame:
-    """feedback_id, session_id, knowledge_id, action: a row for each knowledge id that a session consumed."""
+    """feedback_id, session_id, knowledge_id, action: a row for each knowledge id that a session consumed; with modification_detail (JSON) where sessions have it."""
     key = F.concat(F.lit("fb_"), F.substring(F.md5(F.concat_ws("|", "session_id", F.array_join("consumed_knowledge_ids", ","), "action").cast("binary")), 1, 8))
-    return sessions.select(key.alias("feedback_id"), "session_id", F.explode("consumed_knowledge_ids").alias("knowledge_id"), "action")
+    return sessions.select(key.alias("feedback_id"), "session_id", F.explode("consumed_knowledge_ids").alias("knowledge_id"), "action", *[c for c in sessions.columns if c == "modification_detail"])
+
+
+def record_feedback(sessions: DataFrame, path: str) -> DataFrame:
+    """Appends sessions' rows to the feedback table at path, and returns them."""
+    rows = feedback_rows(sessions)
+    rows.write.mode("append").parquet(path)
+    return rows
+
+
+def record_audit(log: DataFrame, session: str, path: str) -> DataFrame:
+    """Appends a sanitization log's events to the audit table at path, and returns them."""
+    rows = audit(log, session)
+    rows.write.mode("append").parquet(path)
+    return rows
 
 
 def feedback_weights(rows: DataFrame, key: str = "knowledge_id") -> DataFrame:

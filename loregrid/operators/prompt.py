@@ -31,6 +31,15 @@ def sanitize(items: DataFrame, fields: tuple[str, ...] = ("content",), normalize
     return items.withColumn("modified", changed).withColumns(new)
 
 
+def sanitized_meta(meta: DataFrame, column: str = "meta_json", normalize: bool = True) -> DataFrame:
+    """meta with the named fields of the column's JSON object sanitised, texts and lists of texts alike; other fields stay as they are. What isn't an object stays."""
+    held = F.from_json(column, "MAP<STRING, STRING>")
+    new = F.map_from_arrays(F.array(*[F.lit(f) for f in META_FIELDS]), F.array(*[sanitized(F.coalesce(F.try_element_at(held, F.lit(f)), F.lit("")), normalize) for f in META_FIELDS]))
+    meta = meta.withColumns({"_held": held, "_new": new})
+    clean = F.transform_values("_held", lambda k, v: F.when(v.isNotNull() & F.map_contains_key("_new", k), F.try_element_at(F.col("_new"), k)).otherwise(v))
+    return meta.withColumn(column, F.when(F.col("_held").isNotNull(), F.to_json(clean)).otherwise(F.col(column))).drop("_held", "_new")
+
+
 def sanitization_log(items: DataFrame, key: str = "id", normalize: bool = True) -> DataFrame:
     """item_id, original_hash, action of every item that sanitising changes."""
     changed = ~sanitized(F.col("content"), normalize).eqNullSafe(F.col("content"))
@@ -134,8 +143,10 @@ def formatted(kind: Column, score: Column, content: Column, source: Column | Non
 
 
 def constraints(items: DataFrame) -> DataFrame:
-    """query_id, constraint lines (array, each once, in the items' order) of items (query_id, ord, version, deprecated_in, security_rule)."""
+    """query_id, constraint lines (array, each once, in the items' order) of items (query_id, ord, version, deprecated_in, security_rule); a since_version goes before the version."""
     line = lambda label, c: F.when(F.length(c) > 0, F.concat(F.lit(f"- {label}: "), F.col(c)))
+    since = F.coalesce(F.nullif("since_version", F.lit("")), "version") if "since_version" in items.columns else F.col("version")
+    items = items.withColumn("version", since)
     each = F.array_compact(F.array(line("版本要求", "version"), line("已废弃于", "deprecated_in"), line("安全要求", "security_rule")))
     held = items.select("query_id", F.posexplode(each).alias("n", "line"), "ord")
     first = held.groupBy("query_id", "line").agg(F.min(F.struct("ord", "n")).alias("at"))
@@ -154,7 +165,10 @@ def assemble(items: DataFrame, requests: DataFrame, specs: DataFrame | None = No
 
     items: query_id, id, type, content, score, ord, source, version, deprecated_in, security_rule. requests: query_id, query, max_tokens, role (null: the
     usual one). specs: query_id, ord, rule, positive_example, negative_example. Items with source sdk_code come first; others follow if those all fit.
+    Where they are there: items' since_version, code_example and related_entity, requests' architecture (a text for the system section) and dependencies
+    (an array of name and version for the constraints).
     """
+    extra = lambda df, c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
     role = F.coalesce(F.nullif("role", F.lit("")), F.lit(ROLE))
     ask = requests.withColumn("system", F.replace(F.lit(SYSTEM), F.lit("{role}"), role))
     if specs is not None:
@@ -163,10 +177,14 @@ def assemble(items: DataFrame, requests: DataFrame, specs: DataFrame | None = No
         ask = ask.join(rules, "query_id", "left")
     else:
         ask = ask.withColumn("rules", F.lit(None).cast("string"))
-    ask = ask.withColumn("system", F.concat_ws("\n", "system", F.coalesce("rules", F.lit(NO_SPECS)))).join(constraints(items), "query_id", "left")
+    overview = F.concat(F.lit(ARCHITECTURE), F.nullif(extra(requests, "architecture", "string"), F.lit("")))
+    ask = ask.withColumn("system", F.concat_ws("\n", "system", F.coalesce("rules", F.lit(NO_SPECS)), overview)).join(constraints(items), "query_id", "left")
+    needs = extra(requests, "dependencies", "array<struct<name: string, version: string>>")
+    needs = F.when(F.size(needs) > 0, F.concat(F.lit("- 项目依赖: "), F.array_join(F.transform(needs, lambda d: F.concat(d["name"], F.lit("@"), d["version"])), ", ")))
+    ask = ask.withColumn("lines", F.array_compact(F.concat(F.coalesce("lines", F.expr("CAST(array() AS array<string>)")), F.array(needs))))
     ask = ask.withColumn("constraints", F.when(F.size("lines") > 0, F.concat(F.lit(CONSTRAINTS), F.array_join("lines", "\n"))).otherwise(""))
     ask = ask.withColumn("remaining", F.col("max_tokens") - prompt_tokens(F.col("system")) - prompt_tokens(F.col("constraints")) - USER_TOKENS)
-    text = formatted(F.col("type"), F.col("score"), F.col("content"), F.col("source"))
+    text = formatted(F.col("type"), F.col("score"), F.col("content"), F.col("source"), extra(items, "code_example", "string"), extra(items, "related_entity", "string"))
     sdk = F.coalesce(F.col("source") == "sdk_code", F.lit(False))
     held = items.join(ask.select("query_id", "remaining"), "query_id").withColumns({"text": text, "sdk": sdk}).withColumn("item_tokens", prompt_tokens(F.col("text")))
     order = [F.desc("sdk"), F.when(F.col("sdk"), 0).otherwise(type_rank(F.col("type"))), F.when(F.col("sdk"), 0.0).otherwise(F.col("score")).desc(), "ord"]

@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from ..operators import fts, fusion, graph, prompt, vector
 from ..schemas import CANDIDATE_MULTIPLIER, MIN_SCORE
 
+def fixed_leg(found: DataFrame | None = None) -> Callable[..., DataFrame]:
+    """A leg that gives the rows of found (query_id, id, score, rank) whatever is asked; without found none, as a source that isn't there."""
+
+    def leg(queries: DataFrame, k: int) -> DataFrame:
+        if found is None:
+            return queries.sparkSession.createDataFrame([], "query_id string, id string, score double, rank int")
+        return found.join(F.broadcast(queries.select("query_id")), "query_id", "left_semi").where(F.col("rank") <= k)
+
+    return leg
+
+
 #: A leg takes the queries, how many candidates to give, and types and module or None, and returns query_id, id, score, rank. Legs of two arguments are filtered afterwards.
 Leg = Callable[..., DataFrame]
 
@@ -48,10 +59,13 @@ class Engine:
         return best.select("query_id", "place", "id", "type", "content", "title", "module", "meta_json", "leg", F.col("final").alias("score"))
 
     def prompts(self, queries: DataFrame, max_tokens: int = 4096, role: str | None = None, **how) -> DataFrame:
-        """Search, then prompts from what it finds: sanitised, deduplicated, cut to the budget."""
+        """Search, then prompts from what it finds: sanitised, deduplicated, cut to the budget. queries may have architecture and dependencies, see prompt.assemble()."""
         items = self.search(queries, **how).withColumn("ord", F.col("place"))
         items = prompt.dedup_by_content(prompt.dedup_by_id(prompt.sanitize(items).drop("modified")))
-        meta = F.from_json("meta_json", "knowledge_source STRING, version STRING, deprecated_in STRING, security_rule STRING")
-        items = items.withColumn("m", meta).select("query_id", "id", "type", "content", "score", "ord", F.col("m.knowledge_source").alias("source"), "m.version", "m.deprecated_in", "m.security_rule")
-        requests = queries.select("query_id", "query", F.lit(max_tokens).alias("max_tokens"), F.lit(role).cast("string").alias("role"))
+        fields = ("version", "since_version", "deprecated_in", "security_rule", "code_example", "related_entity")
+        meta = F.from_json("meta_json", "knowledge_source STRING, " + ", ".join(f"{f} STRING" for f in fields))
+        items = items.withColumn("m", meta).select("query_id", "id", "type", "content", "score", "ord", F.col("m.knowledge_source").alias("source"), *[f"m.{f}" for f in fields])
+        items = prompt.sanitize(items, fields).drop("modified")  # what is read of the meta data goes into the prompt too
+        more = [c for c in ("architecture", "dependencies") if c in queries.columns]
+        requests = queries.select("query_id", "query", F.lit(max_tokens).alias("max_tokens"), F.lit(role).cast("string").alias("role"), *more)
         return prompt.assemble(items, requests)

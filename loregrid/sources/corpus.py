@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import PLACEHOLDER_VERSION, pipeline_tokens
+from ..functions.text import PLACEHOLDER_VERSION, chunk_id, pipeline_tokens
 from ..schemas import TYPES
 
 
@@ -40,6 +40,23 @@ def load_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("md"
     return raw.where(F.expr("is_valid_utf8(content)")).select(path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("filename"), F.col("content").cast("string").alias("content"))
 
 
+def api_chunks(files: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
+    """Chunks of files (path, content) that hold a JSON array of API entries, one chunk each. fields: the entries' names of title, method, path and description.
+
+    What isn't an array of objects gives no rows, nor do entries without a title and a path.
+    """
+    names = {"title": "name", "method": "method", "path": "path", "description": "description"} | (fields or {})
+    entries = files.select(F.col("path").alias("source_path"), F.posexplode(F.from_json("content", "ARRAY<MAP<STRING, STRING>>")).alias("n", "e"))
+    got = {k: F.coalesce(F.try_element_at("e", F.lit(v)), F.lit("")) for k, v in names.items()}
+    rows = entries.select("source_path", "n", *[c.alias(f"_{k}") for k, c in got.items()]).where("_title <> '' OR _path <> ''")
+    text = F.concat_ws("\n", F.nullif(F.concat_ws(" ", F.upper("_method"), "_path"), F.lit(" ")), F.nullif("_description", F.lit("")))
+    meta = F.to_json(F.struct(F.lit("doc").alias("knowledge_source"), F.lit("rest").alias("api_type"), F.upper("_method").alias("http_method"), F.col("_path").alias("url_path")))
+    module = F.when(F.contains("source_path", F.lit("/")), F.split("source_path", "/")[0]).otherwise("")
+    return rows.select(
+        chunk_id(F.col("source_path"), F.col("n").cast("string")).alias("id"), F.lit("api").alias("type"), text.alias("content"), F.coalesce(F.nullif("_title", F.lit("")), "_path").alias("title"),
+        module.alias("module"), "source_path", pipeline_tokens(text).alias("tokens"), meta.alias("meta_json"))
+
+
 def poms(files: DataFrame) -> DataFrame:
     """group_id, artifact_id, version, pom_dir, depth of pom.xml files; group and version fall back to the parent's. Without an artifact there is no row."""
     x = F.from_xml("content", F.lit("artifactId STRING, groupId STRING, version STRING, parent STRUCT<groupId: STRING, version: STRING>"))
