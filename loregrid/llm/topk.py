@@ -1,9 +1,11 @@
 """Exact top-k by inner product with M-trees.
 
-Vectors are dealt into trees of bounded size. A tree's pages hold entries that route to pages below; each has a pivot (one of the vectors), the covering
-radius of what lies below it and its distance to the pivot above. By Cauchy-Schwarz q.x <= q.p + |q| * d(p, x): with the radius this bounds all vectors
-below an entry, and with the stored distance to the pivot above it bounds an entry before its own product is computed. Pages are visited best bound
-first until no bound reaches the k-th best score. Queries meet trees in blocks, by an equi-join on (tree, block).
+Vectors go to the nearest of some pivots, and each such cell to trees of bounded size (a large cell to several). A tree's pages hold entries that route to pages
+below; each has a pivot (one of the vectors), the covering radius of what lies below it and its distance to the pivot above. By Cauchy-Schwarz
+q.x <= q.p + |q| * d(p, x): with the radius this bounds all vectors below an entry, and with the stored distance to the pivot above it bounds an entry before
+its own product is computed. Pages are visited best bound first until no bound reaches the k-th best score. Cells are the pages above the trees: a query
+visits its best cell's trees first, and its k-th best score from there is the limit for all others; cells whose bound lies below it never see the query.
+Queries meet trees in blocks, by an equi-join on the cell.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import parts, pick, stored
 
 _SLACK = 1e-6
 
@@ -74,14 +76,27 @@ class MTree:
             near = np.minimum(near, self._away(rows, out[-1]))
         return out
 
-    def search(self, query: np.ndarray, k: int, own: int | None = None) -> list[tuple[int, int]]:
-        """The k highest (score, id), ties to smaller ids; vectors with the id own take no part."""
+    def packed(self) -> bytes:
+        """Narrow vectors while it is stored."""
+        held = dict(self.__dict__)
+        if not len(self.vectors) or np.abs(self.vectors).max() < 1 << 15:
+            held["vectors"] = self.vectors.astype(np.int16)
+        return pickle.dumps(held, 5)
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> MTree:
+        tree = cls.__new__(cls)
+        tree.__dict__ = pickle.loads(blob)
+        tree.vectors = tree.vectors.astype(np.float64)
+        return tree
+
+    def search(self, query: np.ndarray, k: int, own: int | None = None, limit: float = -np.inf) -> list[tuple[int, int]]:
+        """The k highest (score, id) of those with the score limit at least, ties to smaller ids; vectors with the id own take no part."""
         if not len(self.ids) or k < 1:
             return []
         q = query.astype(np.float64)
         size = float(np.sqrt(q @ q)) * (1 + 1e-12)
         best: list[tuple[int, int]] = []  # heap of (score, -id)
-        limit = -np.inf
         root = float(self.vectors[self.pivot[0]] @ q)
         self.products += 1
         heap = [(-(root + size * self.radius[0]), 0, root)]
@@ -112,65 +127,169 @@ class MTree:
                     heapq.heappush(best, found)
                 elif found > best[0]:
                     heapq.heapreplace(best, found)
-            limit = best[0][0] if len(best) == k else limit
+            limit = max(limit, best[0][0]) if len(best) == k else limit
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
+#: Pivots of cells at most, for each length of vectors.
+MOST_CELLS = 1_024
+
+
+def _nearest(pivots: dict[int, np.ndarray]):
+    """Rows of (vec_id, size, numbers) to (vec_id, size, numbers, cell, away): the nearest pivot and the distance to it."""
+
+    def run(batches):
+        for batch in batches:
+            size, numbers = np.asarray(batch.column("size")), batch.column("numbers")
+            cell, away = np.zeros(len(size), np.int32), np.zeros(len(size))
+            for n in np.unique(size):
+                rows = np.flatnonzero(size == n)
+                x = np.asarray(numbers.take(pa.array(rows)).flatten()).reshape(-1, n).astype(np.float64)
+                p = pivots[int(n)]
+                square = (x * x).sum(1)[:, None] - 2 * (x @ p.T) + (p * p).sum(1)
+                cell[rows] = square.argmin(1)
+                away[rows] = np.sqrt(((x - p[cell[rows]]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
+
+    return run
+
+
 def _pages(batches):
-    """Rows of (part, vec_id, size, numbers), a part's rows in one partition, to (part, size, tree)."""
-    held: dict = {}
-    for batch in batches:
-        for part, i, size, numbers in zip(*[batch.column(c).to_pylist() for c in ("part", "vec_id", "size", "numbers")]):
-            held.setdefault((part, size), []).append((i, numbers))
-    for (part, size), rows in held.items():
-        tree = MTree(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([size], pa.int32()), pa.array([pickle.dumps(tree, 5)], pa.binary())], names=["part", "size", "tree"])
+    """Rows of (cell, size, salt, vec_id, numbers), sorted, to (cell, size, tree)."""
+    at, held = None, []
 
+    def made():
+        tree = MTree(np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([tree.packed()], pa.binary())], names=["cell", "size", "tree"])
 
-def _blocks(batches):
-    """Likewise to (block, size, asked): ids and vectors of a block's queries."""
-    held: dict = {}
     for batch in batches:
-        for block, i, size, numbers in zip(*[batch.column(c).to_pylist() for c in ("block", "vec_id", "size", "numbers")]):
-            held.setdefault((block, size), set()).add((i, tuple(numbers)))
-    for (block, size), rows in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([size], pa.int32()), pa.array([pickle.dumps(sorted(rows), 5)], pa.binary())], names=["block", "size", "asked"])
+        for cell, size, salt, i, numbers in zip(*[batch.column(c).to_pylist() for c in ("cell", "size", "salt", "vec_id", "numbers")]):
+            if (cell, size, salt) != at:
+                if held:
+                    yield made()
+                at, held = (cell, size, salt), []
+            held.append((i, numbers))
+    if held:
+        yield made()
+
+
+def _visits(pivots: dict[int, np.ndarray], reach: dict[int, np.ndarray], first: bool):
+    """Rows of (vec_id, size, numbers, cell, limit) to a row for each cell to visit: the best one, or all others whose bound reaches the limit. Bounds take cells without vectors as minus infinity."""
+
+    def run(batches):
+        for batch in batches:
+            size, out = np.asarray(batch.column("size")), [[], []]
+            limits = np.asarray(batch.column("limit").fill_null(-np.inf))
+            for n in np.unique(size):
+                rows = np.flatnonzero(size == n)
+                if int(n) not in pivots:
+                    continue
+                x = np.asarray(batch.column("numbers").take(pa.array(rows)).flatten()).reshape(-1, n).astype(np.float64)
+                long = np.sqrt((x * x).sum(1)) * (1 + 1e-12)
+                bound = x @ pivots[int(n)].T + long[:, None] * reach[int(n)]
+                best = bound.argmax(1)
+                if first:
+                    out[0].append(rows)
+                    out[1].append(best)
+                else:
+                    go = bound + _SLACK >= limits[rows][:, None]
+                    go[np.arange(len(rows)), best] = False
+                    go[np.isinf(bound)] = False
+                    i, c = np.nonzero(go)
+                    out[0].append(rows[i])
+                    out[1].append(c)
+            if out[0]:
+                rows, cell = np.concatenate(out[0]), np.concatenate(out[1]).astype(np.int32)
+                for i in range(0, len(rows), 2_000):
+                    at = pa.array(rows[i : i + 2_000])
+                    part = [batch.column(c).take(at) for c in ("vec_id", "size", "numbers", "limit")]
+                    yield pa.RecordBatch.from_arrays([*part, pa.array(cell[i : i + 2_000])], names=["vec_id", "size", "numbers", "limit", "cell"])
+
+    return run
+
+
+def _blocks(most: int):
+    """Rows of (cell, size, salt, vec_id, numbers, limit), sorted, to (cell, size, asked): ids, vectors and limits of a block's queries."""
+
+    def run(batches):
+        at, held = None, []
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([pickle.dumps(held, 5)], pa.binary())], names=["cell", "size", "asked"])
+
+        for batch in batches:
+            for cell, size, salt, i, numbers, limit in zip(*[batch.column(c).to_pylist() for c in ("cell", "size", "salt", "vec_id", "numbers", "limit")]):
+                if (cell, size, salt) != at or len(held) >= most:
+                    if held:
+                        yield made()
+                    at, held = (cell, size, salt), []
+                held.append((i, np.array(numbers, np.int64), -np.inf if limit is None else limit))
+        if held:
+            yield made()
+
+    return run
 
 
 def _found(k: int):
     def run(batches):
+        last, tree = None, None
         for batch in batches:
-            for tree, asked in zip(batch.column("tree").to_pylist(), batch.column("asked").to_pylist()):
-                tree, out = pickle.loads(tree), []
-                for i, numbers in pickle.loads(asked):
-                    out += [(i, hash(numbers), at, score) for score, at in tree.search(np.array(numbers, np.int64), k, own=i)]
+            for blob, asked in zip(batch.column("tree").to_pylist(), batch.column("asked").to_pylist()):
+                if blob != last:
+                    last, tree = blob, MTree.unpacked(blob)
+                out = []
+                for i, numbers, limit in pickle.loads(asked):
+                    out += [(i, hash(tuple(numbers.tolist())), at, score) for score, at in tree.search(numbers, k, own=i, limit=limit)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "version", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, tree_rows: int = 8_192, block_rows: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, tree_rows: int = 8_192, block_rows: int = 512, most_cells: int = MOST_CELLS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products over all vectors but those with its own vec_id.
 
     Both tables have vec_id and embedding; a component x counts as floor(scale * x). Ties go to the smaller vec_id. Vectors that are null, empty or hold null
     or non-finite components take no part, nor do null ids; vectors of different lengths don't meet. Repeated queries count once, repeated vectors each.
     Components must stay below 2 ** 26 / sqrt(length) after scaling for exact products. An empty table gives no rows; other columns are not read.
+    Pivots of cells are a sample: of each length, the vectors whose vec_id has the smallest hash, one for tree_rows vectors, most_cells at most.
     """
+    spark = vectors.sparkSession
 
     def clean(df: DataFrame) -> DataFrame:
         x = pick(df, "vec_id", "embedding").where("vec_id IS NOT NULL AND size(embedding) > 0")
         x = x.where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
         return x.select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("size"), F.transform("embedding", lambda v: F.floor(v.cast("double") * scale)).alias("numbers"))
 
-    stored_rows, asked = clean(vectors), clean(queries)
-    parts = max(1, -(-stored_rows.count() // tree_rows))
-    blocks = max(1, -(-asked.count() // block_rows))
-    deal = lambda df, name, n: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n))).repartition(n, name)
-    trees = deal(stored_rows, "part", parts).mapInArrow(_pages, "part long, size int, tree binary")
-    asked = deal(asked, "block", blocks).mapInArrow(_blocks, "block long, size int, asked binary")
-    trees = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    near = trees.join(asked, ["part", "block", "size"]).select("tree", "asked").mapInArrow(_found(k), "query_id long, version long, vec_id long, score long")
+    held = clean(vectors)
+    pivots = {}
+    for r in held.groupBy("size").count().collect():  # a row for each length
+        many = min(most_cells, -(-r["count"] // tree_rows))
+        near = held.where(F.col("size") == r["size"]).orderBy(F.xxhash64("vec_id"), "vec_id", "numbers").limit(many).collect()
+        pivots[r["size"]] = np.array([x.numbers for x in near], np.float64)
+    placed = stored(held.mapInArrow(_nearest(pivots), "vec_id long, size int, numbers array<long>, cell int, away double"), "cells") if pivots else held.withColumns({"cell": F.lit(0), "away": F.lit(0.0)})
+    cells = placed.groupBy("size", "cell").agg(F.count("*").alias("n"), F.max("away").alias("reach")).collect()  # most_cells rows for each length
+    reach = {n: np.full(len(p), -np.inf) for n, p in pivots.items()}
+    for c in cells:
+        reach[c["size"]][c.cell] = c.reach
+    salts = spark.createDataFrame([(c["size"], c.cell, -(-c.n // tree_rows)) for c in cells], "size int, cell int, salts long")
+    key = ["cell", "size", "salt"]
+    dealt = placed.join(F.broadcast(salts), ["size", "cell"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), "salts"))
+    trees = stored(dealt.repartition(parts(vectors), *key).sortWithinPartitions(*key).select(*key, "vec_id", "numbers").mapInArrow(_pages, "cell int, size int, tree binary"), "trees")
+
+    def met(asked: DataFrame, first: bool) -> DataFrame:
+        visits = asked.mapInArrow(_visits(pivots, reach, first), "vec_id long, size int, numbers array<long>, limit double, cell int").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(parts(vectors))))
+        blocks = visits.repartition(parts(vectors), *key).sortWithinPartitions(*key).select(*key, "vec_id", "numbers", "limit").mapInArrow(_blocks(block_rows), "cell int, size int, asked binary")
+        return trees.join(blocks, ["cell", "size"]).select("tree", "asked").mapInArrow(_found(k), "query_id long, version long, vec_id long, score long")
+
+    asked = stored(clean(queries).distinct().withColumn("limit", F.lit(None).cast("double")), "asked")
+    near = stored(met(asked, True), "near")
     order = Window.partitionBy("query_id", "version").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
+    limits = best.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").cast("double").alias("most"))  # of an id's several vectors, the lowest
+    full = near.select(F.col("query_id").alias("vec_id"), "version").distinct().groupBy("vec_id").agg(F.count("*").alias("seen"))
+    again = asked.groupBy("vec_id").agg(F.count("*").alias("asked")).join(full, "vec_id").join(limits, "vec_id")
+    one = again.where("asked = 1 AND seen = 1").select("vec_id", "most")  # ids with several vectors go on without a limit
+    rest = asked.drop("limit").join(one, "vec_id", "left").withColumnRenamed("most", "limit")
+    found = near.unionByName(met(rest, False))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -166,6 +166,18 @@ def test_top_k_odd_rows_many_trees_and_blocks(spark):
     assert topk.top_k(df.limit(0), df, 5).count() == 0 and topk.top_k(df, df.limit(0), 5).count() == 0
 
 
+def test_cells_with_limits_lose_nothing(spark):
+    """Clustered vectors in many cells, one of them with a third of all: results equal a plain search."""
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(12, 6))
+    pick = np.concatenate([np.zeros(200, int), r.integers(0, 12, 400)])
+    x = centres[pick] + r.normal(size=(600, 6)) * 0.05
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    rows = [(i, tuple(int(np.floor(256 * z)) for z in v)) for i, v in enumerate(x)]
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), 5, tree_rows=40, block_rows=7)
+    assert {tuple(z) for z in got.collect()} == nearest(rows, [z for z in rows if z[0] % 20 == 0], 5)
+
+
 def test_m_tree_avoids_products():
     r = np.random.default_rng(5)
     centres = r.normal(size=(20, 8)) * 400
