@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, pick, shared_dir, slices, stored
+from .common import parts, pick, sent, shared_dir, slices, stored
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: The profile of revisit records, and the date that records bear where none is known.
@@ -195,23 +195,27 @@ class PackageReader:
         return self._read(at + start, size - start if length is None else min(length, size - start))
 
 
-def records(data: bytes):
-    """The records of a run of gzip members."""
-    while data:
-        z = zlib.decompressobj(31)
-        yield from_warc(z.decompress(data) + z.flush())
-        data = z.unused_data
+def records(data: bytes, sizes: list[int]):
+    """The records of a run of gzip members of these sizes."""
+    at = 0
+    for size in sizes:
+        yield from_warc(zlib.decompress(data[at : at + size], 31))
+        at += size
 
 
 # ---------------------------------------------------------------- tables
 
 
 def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, refers_to (null for responses): of equal payloads of at least least_bytes bytes, those with the smallest page_id are responses."""
+    """page_id, url, payload, refers_to (null for responses): of equal payloads (by SHA-256 and size) of at least least_bytes bytes, those with the smallest page_id are responses.
+
+    A null page_id comes after all others: its record revisits one that has an id, or is a response where none has.
+    """
     rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.select("*", F.unhex(F.sha1("payload")).alias("sha"), F.length("payload").alias("size"))
-    first = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, ["sha", "size"], "left")
+    rows = rows.select("*", F.unhex(F.sha2("payload", 256)).alias("sha"), F.length("payload").alias("size"))
+    first = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("many"))
+    first = stored(first.where("many > 1").drop("many"), "first")  # alone, a payload has nothing to revisit; both sides of the join are plain, so a large group is split
+    joined = rows.join(sent(first), ["sha", "size"], "left")
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -255,16 +259,17 @@ def _locate(most: int):
                 with system.open_input_file(path) as f:
                     reader = PackageReader(f, f.size())
                     at, _ = reader.place(DATA)
-                    rows, start, length = [], 0, 0
+                    rows, start, length, sizes = [], 0, 0, []
                     for line in reader.read(INDEX).decode().splitlines():
-                        length += json.loads(line)["length"]
+                        sizes.append(json.loads(line)["length"])
+                        length += sizes[-1]
                         if length >= most:
-                            rows.append((uri, at + start, length))
-                            start, length = start + length, 0
-                    if length:
-                        rows.append((uri, at + start, length))
+                            rows.append((uri, at + start, sizes))
+                            start, length, sizes = start + length, 0, []
+                    if sizes:
+                        rows.append((uri, at + start, sizes))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], names=["package", "start", "length"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.list_(pa.int64())))], names=["package", "start", "sizes"])
 
     return run
 
@@ -276,17 +281,17 @@ _KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int6
 def _ranges(batches):
     names = [x.split()[0] for x in _COLUMNS.split(", ")]
     for batch in batches:
-        for uri, start, length in zip(*[batch.column(c).to_pylist() for c in ("package", "start", "length")]):
+        for uri, start, sizes in zip(*[batch.column(c).to_pylist() for c in ("package", "start", "sizes")]):
             system, path = filesystem(uri)
             with system.open_input_file(path) as f:
                 f.seek(start)
-                rows = [(r.page_id, r.url, r.record_type, r.refers_to, r.payload, r.payload_bytes, r.payload_digest) for r in records(f.read(length))]
+                rows = [(r.page_id, r.url, r.record_type, r.refers_to, r.payload, r.payload_bytes, r.payload_digest) for r in records(f.read(sum(sizes)), sizes)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], names=names)
 
 
 def read_packages(packages: DataFrame, run_mb: int = 2) -> DataFrame:
     """The records of packages (a column package of URIs), read in runs of about run_mb: page_id, url, record_type, refers_to, payload (null for revisits), payload_bytes, payload_digest."""
-    runs = packages.select("package").repartition(parts(packages)).mapInArrow(_locate(run_mb << 20), "package string, start long, length long")
+    runs = packages.select("package").repartition(parts(packages)).mapInArrow(_locate(run_mb << 20), "package string, start long, sizes array<long>")
     return runs.repartition(parts(packages), "package", "start").mapInArrow(_ranges, _COLUMNS)
 
 
