@@ -22,7 +22,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 #: Rows in an Arrow batch of texts at most: texts may be long, and a batch is held several times over, in the JVM and in Python.
 BATCH_ROWS = 1_000
-BATCH_BYTES = "1m"
+BATCH_BYTES = "512k"
 
 
 def small_batches(spark: SparkSession) -> None:

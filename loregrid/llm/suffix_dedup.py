@@ -30,7 +30,7 @@ SPACING = 48
 #: So often or more.
 _MANY = 65535
 #: Marks in a chunk, about.
-CHUNK = 250_000
+CHUNK = 60_000
 _MIX = np.random.default_rng(20250311).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0xD1342543DE82EF95)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -210,7 +210,7 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "chunk", "blob"])
 
 
-def _batched(rows, most: int = 1 << 20):
+def _batched(rows, most: int = 1 << 18):
     held, size = [], 0
     for row in rows:
         held.append(row)
