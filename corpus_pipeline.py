@@ -14,6 +14,8 @@ from loregrid.llm.common import pick, sent, stored
 
 #: Fixed columns of the stages' own, beside those of docs, which are renamed to _c0, _c1, ...
 _ID, _BODY = "_id", "_body"
+#: Bytes from which on a repeated string is a passage: fewer than those of nearly all runs of over fifty words of prose.
+PASSAGE_BYTES = 240
 
 
 def _learns(doc_id):
@@ -86,12 +88,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every byte of repeated strings of 400 bytes removed from their texts (and characters that a removed run cuts into).
+    """All documents, with every byte of repeated strings of PASSAGE_BYTES bytes removed from their texts (and characters that a removed run cuts into).
 
     Texts without such bytes stay as they are, null ones too; n_chars, where there is such a column, is counted anew for the others. Rows that repeat are
     copies of each other like any others. An empty table gives no rows; extra columns stay, whatever their names.
     """
-    rows = suffix_dedup.removed(docs, 400, whole_characters=True)
+    rows = suffix_dedup.removed(docs, PASSAGE_BYTES, whole_characters=True)
     names = docs.columns
     plain = rows.toDF(*[f"_c{i}" for i in range(len(names))], "_cut")
     text = f"_c{names.index('text')}"
