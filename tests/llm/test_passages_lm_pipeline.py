@@ -208,11 +208,11 @@ def test_stages_by_brute_force(spark, sf_dir):
 
     cut = stages["suffix_dedup"](spark, far, sf_dir).cache()
     was = {r.doc_id: r.text for r in far.collect()}
-    removed = {i: w[1] for i, w in zip(was, brute(list(was.values()), 400))}
+    removed = {i: w[1] for i, w in zip(was, brute(list(was.values()), corpus_pipeline.PASSAGE_BYTES))}
     assert cut.columns == names and len(was) == cut.count()
     for r in cut.collect():
         lost = len(was[r.doc_id].encode()) - len(r.text.encode())
-        assert removed[r.doc_id] <= lost <= removed[r.doc_id] + 6 * (1 + removed[r.doc_id] // 400) and r.n_chars == len(r.text)
+        assert removed[r.doc_id] <= lost <= removed[r.doc_id] + 6 * (1 + removed[r.doc_id] // corpus_pipeline.PASSAGE_BYTES) and r.n_chars == len(r.text)
         assert removed[r.doc_id] or r.text == was[r.doc_id]
 
     pieces = stages["packing"](spark, cut, sf_dir).collect()
