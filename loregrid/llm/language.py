@@ -115,12 +115,12 @@ def fit(docs: DataFrame, most_rows: int = 6_000, learns=None, centroids: int = 4
     rows = pick(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     if learns is not None:
         rows = rows.where(learns(F.col("doc_id")))
-    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    known = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     each = max(50, most_rows // max(1, len(known)))
     if not known:
         return learn(np.zeros((0, BINS), np.float32), [], centroids)
-    # of a uniform hash: about twice as many as are taken, and 50 more, go on from a language of any size
-    limits = rows.sparkSession.createDataFrame([(r.lang, min(2.0**63, 2.0**63 * (2 * each + 50) / r["count"])) for r in known], "lang string, most double")
+    # of the ids' uniform hash: about twice as many ids as are taken, and 50 more, go on from a language of any size, however often its ids repeat
+    limits = rows.sparkSession.createDataFrame([(r.lang, min(2.0**63, 2.0**63 * (2 * each + 50) / max(1, r.ids))) for r in known], "lang string, most double")
     near = rows.withColumn("hash", F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1))).join(F.broadcast(limits), "lang").where(F.col("hash") <= F.col("most"))
     order = Window.partitionBy("lang").orderBy("hash", "mark")
     ids = near.select("lang", "hash", F.xxhash64("text").alias("mark")).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)

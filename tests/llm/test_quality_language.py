@@ -98,3 +98,11 @@ def test_profile_matches_plain_counting():
     got = language.profile(raw, at)
     assert got.sum(1).tolist() == [9.0, 0.0, 15.0]  # "ab c" and "é x y" in bytes: grams of one, two and three
     assert np.array_equal(got[0], language.profile(np.frombuffer(b"AB c", np.uint8), np.array([0, 4]))[0])
+
+
+def test_language_of_few_ids_that_repeat_often_is_learned(spark):
+    rows = [(i, f"the cat number {i} sat on a mat", "en") for i in range(300)] + [(7_000_001 + i % 2, "der hund lief durch das haus", "de") for i in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for k in range(4):
+        model = language.fit(docs.withColumn("doc_id", docs.doc_id + 1_000 * k), most_rows=100)
+        assert model.languages == ["de", "en"]
