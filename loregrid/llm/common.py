@@ -115,15 +115,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 _POW: dict[str, np.ndarray] = {}
+#: Powers that are kept at most, for each base: as many as a slice of texts has bytes, and more.
+POWERS_KEPT = 1 << 19
 
 
 def powers(n: int, base: np.uint64, name: str) -> np.ndarray:
-    """base to the power of 0 .. n - 1, modulo 2 ** 64."""
+    """base to the power of 0 .. n - 1, modulo 2 ** 64. A worker keeps those of common lengths alone: a very long text's go with it."""
     if (held := _POW.get(name)) is None or len(held) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = 1 << max(16, int(n - 1).bit_length()) if n <= POWERS_KEPT else n
         out = np.full(size, base, np.uint64)
         out[0] = 1
-        _POW[name] = held = np.multiply.accumulate(out)
+        held = np.multiply.accumulate(out)
+        if size <= POWERS_KEPT:
+            _POW[name] = held
     return held[:n]
 
 

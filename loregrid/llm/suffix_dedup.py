@@ -202,6 +202,10 @@ def _dealt(x: np.ndarray, y: np.ndarray, buckets: int):
 
 
 _SENT = "bucket int, chunk long, blob binary"
+#: A rank is a bucket's number and a name's place in it; with a run beside it, 48 bits are all there are. Beyond them is an error: ranks must never meet.
+BUCKET_BITS, PLACE_BITS = 20, 28
+#: Names that a bucket should have at most: they are ranked together.
+BUCKET_NAMES = 1 << 23
 #: For a bucket: a chunk that has names to ask, and one that hasn't.
 _ASKS, _ENDED = -1, -2
 
@@ -268,9 +272,11 @@ def _ranks(batches):
         a, b = x[order], y[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         group = np.cumsum(new) - 1
+        if group[-1] + 1 >= 1 << PLACE_BITS:
+            raise OverflowError(f"bucket {bucket} has {group[-1] + 1} names, more than its ranks can tell apart: ask for more partitions")
         total = np.bincount(group, weights=w[order]).astype(np.int64)
         rank, often, own = np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint32), np.zeros(len(x), bool)
-        rank[order] = np.where(total[group] > 1, (np.uint64(bucket) << np.uint64(28)) + group.astype(np.uint64) + np.uint64(1), np.uint64(0))
+        rank[order] = np.where(total[group] > 1, (np.uint64(bucket) << np.uint64(PLACE_BITS)) + group.astype(np.uint64) + np.uint64(1), np.uint64(0))
         often[order] = np.minimum(total, 2**32 - 1)[group]
         own[order[new]] = True
         for (number, _), i, j in zip(held, ends, ends[1:]):
@@ -370,8 +376,10 @@ def _judged(batches):
 
 def doubled(rows: DataFrame, length: int) -> DataFrame:
     """doc, text_id, deep, done, told of the texts (doc, text_id, text) that have repeated cells, or windows that may be repeated."""
-    buckets = parts(rows)
     chunks, ended = stored(rows.mapInArrow(_chunked(length), _SENT), "chunks"), []
+    buckets = max(parts(rows), -(-chunks.count() * CHUNK // BUCKET_NAMES))
+    if buckets > 1 << BUCKET_BITS:
+        raise OverflowError(f"{buckets} buckets are more than ranks can tell apart")
     while not (asking := chunks.where(F.col("bucket") == _ASKS)).isEmpty():  # some log2(length) rounds, as 2 ** rounds segments have more bytes than a window
         ended.append(chunks.where(F.col("bucket") == _ENDED))
         names = asking.mapInArrow(_names(buckets), _SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from loregrid.llm import lmscore, quality, suffix_dedup
+from loregrid.llm import common, lmscore, quality, suffix_dedup
 from loregrid.llm.common import buffer_of, word_hashes
 from loregrid.llm.packing import ids_of
 from loregrid.llm.queries import QUERIES
@@ -269,3 +269,24 @@ def test_run(spark, sf_dir):
     for p in rows:
         sequences[p.sequence_id] += p.length
     assert rows and all(n == 1024 or n & (n - 1) == 0 for n in sequences.values())
+
+
+def test_ranks_never_meet(monkeypatch):
+    """A bucket with more names than ranks can tell apart is an error, not a wrong result."""
+    n = 8
+    x = np.arange(1, n + 1, dtype="<u8")
+    blob = np.array([n, 4], "<i4").tobytes() + x.tobytes() + np.zeros(n, "<u4").tobytes() + np.full(n, 2, "<u4").tobytes()
+    batch = suffix_dedup._sent([(3, 0, blob)])
+    assert sum(b.num_rows for b in suffix_dedup._ranks([batch])) == 1
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 3)
+    with pytest.raises(OverflowError):
+        list(suffix_dedup._ranks([batch]))
+
+
+def test_powers_of_very_long_texts_are_not_kept(monkeypatch):
+    monkeypatch.setattr(common, "POWERS_KEPT", 1 << 17)
+    monkeypatch.setattr(common, "_POW", {})
+    n = 200_000
+    got = common.powers(n, np.uint64(3), "three")
+    assert [int(got[i]) for i in (0, 1, 17, n - 1)] == [1, 3, 3**17, pow(3, n - 1, 1 << 64)] and not common._POW
+    assert len(common.powers(5, np.uint64(3), "three")) == 5 and len(common._POW["three"]) == 1 << 16
