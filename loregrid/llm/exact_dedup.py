@@ -38,11 +38,20 @@ def _shared(a: bytes, b: bytes) -> int:
     return lo
 
 
+#: Bytes that a node takes besides its label, with its value and its parent's entry (some 330 measured).
+NODE_BYTES = 352
+
+
 class PatriciaTrie:
-    """A compressed radix trie from byte strings to values."""
+    """A compressed radix trie from byte strings to values. size: its keys; held: bytes of its labels; nodes: how many there are below the root."""
 
     def __init__(self):
-        self.root, self.size, self.held = _Node(b""), 0, 0
+        self.root, self.size, self.held, self.nodes = _Node(b""), 0, 0, 0
+
+    @property
+    def memory(self) -> int:
+        """About how many bytes it takes."""
+        return self.held + self.nodes * NODE_BYTES
 
     def terminal(self, key: bytes) -> _Node:
         """The node at which key ends; made where there is none."""
@@ -54,6 +63,7 @@ class PatriciaTrie:
             if child is None:
                 child = node.children[key[at]] = _Node(key[at:])
                 self.held += len(key) - at
+                self.nodes += 1
                 return child
             label = child.label
             if len(key) - at >= len(label) and key.startswith(label, at):
@@ -61,6 +71,7 @@ class PatriciaTrie:
                 continue
             n = _shared(label, key[at : at + len(label)])
             middle = _Node(label[:n])
+            self.nodes += 1
             child.label = label[n:]
             middle.children = {label[n]: child}
             node.children[key[at]] = middle
@@ -94,28 +105,34 @@ class PatriciaTrie:
             above, prefix = (node, next(iter(node.children))), prefix + node.label
             node = node.children[above[1]]
         if node.value is None and node.children:
-            above, prefix = (node, max(node.children, key=lambda b: self._weight(node.children[b]))), prefix + node.label
+            above, prefix = (node, max(node.children, key=lambda b: self._memory(node.children[b]))), prefix + node.label
             node = node.children[above[1]]
         if above is None:
             out = list(self.items())
-            self.root, self.size, self.held = _Node(b""), 0, 0
+            self.root, self.size, self.held, self.nodes = _Node(b""), 0, 0, 0
             yield from out
             return
-        self.held = max(0, self.held - self._weight(node))
+        labels, nodes = self._weight(node)
+        self.held, self.nodes = max(0, self.held - labels), self.nodes - nodes
         del above[0].children[above[1]]
         for key, value in self.items(node, prefix):
             self.size -= 1
             yield key, value
 
     @staticmethod
-    def _weight(node: _Node) -> int:
-        """Bytes of the labels at and below node."""
-        total, stack = 0, [node]
+    def _weight(node: _Node) -> tuple[int, int]:
+        """Bytes of the labels at and below node, and how many nodes these are."""
+        total, nodes, stack = 0, 0, [node]
         while stack:
             here = stack.pop()
             total += len(here.label)
+            nodes += 1
             stack += (here.children or {}).values()
-        return total
+        return total, nodes
+
+    def _memory(self, node: _Node) -> int:
+        labels, nodes = self._weight(node)
+        return labels + nodes * NODE_BYTES
 
 
 _ROWS = "n_bytes long, content_hash binary, mark long, body binary, best_chars long, best_id long, n_rows long"
@@ -150,7 +167,7 @@ def _combine(most: int):
         for batch in batches:
             for _, h, mark, body, chars, i, count in zip(*[batch.column(c).to_pylist() for c in _NAMES]):
                 trie.add(body, (-chars, _LAST if i is None else i), count, (h, mark))
-            while trie.held > most and trie.size:
+            while trie.memory > most and trie.size:
                 yield from _rows(trie.spill())
         yield from _rows(trie.items())
 
@@ -165,7 +182,7 @@ def _own(most: int):
         for batch in batches:
             for n, h, mark, body, chars, i, count in zip(*[batch.column(c).to_pylist() for c in _NAMES]):
                 if (n, h) != at:
-                    if trie.held > most or trie.size >= 20_000:
+                    if trie.memory > most:
                         yield _owners(trie)
                         trie = PatriciaTrie()
                     at = (n, h)

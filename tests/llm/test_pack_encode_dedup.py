@@ -210,3 +210,17 @@ def test_neighbours_by_the_definition(vocabulary):
     near = [i for i in ids if vocabulary.tokens[i][:1] in b"aeth" and len(vocabulary.tokens[i]) < 5][:150]
     pairs = [(r.choice(ids), r.choice(ids)) for _ in range(5000)] + [(a, b) for a in near for b in near]
     assert all(vocabulary.follows(a, b) == (vocabulary.merged(vocabulary.tokens[a] + vocabulary.tokens[b]) == [a, b]) for a, b in pairs)
+
+
+def test_trie_counts_its_nodes():
+    """Short keys weigh as much as the objects that hold them."""
+    trie = exact_dedup.PatriciaTrie()
+    for i in range(20_000):
+        trie.add(f"{i:05d}".encode(), (0, i), 1)
+    assert 20_000 * exact_dedup.NODE_BYTES <= trie.memory < 24_000 * exact_dedup.NODE_BYTES
+    before = trie.memory
+    out = list(trie.spill())
+    assert 0 < len(out) < 20_000 and trie.size == 20_000 - len(out) and trie.memory < before
+    while trie.size:
+        out += trie.spill()
+    assert len(out) == 20_000 and trie.nodes <= 5  # a chain of empty inner nodes, no longer than a key
