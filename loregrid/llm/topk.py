@@ -155,12 +155,12 @@ def _nearest(pivots: dict[int, np.ndarray]):
 
 
 def _pages(batches):
-    """Rows of (cell, size, salt, vec_id, numbers), sorted, to (cell, size, tree)."""
+    """Rows of (cell, size, salt, vec_id, numbers), sorted, to (cell, size, salt, tree)."""
     at, held = None, []
 
     def made():
         tree = MTree(np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64))
-        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([tree.packed()], pa.binary())], names=["cell", "size", "tree"])
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([at[2]], pa.int64()), pa.array([tree.packed()], pa.binary())], names=["cell", "size", "salt", "tree"])
 
     for batch in batches:
         for cell, size, salt, i, numbers in zip(*[batch.column(c).to_pylist() for c in ("cell", "size", "salt", "vec_id", "numbers")]):
@@ -173,8 +173,11 @@ def _pages(batches):
         yield made()
 
 
-def _visits(pivots: dict[int, np.ndarray], reach: dict[int, np.ndarray], first: bool):
-    """Rows of (vec_id, size, numbers, cell, limit) to a row for each cell to visit: the best one, or all others whose bound reaches the limit. Bounds take cells without vectors as minus infinity."""
+def _visits(pivots: dict[int, np.ndarray], reach: dict[int, np.ndarray], first: bool, counted: bool = False):
+    """Rows of (vec_id, size, numbers, cell, limit) to a row for each cell to visit: the best one, or all others whose bound reaches the limit. Bounds take cells without vectors as minus infinity.
+
+    counted: only how many visits each cell gets, a row for each cell from each batch.
+    """
 
     def run(batches):
         for batch in batches:
@@ -200,6 +203,10 @@ def _visits(pivots: dict[int, np.ndarray], reach: dict[int, np.ndarray], first:
                     out[1].append(c)
             if out[0]:
                 rows, cell = np.concatenate(out[0]), np.concatenate(out[1]).astype(np.int32)
+                if counted:
+                    (own, wide), many = np.unique(np.stack([cell, size[rows]]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(wide, pa.int32()), pa.array(many, pa.int64())], names=["cell", "size", "many"])
+                    continue
                 for i in range(0, len(rows), 2_000):
                     at = pa.array(rows[i : i + 2_000])
                     part = [batch.column(c).take(at) for c in ("vec_id", "size", "numbers", "limit")]
@@ -209,7 +216,7 @@ def _visits(pivots: dict[int, np.ndarray], reach: dict[int, np.ndarray], first:
 
 
 def _blocks(most: int):
-    """Rows of (cell, size, salt, vec_id, numbers, limit), sorted, to (cell, size, asked): ids, vectors and limits of a block's queries."""
+    """Rows of (cell, size, asks, vec_id, numbers, limit), sorted, to (cell, size, asked): ids, vectors and limits of a block's queries."""
 
     def run(batches):
         at, held = None, []
@@ -218,11 +225,11 @@ def _blocks(most: int):
             return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([pickle.dumps(held, 5)], pa.binary())], names=["cell", "size", "asked"])
 
         for batch in batches:
-            for cell, size, salt, i, numbers, limit in zip(*[batch.column(c).to_pylist() for c in ("cell", "size", "salt", "vec_id", "numbers", "limit")]):
-                if (cell, size, salt) != at or len(held) >= most:
+            for cell, size, asks, i, numbers, limit in zip(*[batch.column(c).to_pylist() for c in ("cell", "size", "asks", "vec_id", "numbers", "limit")]):
+                if (cell, size, asks) != at or len(held) >= most:
                     if held:
                         yield made()
-                    at, held = (cell, size, salt), []
+                    at, held = (cell, size, asks), []
                 held.append((i, np.array(numbers, np.int64), -np.inf if limit is None else limit))
         if held:
             yield made()
@@ -275,12 +282,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     salts = spark.createDataFrame([(c["size"], c.cell, -(-c.n // tree_rows)) for c in cells], "size int, cell int, salts long")
     key = ["cell", "size", "salt"]
     dealt = placed.join(F.broadcast(salts), ["size", "cell"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), "salts"))
-    trees = stored(dealt.repartition(parts(vectors), *key).sortWithinPartitions(*key).select(*key, "vec_id", "numbers").mapInArrow(_pages, "cell int, size int, tree binary"), "trees")
+    trees = stored(dealt.repartition(parts(vectors), *key).sortWithinPartitions(*key).select(*key, "vec_id", "numbers").mapInArrow(_pages, "cell int, size int, salt long, tree binary"), "trees")
 
     def met(asked: DataFrame, first: bool) -> DataFrame:
-        visits = asked.mapInArrow(_visits(pivots, reach, first), "vec_id long, size int, numbers array<long>, limit double, cell int").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(parts(vectors))))
-        blocks = visits.repartition(parts(vectors), *key).sortWithinPartitions(*key).select(*key, "vec_id", "numbers", "limit").mapInArrow(_blocks(block_rows), "cell int, size int, asked binary")
-        return trees.join(blocks, ["cell", "size"]).select("tree", "asked").mapInArrow(_found(k), "query_id long, version long, vec_id long, score long")
+        """Each cell's queries in as few blocks as hold them; a block goes to each tree of its cell, and a cell's trees are dealt by their number."""
+        many = asked.mapInArrow(_visits(pivots, reach, first, counted=True), "cell int, size int, many long").groupBy("cell", "size").agg(F.sum("many").alias("many"))
+        split = many.join(F.broadcast(salts), ["size", "cell"]).select("cell", "size", "salts", F.ceil(F.col("many") / block_rows).alias("blocks"))  # a row for each cell
+        visits = asked.mapInArrow(_visits(pivots, reach, first), "vec_id long, size int, numbers array<long>, limit double, cell int").join(F.broadcast(split), ["cell", "size"])
+        own = ["cell", "size", "asks"]
+        placed = visits.withColumn("asks", F.pmod(F.xxhash64("vec_id"), "blocks")).repartition(parts(vectors), *own).sortWithinPartitions(*own)
+        blocks = placed.select(*own, "vec_id", "numbers", "limit").mapInArrow(_blocks(block_rows), "cell int, size int, asked binary").join(F.broadcast(salts), ["size", "cell"])
+        each = blocks.select("cell", "size", "asked", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        return trees.join(each, key).select("tree", "asked").mapInArrow(_found(k), "query_id long, version long, vec_id long, score long")
 
     asked = stored(clean(queries).distinct().withColumn("limit", F.lit(None).cast("double")), "asked")
     near = stored(met(asked, True), "near")

@@ -187,3 +187,15 @@ def test_m_tree_avoids_products():
         want = sorted(zip((-(v @ q)).tolist(), range(len(v))))[:5]
         assert tree.search(q, 5) == [(-s, i) for s, i in want]
     assert tree.products < 0.5 * len(v) * len(v[::97])
+
+
+def test_blocks_hold_as_many_queries_as_they_may(spark):
+    """Few queries are one block whatever the number of partitions; visits are counted by cell."""
+    pivots, reach = {2: np.array([[1.0, 0.0], [0.0, 1.0]])}, {2: np.array([0.5, 0.5])}
+    rows = [(i, 2, [256, 0] if i % 3 else [0, 256], None) for i in range(30)]
+    asked = spark.createDataFrame(rows, "vec_id long, size int, numbers array<long>, limit double").coalesce(2)
+    many = asked.mapInArrow(topk._visits(pivots, reach, True, counted=True), "cell int, size int, many long").groupBy("cell").sum("many").collect()
+    assert {tuple(r) for r in many} == {(0, 20), (1, 10)}
+    visits = asked.mapInArrow(topk._visits(pivots, reach, True), "vec_id long, size int, numbers array<long>, limit double, cell int").selectExpr("cell", "size", "0L AS asks", "vec_id", "numbers", "limit")
+    blocks = visits.repartition(1).sortWithinPartitions("cell").mapInArrow(topk._blocks(16), "cell int, size int, asked binary").collect()
+    assert sorted(r.cell for r in blocks) == [0, 0, 1]
