@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,13 +25,25 @@ INJECTIONS = [
 ENCODED = r"(?i)(?:base64|c2Fwc2VjcmV0|bj9zaGlmdA==|ignore)[a-zA-Z0-9+/=]{10,}"
 PLACEHOLDER_VERSION = r"(?i)^\$\{.*\}|^.*-SNAPSHOT$|^$"
 CJK = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{3000}-\x{303f}\x{ff00}-\x{ffef}]"
-# Accented Latin letters and what they are without accents.
-ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+
+
+def _folds() -> tuple[str, str]:
+    """Characters that decompose into one letter and combining marks, with the marks themselves at the end, and those letters: for translate(), which deletes what has no counterpart."""
+    accented, plain = [], []
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    for c in map(chr, range(0xC0, 0x2000)):
+        first, *rest = unicodedata.normalize("NFD", c)
+        if rest and first.isalpha() and all(m in marks for m in rest):
+            accented.append(c)
+            plain.append(first)
+    return "".join(accented + marks), "".join(plain)
+
+
+ACCENTED, PLAIN = _folds()
 
 
 def tokens(text: Column, fold_accents: bool = False) -> Column:
-    """Lower-cased runs of letters and numbers."""
+    """Lower-cased runs of letters and numbers; with folded accents a letter's combining marks don't end a run."""
     low = F.lower(text)
     return F.filter(F.split(F.translate(low, ACCENTED, PLAIN) if fold_accents else low, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 

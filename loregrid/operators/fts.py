@@ -1,34 +1,33 @@
-"""Full-text retrieval: postings, Boolean matching and BM25."""
+"""Full-text retrieval: tokens, postings and BM25 over texts. match.py has the match grammar, fts_index.py the stored index."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ACCENTED, PLAIN, tokens
-from ..sources.corpus import current_index, write_index
 
 # The ranking function's constants.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def _terms(text: Column) -> Column:
+def terms(text: Column) -> Column:
     """The index's tokens: lower-cased runs of letters and numbers, without accents; text and queries alike."""
     return tokens(text, fold_accents=True)
 
 
-def _split(word: str) -> list[str]:
-    """As _terms() of a query's word, which may be none or several tokens."""
-    return [t for t in regex.split(r"[^\p{L}\p{N}]+", word.lower().translate(str.maketrans(ACCENTED, PLAIN))) if t]
+_FOLD = {ord(c): PLAIN[i] if i < len(PLAIN) else None for i, c in enumerate(ACCENTED)}
+
+
+def split(word: str) -> list[str]:
+    """As terms() of a query's word, which may be none or several tokens."""
+    return [t for t in regex.split(r"[^\p{L}\p{N}]+", word.lower().translate(_FOLD)) if t]
 
 
 def postings(chunks: DataFrame, columns: tuple[str, ...] = ("content",), key: str = "id") -> DataFrame:
     """term, doc_id, col, tf, positions of every token of the columns."""
-    parts = F.array(*[F.struct(F.lit(c).alias("col"), _terms(F.coalesce(F.col(c), F.lit(""))).alias("t")) for c in columns])
+    parts = F.array(*[F.struct(F.lit(c).alias("col"), terms(F.coalesce(F.col(c), F.lit(""))).alias("t")) for c in columns])
     each = chunks.select(F.col(key).alias("doc_id"), F.explode(parts).alias("p")).select("doc_id", "p.col", F.posexplode("p.t").alias("pos", "term"))
     return each.groupBy("term", "doc_id", "col").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
@@ -36,215 +35,15 @@ def postings(chunks: DataFrame, columns: tuple[str, ...] = ("content",), key: st
 def lexicon(chunks: DataFrame, column: str = "content") -> DataFrame:
     """term, df, cf: in how many chunks and how often each token stands. A token's first place in its chunk counts for df, so one exchange is enough."""
     # an array of the sorted tokens binds them to a name, so they are made once
-    first = F.flatten(F.transform(F.array(F.array_sort(_terms(F.col(column)))), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("term"), ((i == 0) | (F.get(t, i - 1) != w)).cast("long").alias("first")))))
+    first = F.flatten(F.transform(F.array(F.array_sort(terms(F.col(column)))), lambda t: F.transform(t, lambda w, i: F.struct(w.alias("term"), ((i == 0) | (F.get(t, i - 1) != w)).cast("long").alias("first")))))
     return chunks.select(F.explode(first).alias("p")).groupBy("p.term").agg(F.sum("p.first").alias("df"), F.count("*").alias("cf"))
 
 
 def corpus_stats(chunks: DataFrame, column: str = "content") -> DataFrame:
-    n = chunks.select(F.size(_terms(F.col(column))).cast("long").alias("dl"))
+    n = chunks.select(F.size(terms(F.col(column))).cast("long").alias("dl"))
     return n.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_tokens"), F.round(F.avg("dl"), 4).alias("avgdl"))
 
 
-# ---------------------------------------------------------------- the stored index
-
-#: Folders that the postings are dealt into by term, so that a batch reads those of its own terms alone.
-BUCKETS = 64
-
-
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def write_postings(chunks: DataFrame, root: str, version: int) -> None:
-    """Writes what ranking reads: postings (term, id, tf, dl) in folders by term, sorted by it, and the corpus' figures (n, avgdl)."""
-    parts = F.flatten(F.array(*[_terms(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "content", "module")]))
-    whole = chunks.select("id", parts.alias("t")).withColumn("dl", F.size("t"))
-    tf = whole.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("double").alias("tf"))
-    write_index(tf.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term"), root, "postings", version, ["bucket"])
-    write_index(whole.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), root, "figures", version)
-
-
-def bm25_stored(root: str, queries: DataFrame, k: int = 30, chunks: DataFrame | None = None, types: list[str] | None = None, module: str | None = None) -> DataFrame:
-    """As bm25() in ranked mode, from the postings below root: only folders and rows of the batch's terms are read. chunks serve the filters alone."""
-    spark = queries.sparkSession
-    asked = queries.select("query_id", F.explode(F.array_distinct(_terms(F.col("query")))).alias("term")).distinct()
-    terms = [tuple(r) for r in asked.select("term", _bucket(F.col("term"))).distinct().collect()]  # a batch's tokens
-    held = current_index(spark, root, "postings").where(F.col("bucket").isin([b for _, b in terms]) & F.col("term").isin([t for t, _ in terms])).drop("bucket")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    return _ranked(held, asked, df, current_index(spark, root, "figures"), "ranked", k, _kept(chunks, types, module) if chunks is not None else None)
-
-
-# ---------------------------------------------------------------- Boolean matching
-
-
-@dataclass
-class Node:
-    kind: str
-    parts: list = field(default_factory=list)
-    terms: list[str] = field(default_factory=list)
-    column: str | None = None
-    gap: int = 10
-
-
-class MatchError(ValueError):
-    """The text is no query of the match grammar."""
-
-
-_TOKEN = re.compile(r'\s*(?:(?P<quoted>"[^"]*")|(?P<sign>[():,*^])|(?P<word>[^\s"():,*^]+))')
-
-
-def parse(text: str) -> Node:
-    """Words joined by AND (also unsaid), OR, NOT and parentheses; "phrases", prefix*, column:term, ^initial, NEAR(a b, n). AND binds closer than OR, NOT closest.
-
-    A word is made into tokens as the text is; several make a phrase, and one without tokens matches nothing. An initial stands at a column's start.
-    """
-    found, at = [], 0
-    while at < len(text.rstrip()):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise MatchError(text)
-        kind = m.lastgroup
-        if kind == "word" and not re.fullmatch(r"\w+", m["word"]):
-            raise MatchError(f"{m['word']!r} must be quoted")
-        found.append((kind, m[kind]))
-        at = m.end()
-    if not found:
-        raise MatchError("an empty query")
-    found.append(("end", ""))
-    spot = 0
-
-    def peek(n: int = 0) -> tuple[str, str]:
-        return found[min(spot + n, len(found) - 1)]
-
-    def take(value: str | None = None) -> tuple[str, str]:
-        nonlocal spot
-        if value is not None and found[spot][1] != value:
-            raise MatchError(f"{value!r} is missing")
-        spot += 1
-        return found[spot - 1]
-
-    def any_of() -> Node:
-        parts = [all_of()]
-        while peek() == ("word", "OR"):
-            take()
-            parts.append(all_of())
-        return parts[0] if len(parts) == 1 else Node("or", parts)
-
-    def all_of() -> Node:
-        parts = [but()]
-        while peek()[0] != "end" and peek()[1] not in (")", ",") and peek() != ("word", "OR"):
-            if peek() == ("word", "AND"):
-                take()
-            parts.append(but())
-        return parts[0] if len(parts) == 1 else Node("and", parts)
-
-    def but() -> Node:
-        left = single()
-        while peek() == ("word", "NOT"):
-            take()
-            left = Node("not", [left, single()])
-        return left
-
-    def single() -> Node:
-        kind, value = take()
-        if (kind, value) == ("sign", "^"):
-            inner = single()
-            if inner.kind != "phrase":
-                raise MatchError("^ goes before a word or phrase")
-            return Node("first", terms=inner.terms, column=inner.column)
-        if (kind, value) == ("sign", "("):
-            inner = any_of()
-            take(")")
-            return inner
-        if kind == "word" and value in ("AND", "OR", "NOT") or kind not in ("word", "quoted"):
-            raise MatchError(f"{value!r} is out of place")
-        if (kind, value) == ("word", "NEAR") and peek() == ("sign", "("):
-            take()
-            terms, gap = [], 10
-            while peek()[0] in ("word", "quoted"):
-                terms.append(_split(take()[1]))
-            if peek() == ("sign", ","):
-                take()
-                gap = int(take()[1])
-            take(")")
-            if any(len(t) != 1 for t in terms):
-                raise MatchError("NEAR takes single tokens")
-            return Node("near", terms=[t[0] for t in terms], gap=gap)
-        if kind == "word" and peek() == ("sign", ":"):
-            take()
-            inner = single()
-            inner.column = value
-            return inner
-        if kind == "quoted":
-            return Node("phrase", terms=_split(value))
-        if peek() == ("sign", "*"):
-            take()
-            return Node("prefix", terms=_split(value))
-        return Node("phrase", terms=_split(value))
-
-    tree = any_of()
-    if peek()[0] != "end":
-        raise MatchError(f"{peek()[1]!r} is out of place")
-    return tree
-
-
-def condition(node: Node, held: dict[str, Column]) -> Column:
-    """A query's tree over token arrays by column."""
-    if node.kind in ("and", "or"):
-        first, *rest = [condition(p, held) for p in node.parts]
-        for r in rest:
-            first = first & r if node.kind == "and" else first | r
-        return first
-    if node.kind == "not":
-        return condition(node.parts[0], held) & ~condition(node.parts[1], held)
-    if node.column is not None and node.column not in held:
-        raise MatchError(f"no column {node.column}")
-    out = None
-    for t in [held[node.column]] if node.column else held.values():
-        if not node.terms:
-            one = F.lit(False)
-        elif node.kind == "phrase" and len(node.terms) == 1:
-            one = F.array_contains(t, node.terms[0])
-        elif node.kind == "prefix":  # of the last token, after the others
-            one = F.contains(F.concat(F.lit(" "), F.array_join(t, " ")), F.lit(f" {' '.join(node.terms)}"))
-        elif node.kind == "phrase":
-            one = F.contains(F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")), F.lit(f" {' '.join(node.terms)} "))
-        elif node.kind == "first":
-            one = F.slice(t, 1, len(node.terms)) == F.array(*[F.lit(x) for x in node.terms])
-        else:
-            one = near(t, node.terms, node.gap)
-        out = one if out is None else out | one
-    return out
-
-
-def near(t: Column, terms: list[str], gap: int) -> Column:
-    """Whether all terms stand with at most gap tokens between the first and the last of some choice of places."""
-
-    def spots(word: str) -> Column:
-        return F.filter(F.transform(t, lambda x, i: F.when(x == word, i)), lambda i: i.isNotNull())
-
-    rest = [spots(w) for w in terms[1:]]
-    return F.exists(spots(terms[0]), lambda i: _all([F.exists(s, lambda j: F.abs(i - j) <= gap + 1) for s in rest]))
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
-
-
-def match(chunks: DataFrame, query: str, columns: tuple[str, ...] = ("content",)) -> DataFrame:
-    """Chunks that the query matches; a query outside the grammar matches nothing."""
-    try:
-        tree = parse(query)
-        names = {c: F.col(f"_t_{c}") for c in columns}
-        held = chunks.withColumns({f"_t_{c}": _terms(F.coalesce(F.col(c), F.lit(""))) for c in columns})
-        return held.where(condition(tree, names)).drop(*[f"_t_{c}" for c in columns])
-    except MatchError:
-        return chunks.where(F.lit(False))
-
-
 # ---------------------------------------------------------------- ranking
 
 
@@ -257,8 +56,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, mode: str = "ranked", k: int = 3
     are those of all chunks.
     """
     columns = ("content", "title") if mode == "lucene" else ("title", "content", "module", "meta_json") if mode == "compat" else ("title", "content", "module")
-    asked = queries.select("query_id", F.explode(F.array_distinct(_terms(F.col("query")))).alias("term")).distinct()
-    parts = F.array(*[F.struct(F.lit(c).alias("col"), _terms(F.coalesce(F.col(c), F.lit(""))).alias("t")) for c in columns])
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).distinct()
+    parts = F.array(*[F.struct(F.lit(c).alias("col"), terms(F.coalesce(F.col(c), F.lit(""))).alias("t")) for c in columns])
     whole = chunks.select("id", parts.alias("parts")).withColumn("all", F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["t"])))
     per = ["col"] if mode == "lucene" else []
     text = whole.select("id", "all", F.explode("parts").alias("p")).select("id", "p.col", "p.t", (F.size("p.t") if per else F.col("all")).alias("dl"))
@@ -268,10 +67,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, mode: str = "ranked", k: int = 3
     hits = text.select("id", "col", "dl", F.explode("t").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term")
     tf = hits.groupBy("id", "term", "dl", *per).agg(F.sum(weight).cast("double").alias("tf"))
     df = tf.groupBy("term", *per).agg(F.count("*").alias("df"))
-    return _ranked(tf, asked, df, stats, mode, k, _kept(chunks, types, module))
+    return _ranked(tf, asked, df, stats, mode, k, kept_ids(chunks, types, module))
 
 
-def _kept(chunks: DataFrame, types: list[str] | None, module: str | None) -> DataFrame | None:
+def kept_ids(chunks: DataFrame, types: list[str] | None, module: str | None) -> DataFrame | None:
     """The ids that the filters keep; None without filters."""
     if not types and not module:
         return None
@@ -279,23 +78,33 @@ def _kept(chunks: DataFrame, types: list[str] | None, module: str | None) -> Dat
     return (kept.where(F.col("module") == module) if module else kept).select("id")
 
 
+def idf_of(n: Column, df: Column, mode: str = "ranked") -> Column:
+    odds = (n - df + 0.5) / (df + 0.5)
+    return F.log1p(odds) if mode == "lucene" else F.when(F.log(odds) > 0, F.log(odds)).otherwise(LEAST_IDF)
+
+
+def share_of(tf: Column, dl: Column, avgdl: Column, mode: str = "ranked") -> Column:
+    """What a term's frequency adds to a score, before its idf; it grows with tf and falls with dl."""
+    return tf / (tf + K1 * (1 - B + B * dl / avgdl)) * (1.0 if mode == "lucene" else K1 + 1)
+
+
+def score_of(s: Column, mode: str = "ranked") -> Column:
+    return F.round(1 / (1 + F.exp((-1 if mode == "compat" else 1) * s)), 4).alias("score")
+
+
 def _ranked(tf: DataFrame, asked: DataFrame, df: DataFrame, stats: DataFrame, mode: str, k: int, kept: DataFrame | None) -> DataFrame:
     """bm25()'s rows from tf (id, term, dl, tf, with col in lucene mode), df of the batch's terms, and the corpus' figures."""
     per = ["col"] if mode == "lucene" else []
     x = tf.join(F.broadcast(df), ["term", *per])
     x = x.join(F.broadcast(stats), per) if per else x.crossJoin(F.broadcast(stats))  # one row
-    odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
-    idf = F.log1p(odds) if mode == "lucene" else F.when(F.log(odds) > 0, F.log(odds)).otherwise(LEAST_IDF)
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    share = idf * F.col("tf") / norm * (1.0 if mode == "lucene" else K1 + 1)
+    share = idf_of(F.col("n"), F.col("df"), mode) * share_of(F.col("tf"), F.col("dl"), F.col("avgdl"), mode)
     x = x.withColumn("share", share).join(F.broadcast(asked), "term")
     if mode == "lucene":
         x = x.groupBy("query_id", "id", "col").agg(F.sum("share").alias("s")).groupBy("query_id", "id").agg(F.max("s").alias("s"))
         x = x.select("query_id", "id", F.round("s", 4).alias("raw"), F.round("s", 4).alias("score"))
     else:
         x = x.groupBy("query_id", "id").agg((-F.sum("share")).alias("s"))
-        sign = -1 if mode == "compat" else 1
-        x = x.select("query_id", "id", F.round("s", 4).alias("raw"), F.round(1 / (1 + F.exp(sign * F.col("s"))), 4).alias("score"))
+        x = x.select("query_id", "id", F.round("s", 4).alias("raw"), score_of(F.col("s"), mode))
     if kept is not None:
         x = x.join(kept, "id", "left_semi")
     order = Window.partitionBy("query_id").orderBy(F.col("raw").desc() if mode == "lucene" else F.col("raw"), "id")

@@ -49,7 +49,12 @@ def substring(graph: DataFrame, queries: DataFrame, k: int = 30, types: list[str
     g = graph.where(F.col("type").isin(types)) if types else graph
     q = F.lower(F.col("query"))
     pairs = g.crossJoin(F.broadcast(queries.select("query_id", "query")))  # a batch of queries, each against all rows
-    found = pairs.where(F.contains(F.lower("content"), q) | F.contains(F.lower("id"), q))
+    return ranked_hits(pairs.where(F.contains(F.lower("content"), q) | F.contains(F.lower("id"), q)), k)
+
+
+def ranked_hits(found: DataFrame, k: int) -> DataFrame:
+    """query_id, id, type, content, score, rank of the k best of found (query_id, query, id, type, content)."""
+    q = F.lower(F.col("query"))
     n = occurrences(F.lower("content"), q)
     raw = F.when(n > 0, BASE_SCORE + HIT_SCORE * F.least(n, F.lit(MOST_HITS))).otherwise(ID_SCORE)
     found = found.withColumn("raw", F.round(raw, 4))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fts, graph, ingest, vector
+from ..operators import fts_index, gram_index, graph, ingest, vector
 from ..schemas import CHUNK
 from ..sources.corpus import current_index, poms, resolved_versions, version_overrides, write_index
 from .engine import Engine
@@ -31,35 +31,35 @@ def chunks_of(files: DataFrame, root_name: str = "") -> DataFrame:
     return made.select(names).unionByName(java.select(names)).groupBy("id").agg(F.min_by(row, F.to_json(row)).alias("c")).select("c.*")
 
 
-def run(files: DataFrame, root: str, version: int, embed: Callable | None = None, root_name: str = "") -> dict[str, int]:
-    """Writes chunks, postings, vectors, nodes and edges below root, and returns the counts of what was written.
+def run(files: DataFrame, root: str, embed: Callable | None = None, root_name: str = "") -> dict[str, int]:
+    """Writes chunks, the full-text and trigram indexes, vectors and edges below root, and returns the counts of what was written.
 
     Readers see the new version of a table once it is complete. Chunks that share an id (overloads) are one.
     """
     spark = files.sparkSession
-    write_index(chunks_of(files, root_name), root, "chunks", version)
-    return index(current_index(spark, root, "chunks"), root, version, embed) | {"doc_files": files.where(~F.endswith("path", F.lit(".java")) & ~F.col("filename").isin("pom.xml", ".sdk-versions.json")).count()}
+    write_index(chunks_of(files, root_name), root, "chunks", "id")
+    return index(current_index(spark, root, "chunks"), root, embed) | {"doc_files": files.where(~F.endswith("path", F.lit(".java")) & ~F.col("filename").isin("pom.xml", ".sdk-versions.json")).count()}
 
 
-def index(chunks: DataFrame, root: str, version: int, embed: Callable | None = None) -> dict[str, int]:
+def index(chunks: DataFrame, root: str, embed: Callable | None = None) -> dict[str, int]:
     """Writes the index tables of chunks below root, and returns their counts."""
     spark = chunks.sparkSession
-    fts.write_postings(chunks, root, version)
-    write_index(vector.embedded(chunks, embed or vector.hashed_embedder).select("id", "type", "embedding"), root, "vectors", version)
-    write_index(graph.nodes(chunks), root, "nodes", version)
-    write_index(graph.chain_edges(chunks), root, "edges", version)
+    fts_index.write(chunks, root)
+    write_index(vector.embedded(chunks, embed or vector.hashed_embedder).select("id", "type", "embedding"), root, "vectors", "id")
+    gram_index.write(graph.nodes(chunks), root)
+    write_index(graph.chain_edges(chunks), root, "edges")
     java = F.get_json_object("meta_json", "$.knowledge_source") == "sdk_code"
     n = chunks.agg(F.count("*").alias("total"), F.count_if(java).alias("java")).first()
-    held = {name: current_index(spark, root, table).count() for name, table in (("indexed_vector", "vectors"), ("graph_nodes", "nodes"), ("graph_edges", "edges"))}
+    held = {name: current_index(spark, root, table).count() for name, table in (("indexed_vector", "vectors"), ("graph_nodes", "gram_nodes"), ("graph_edges", "edges"))}
     figures = current_index(spark, root, "figures").first()
     return {"doc_chunks": n.total - n.java, "java_chunks": n.java, "total_chunks": n.total, "indexed_bm25": figures.n} | held
 
 
 def stored_engine(spark, root: str, chunks: DataFrame | None = None, queries_embedded: bool = False) -> Engine:
-    """An engine whose legs read the index below root: postings of the batch's terms, nodes, and vectors where queries have an embedding. chunks: those indexed, if they aren't stored."""
+    """An engine whose legs read the index below root: blocks of the batch's terms, nodes by trigrams, and vectors where queries have an embedding. chunks: those indexed, if they aren't stored."""
     chunks = current_index(spark, root, "chunks") if chunks is None else chunks
-    legs = {"bm25": lambda q, k, types=None, module=None: fts.bm25_stored(root, q, k, chunks, types, module)}
+    legs = {"bm25": lambda q, k, types=None, module=None: fts_index.top(root, q, k, chunks, types, module)}
     if queries_embedded:
         legs["vector"] = lambda q, k: vector.top(current_index(spark, root, "vectors"), q, k)
-    legs["graph"] = lambda q, k, types=None: graph.substring(current_index(spark, root, "nodes"), q, k, types)
+    legs["graph"] = lambda q, k, types=None: gram_index.substring(spark, root, q, k, types)
     return Engine(chunks, legs=legs)

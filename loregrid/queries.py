@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import carries_encoded, chunk_id, pipeline_tokens, prompt_tokens, words
-from .operators import fts, fusion, graph, ingest, knowledge, prompt, vector
+from .operators import fts, fts_index, fusion, gram_index, graph, ingest, knowledge, match, prompt, vector
 from .plans.engine import Engine
 from .schemas import ACTIONS, TYPE_BOOST, TYPE_LABEL, TYPE_ORDER, TYPES
 from .sources.corpus import corpus, resolved_versions, table
@@ -150,7 +152,7 @@ def meta_projection(spark, sf):
 
 def _match(name: str, text: str, sql: str):
     def run(spark, sf):
-        return fts.match(_chunks(spark, sf), text).select("id", "type")
+        return match.match(_chunks(spark, sf), text).select("id", "type")
 
     run.__name__ = name
     query(_with(f"{_CORPUS}, t AS (SELECT id, type, {_tok('content')} AS t FROM corpus)", f"SELECT id, type FROM t WHERE {sql}"))(run)
@@ -169,6 +171,18 @@ _match("fts_initial", "^the OR ^that", "t[1] = 'the' OR t[1] = 'that'")
 _match("fts_near", "NEAR(the that, 1)", """len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'the' AND (t[greatest(i - 1, 1)] = 'that' OR t[least(i + 1, len(t))] = 'that' OR t[greatest(i - 2, 1)] = 'that' OR t[least(i + 2, len(t))] = 'that'))) > 0""")
 
 
+_match("fts_not_and", "that NOT the of", "list_contains(t, 'that') AND NOT (list_contains(t, 'the') AND list_contains(t, 'of'))")
+_match("fts_plus", "of + the OR th*", f"contains({_TEXT}, ' of the ') OR len(list_filter(t, lambda x: starts_with(x, 'th'))) > 0")
+_match("fts_near3", "NEAR(the of that, 4)", """len(list_filter(range(1, len(t) + 1), lambda m: t[m] IN ('the', 'of', 'that') AND list_contains(t[greatest(m - 5, 1):m], 'the')
+    AND list_contains(t[greatest(m - 5, 1):m], 'of') AND list_contains(t[greatest(m - 5, 1):m], 'that'))) > 0""")
+
+
+@query(_with(f"{_CORPUS}, t AS (SELECT id, type, {_tok('content')} AS t, {_tok('title')} AS u FROM corpus)", "SELECT id, type FROM t WHERE list_contains(u, 'de') OR list_contains(u, '7') OR list_contains(t, 'worthless')"))
+def fts_column_group(spark, sf):
+    """Column filters before groups: one column, several, all but some."""
+    return match.match(_chunks(spark, sf), "title: (de OR 7) OR {title content}: (-title: worthless) OR content: (worthless AND -{title}: worthless)", ("title", "content")).select("id", "type")
+
+
 @query(_with(f"{_CORPUS}, t AS (SELECT id, unnest({_tok('content')}) AS term FROM corpus), f AS (SELECT term, id, count(*) AS tf FROM t GROUP BY ALL)", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM f GROUP BY term"))
 def lexicon_df(spark, sf):
     return fts.lexicon(_chunks(spark, sf))
@@ -227,7 +241,7 @@ def embed_chunks(spark, sf):
 
 @query(_with(f"{_CORPUS}, {_ASKED}, {_GRAPH}", "SELECT query_id, id, type, content, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM granked WHERE rank <= 30"))
 def graph_substring(spark, sf):
-    return graph.substring(graph.nodes(_chunks(spark, sf)), _asked(spark))
+    return gram_index.substring(spark, _gram_index(spark, sf), _asked(spark))
 
 
 _CHAIN = "edges AS (SELECT id AS src, lead(id) OVER (PARTITION BY module, type ORDER BY id) AS dst FROM corpus), e AS (SELECT * FROM edges WHERE dst IS NOT NULL)"
@@ -277,11 +291,11 @@ def graph_keyword(spark, sf):
 
 def _engine(spark, sf):
     v, q = _vectors(spark, sf), _vector_queries(spark, sf)
-    c = _chunks(spark, sf)
+    c, root = _chunks(spark, sf), _text_index(spark, sf)
     legs = {
-        "bm25": lambda asked, k, types=None, module=None: fts.bm25(c, asked, "ranked", k, types, module),
+        "bm25": lambda asked, k, types=None, module=None: fts_index.top(root, asked, k, c, types, module),
         "vector": lambda asked, k: vector.top(v, q, k),
-        "graph": lambda asked, k, types=None: graph.substring(graph.nodes(c), asked, k, types),
+        "graph": lambda asked, k, types=None: gram_index.substring(spark, _gram_index(spark, sf), asked, k, types),
     }
     return Engine(c, legs=legs)
 
@@ -323,19 +337,63 @@ def search_module(spark, sf):
 
 
 def _index_root(spark) -> str:
+    """A new folder in the shared folder that the session names, removed when the session's process ends; in local mode, as in tests, a temporary one where none is named."""
     import tempfile
     import uuid
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loregrid-")  # unset in tests alone
-    return f"{top.rstrip('/')}/loregrid-index-{uuid.uuid4().hex}"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="loregrid-")
+    root = f"{top.rstrip('/')}/loregrid-index-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return root
+
+
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark, sf, kind: str, write) -> str:
+    """An index of the documents, written once in a session for each folder of tables; searches read it from then on."""
+    at = spark.sparkContext.applicationId, sf, kind
+    if at not in _INDEXES:
+        root = _index_root(spark)
+        write(root)
+        _INDEXES[at] = root
+    return _INDEXES[at]
+
+
+def _text_index(spark, sf) -> str:
+    return _index(spark, sf, "text", lambda root: fts_index.write(_chunks(spark, sf), root))
+
+
+def _gram_index(spark, sf) -> str:
+    return _index(spark, sf, "grams", lambda root: gram_index.write(graph.nodes(_chunks(spark, sf)), root))
 
 
 @query(_with(_bm25("ranked"), "SELECT query_id, id, raw, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10"))
 def bm25_indexed(spark, sf):
-    """As bm25_topk, from postings that are written first; a search reads those of its own terms."""
-    root = _index_root(spark)
-    fts.write_postings(_chunks(spark, sf), root, 1)
-    return fts.bm25_stored(root, _asked(spark), 10)
+    """As bm25_topk, from the stored index: blocks whose bounds can't reach the tenth score aren't read."""
+    return fts_index.top(_text_index(spark, sf), _asked(spark), 10)
+
+
+#: Queries of the match grammar that the stored positions answer, and the same in SQL over tokens t.
+_MATCHED = {
+    "m1": ("worthless OR pathetic", "list_contains(t, 'worthless') OR list_contains(t, 'pathetic')"),
+    "m2": ('"of the" NOT was', f"contains({_TEXT}, ' of the ') AND NOT list_contains(t, 'was')"),
+    "m3": ("wor* AND the", "len(list_filter(t, lambda x: starts_with(x, 'wor'))) > 0 AND list_contains(t, 'the')"),
+    "m4": ("^the OR ^that", "t[1] = 'the' OR t[1] = 'that'"),
+    "m5": ("NEAR(the of that, 4)", ORACLE_SQL["fts_near3"].partition("WHERE ")[2]),
+}
+
+
+@query(_with(f"{_CORPUS}, t AS (SELECT id, {_tok('content')} AS t FROM corpus)", " UNION ALL ".join(f"SELECT '{n}' AS query_id, id FROM t WHERE {sql}" for n, (_, sql) in _MATCHED.items())))
+def fts_indexed(spark, sf):
+    """Phrases, prefixes, initials and NEAR from the stored positions, without a text."""
+    found = [match_.select(F.lit(n).alias("query_id"), "id") for n, (q, _) in _MATCHED.items() for match_ in [fts_index.match(spark, _text_index(spark, sf), q)]]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 @query("SELECT unnest(['doc_chunks', 'graph_edges', 'graph_nodes', 'indexed_bm25', 'indexed_vector', 'java_chunks', 'total_chunks']) AS counter, unnest([n, 0, n, n, n, 0, n]) AS n FROM (SELECT count(*) AS n FROM documents)")
@@ -343,7 +401,7 @@ def ingest_stats(spark, sf):
     """The whole corpus indexed: each chunk has a source of its own here, so no chain has edges."""
     from .plans import ingest_run
 
-    counts = ingest_run.index(_chunks(spark, sf), _index_root(spark), 1)
+    counts = ingest_run.index(_chunks(spark, sf), _index_root(spark))
     return spark.createDataFrame(sorted(counts.items()), "counter string, n long")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PLACEHOLDER_VERSION, chunk_id, pipeline_tokens
 from ..schemas import TYPES
+from . import segments
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,16 +86,11 @@ def resolved_versions(modules: DataFrame, overrides: DataFrame) -> DataFrame:
     return own.join(best, ["artifact_id", "pom_dir"], "left").withColumn("resolved", F.coalesce("own", "_near", F.lit(""))).drop("own", "_near", "override")
 
 
-def write_index(df: DataFrame, root: str, name: str, version: int, partition_by: list[str] | None = None) -> str:
-    """Writes one version of an index table as a folder of its own; readers take the version that current_index() names, so a rebuild never shows half."""
-    path = f"{root}/{name}/version={version}"
-    out = df.write.mode("overwrite")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    df.sparkSession.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{root}/{name}/current")
-    return path
+def write_index(df: DataFrame, root: str, name: str, key: str | None = None) -> int:
+    """Writes a new version of an index table, which has df's rows alone, and returns its number; readers see the version before until it is complete."""
+    return segments.replace(df, root, name, key).version
 
 
 def current_index(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The last complete version of an index table."""
-    version = spark.read.parquet(f"{root}/{name}/current").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root}/{name}/version={version}")
+    return segments.read(spark, root, name)

@@ -49,24 +49,14 @@ def running_weights(events: DataFrame, key: str = "id") -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(add, f"{key} {kind}, accepted long, total long", "accepted long, total long", "update", GroupStateTimeout.NoTimeout)
 
 
-def ingest(changed: DataFrame, root: str, name: str, checkpoint: str, key: str = "id", order: str | None = None):
-    """Keeps an index table up to date from a stream of changed rows: each batch writes a new version with the rows of its keys replaced. Returns the query.
+def ingest(changed: DataFrame, root: str, name: str, checkpoint: str, key: str = "id", order: str | None = None, deleted: str | None = None):
+    """Keeps an index table up to date from a stream of changed rows, see segments.apply(): each batch is a segment of its own on top of what is there. Returns the query.
 
-    Of a batch's rows with the same key, that with the largest order stays, or else the first as JSON.
+    The table may come from a batch run. Batches are known by the stream's checkpoint, so a batch that is run again after a failure changes nothing, and a new checkpoint starts anew.
     """
-    from ..sources.corpus import current_index, write_index
+    from ..sources import segments
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        row = F.struct(*[F.col(c) for c in batch.columns])
-        last = F.max_by(row, F.struct(order, F.to_json(row))) if order else F.min_by(row, F.to_json(row))
-        new = batch.groupBy(key).agg(last.alias("_row")).select("_row.*")
-        try:
-            old = current_index(spark, root, name)
-            new = old.join(new.select(key), key, "left_anti").unionByName(new)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        write_index(new, root, name, number)
+        segments.apply(batch, root, name, key, deleted, order, (checkpoint, number))
 
     return changed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

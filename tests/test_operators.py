@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loregrid.functions import text
-from loregrid.operators import fts, fusion, graph, ingest, knowledge, prompt, vector
+from loregrid.operators import fts, fts_index, fusion, graph, ingest, knowledge, match, prompt, vector
 from loregrid.plans.engine import Engine
 from loregrid.sources import corpus as sources
 from loregrid.streaming import feedback
@@ -65,7 +65,7 @@ def notes(spark):
     [("alpha gamma", "14"), ("alpha OR delta", "124"), ("gamma NOT alpha", "2"), ("alph*", "134"), ('"beta gamma"', "12"), ("NEAR(gamma alpha, 2)", "1"), ("NEAR(gamma alpha, 3)", "14"), ("(alpha OR soup) AND gamma", "14"), ("content:beta", "12"), ("alpha beta OR delta", "12"), ("a-b", ""), ("what?", ""), ("", ""), ("AND", ""), ("(alpha", ""), ("nocolumn:x", "")],
 )
 def test_match(notes, query, ids):
-    assert sorted(values(fts.match(notes, query), "id")) == list(ids)
+    assert sorted(values(match.match(notes, query), "id")) == list(ids)
 
 
 def test_bm25_orders_and_scores(spark, notes):
@@ -392,7 +392,7 @@ def test_queries_and_sql_share_names():
 def test_query_words_are_made_into_tokens_as_the_text_is(spark):
     rows = [("1", "foo_bar baz"), ("2", "naïve Müller"), ("3", "bar foo"), ("4", "baz foo bar"), ("5", "foo barn")]
     c = spark.createDataFrame(rows, "id string, content string")
-    got = lambda q: sorted(values(fts.match(c, q), "id"))
+    got = lambda q: sorted(values(match.match(c, q), "id"))
     assert got("foo_bar") == ["1", "4"] and got("naive") == ["2"] and got("naïve muller") == ["2"]
     assert got("^foo") == ["1", "5"] and got("^foo_bar") == ["1"] and got("foo_bar*") == ["1", "4", "5"] and got("_") == [] and got("content:^baz") == ["4"]
     q = spark.createDataFrame([("q", "MÜLLER foo_bar")], "query_id string, query string")
@@ -428,16 +428,15 @@ def test_ingest_run_and_the_engine_on_its_index(spark, tmp_path):
              ("src/A.java", "A.java", "package a; public class A { /** Adds alpha. */ public int add(int x) { return x; } public void off() { } }")]
     f = spark.createDataFrame(files, "path string, filename string, content string")
     root = str(tmp_path / "index")
-    counts = ingest_run.run(f, root, 1, root_name="folder")
+    counts = ingest_run.run(f, root, root_name="folder")
     assert counts == {"doc_files": 1, "doc_chunks": 1, "java_chunks": 2, "total_chunks": 3, "indexed_bm25": 3, "indexed_vector": 3, "graph_nodes": 3, "graph_edges": 1}
     q = spark.createDataFrame([("q", "alpha")], "query_id string, query string")
     engine = ingest_run.stored_engine(spark, root)
     assert sorted(values(engine.search(q, min_score=0.0), "title")) == ["A.add", "rules"] and values(engine.search(q, min_score=0.0, types=["api"]), "title") == ["A.add"]
     direct = fts.bm25(engine.chunks, q)
-    assert sorted(map(tuple, fts.bm25_stored(root, q).select(direct.columns).collect())) == sorted(map(tuple, direct.collect()))
-    plan = fts.bm25_stored(root, q)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
-    assert "PushedFilters: [" in plan and "term" in plan
+    assert sorted(map(tuple, fts_index.top(root, q).select(direct.columns).collect())) == sorted(map(tuple, direct.collect()))
+    plan = fts_index.top(root, q)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "term" in plan and "title" not in plan
     lone = ingest_run.modules_of(f.where("filename = 'A.java'"), "folder")
     assert values(lone, "artifact_id") == ["folder"]
     embedded = q.withColumn("embedding", F.array(*[F.lit(float(x)) for x in vector.hashed_embedder()(["alpha"])[0]]))
