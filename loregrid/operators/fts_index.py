@@ -88,8 +88,8 @@ def tile_ranges(pairs: DataFrame) -> Column | None:
 class Search:
     """A batch of queries on the index below root, in the steps that top() takes."""
 
-    def __init__(self, root: str, queries: DataFrame, k: int, kept: DataFrame | None = None):
-        self.k, self.kept, spark = k, kept, queries.sparkSession
+    def __init__(self, root: str, queries: DataFrame, k: int, kept: DataFrame | None = None, granted: tuple[DataFrame, DataFrame] | None = None):
+        self.k, self.kept, self.granted, spark = k, kept, granted, queries.sparkSession
         asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).distinct()
         words = sorted(r.term for r in asked.select("term").distinct().collect())  # a batch's tokens
         self.blocks = of_terms(spark, root, "blocks", words)
@@ -115,7 +115,8 @@ class Search:
         share = F.col("idf") * share_of(F.col("h.tf"), F.col("h.dl"), self.avgdl)
         each = hits.select("query_id", "idf", F.explode("hits").alias("h")).select("query_id", "h.id", share.alias("share"))
         out = each.groupBy("query_id", "id").agg((-F.sum("share")).alias("s"))
-        return out.join(self.kept, "id", "left_semi") if self.kept is not None else out
+        out = out.join(self.kept, "id", "left_semi") if self.kept is not None else out
+        return within_grants(out, *self.granted) if self.granted else out
 
     def ranked(self, scored: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy("raw", "id")
@@ -126,13 +127,18 @@ class Search:
         return self.ranked(self.first.unionByName(self.scored(self.judged.where(F.col("read") & (F.col("place") > self.k)))))
 
 
-def top(root: str, queries: DataFrame, k: int = 30, chunks: DataFrame | None = None, types: list[str] | None = None, module: str | None = None) -> DataFrame:
-    """As fts.bm25() in ranked mode, from the index below root. chunks serve the filters alone.
+def within_grants(rows: DataFrame, chunks: DataFrame, allowed: DataFrame) -> DataFrame:
+    """rows (query_id, id, ...) of chunks whose module is allowed (query_id, module) to the query: a batch's grants."""
+    return rows.join(chunks.select("id", "module"), "id").join(F.broadcast(allowed), ["query_id", "module"], "left_semi").drop("module")
+
+
+def top(root: str, queries: DataFrame, k: int = 30, chunks: DataFrame | None = None, types: list[str] | None = None, module: str | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """As fts.bm25() in ranked mode, from the index below root. chunks serve the filters alone; allowed (query_id, module) says which modules each query may see.
 
     The bounds of a query's terms in each tile are summed. The k tiles with the highest sums are read first, since each has a hit at least; the k-th best score there is one
     that all further tiles must reach, and only those whose sums do are read. Filters keep their chunks before that score is taken; fewer than k hits ask for all tiles.
     """
-    return Search(root, queries, k, kept_ids(chunks, types, module) if chunks is not None else None).result()
+    return Search(root, queries, k, kept_ids(chunks, types, module) if chunks is not None else None, (chunks, allowed) if allowed is not None else None).result()
 
 
 def effort(root: str, queries: DataFrame, k: int = 30) -> DataFrame:

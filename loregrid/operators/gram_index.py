@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..sources import segments
 from . import graph
-from .fts_index import of_terms, tile_ranges
+from .fts_index import of_terms, tile_ranges, within_grants
 
 TILE_BITS = 6
 #: Trigrams of a query that are read, the rarest first; the texts decide.
@@ -39,8 +39,8 @@ def write(nodes: DataFrame, root: str) -> None:
     segments.replace(files, root, "grams_files")
 
 
-def substring(spark: SparkSession, root: str, queries: DataFrame, k: int = 30, types: list[str] | None = None) -> DataFrame:
-    """As graph.substring(), from the index below root: only tiles whose bits are left are read, and only their nodes compared.
+def substring(spark: SparkSession, root: str, queries: DataFrame, k: int = 30, types: list[str] | None = None, chunks: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """As graph.substring(), from the index below root: only tiles whose bits are left are read, and only their nodes compared. allowed (query_id, module) keeps nodes whose chunks' modules a query may see.
 
     Queries of fewer than three characters have no trigram and are compared with every node: the exact scan, for those queries alone.
     """
@@ -65,4 +65,5 @@ def substring(spark: SparkSession, root: str, queries: DataFrame, k: int = 30, t
         pairs = pairs.unionByName(nodes.crossJoin(F.broadcast(short)))  # the batch's short queries, each against all nodes
     if types:
         pairs = pairs.where(F.col("type").isin(types))
-    return graph.ranked_hits(pairs.where(F.contains(F.lower("content"), F.col("q")) | F.contains(F.lower("id"), F.col("q"))), k)
+    found = pairs.where(F.contains(F.lower("content"), F.col("q")) | F.contains(F.lower("id"), F.col("q")))
+    return graph.ranked_hits(within_grants(found, chunks, allowed) if allowed is not None else found, k)

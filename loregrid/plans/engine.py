@@ -43,18 +43,19 @@ class Engine:
                 self.legs["vector"] = lambda q, k: vector.top(self.vectors, q, k)
             self.legs["graph"] = lambda q, k, types=None, module=None: graph.substring(graph.nodes(self.chunks), q, k, types)
 
-    def candidates(self, queries: DataFrame, top_k: int = 5, types: list[str] | None = None, module: str | None = None) -> DataFrame:
-        """Legs that take types and module choose by them before they cut."""
+    def candidates(self, queries: DataFrame, top_k: int = 5, types: list[str] | None = None, module: str | None = None, allowed: DataFrame | None = None) -> DataFrame:
+        """Legs that take types, module and allowed (query_id, module: what a query may see) choose by them before they cut."""
         k = top_k * CANDIDATE_MULTIPLIER
-        filters = lambda leg: {n: v for n, v in (("types", types), ("module", module)) if n in inspect.signature(leg).parameters}
+        filters = lambda leg: {n: v for n, v in (("types", types), ("module", module), ("allowed", allowed)) if n in inspect.signature(leg).parameters}
         return fusion.union([(name, leg(queries, k, **filters(leg))) for name, leg in self.legs.items()])
 
-    def search(self, queries: DataFrame, top_k: int = 5, min_score: float = MIN_SCORE, types: list[str] | None = None, module: str | None = None) -> DataFrame:
-        """query_id, place, id, type, content, title, module, leg, score of the best chunks of queries (query_id, query)."""
-        found = fusion.fuse(self.candidates(queries, top_k, types, module))
+    def search(self, queries: DataFrame, top_k: int = 5, min_score: float = MIN_SCORE, types: list[str] | None = None, module: str | None = None, allowed: DataFrame | None = None) -> DataFrame:
+        """query_id, place, id, type, content, title, module, leg, score of the best chunks of queries (query_id, query), by the filters; see permissions.allowed() for allowed."""
+        found = fusion.fuse(self.candidates(queries, top_k, types, module, allowed))
         chunks = self.chunks.where(F.col("type").isin(types)) if types else self.chunks
         chunks = chunks.where(F.col("module") == module) if module else chunks
         items = found.join(chunks.select("id", "type", "content", "title", "module", "meta_json"), "id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+        items = items.join(F.broadcast(allowed), ["query_id", "module"], "left_semi") if allowed is not None else items  # what legs without grants found
         best = fusion.cut(fusion.rerank(items), min_score, top_k)
         return best.select("query_id", "place", "id", "type", "content", "title", "module", "meta_json", "leg", F.col("final").alias("score"))
 

@@ -58,8 +58,8 @@ def index(chunks: DataFrame, root: str, embed: Callable | None = None) -> dict[s
 def stored_engine(spark, root: str, chunks: DataFrame | None = None, queries_embedded: bool = False) -> Engine:
     """An engine whose legs read the index below root: blocks of the batch's terms, nodes by trigrams, and vectors where queries have an embedding. chunks: those indexed, if they aren't stored."""
     chunks = current_index(spark, root, "chunks") if chunks is None else chunks
-    legs = {"bm25": lambda q, k, types=None, module=None: fts_index.top(root, q, k, chunks, types, module)}
+    legs = {"bm25": lambda q, k, types=None, module=None, allowed=None: fts_index.top(root, q, k, chunks, types, module, allowed)}
     if queries_embedded:
         legs["vector"] = lambda q, k: vector.top(current_index(spark, root, "vectors"), q, k)
-    legs["graph"] = lambda q, k, types=None: gram_index.substring(spark, root, q, k, types)
+    legs["graph"] = lambda q, k, types=None, allowed=None: gram_index.substring(spark, root, q, k, types, chunks, allowed)
     return Engine(chunks, legs=legs)

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import carries_encoded, chunk_id, pipeline_tokens, prompt_tokens, words
-from .operators import fts, fts_index, fusion, gram_index, graph, ingest, knowledge, match, prompt, vector
+from .operators import asof, fts, fts_index, fusion, gram_index, graph, ingest, knowledge, match, permissions, prompt, table_functions, vector, vector_index, versions
 from .plans.engine import Engine
 from .schemas import ACTIONS, TYPE_BOOST, TYPE_LABEL, TYPE_ORDER, TYPES
+from .sources import segments
 from .sources.corpus import corpus, resolved_versions, table
-from .streaming import feedback
+from .streaming import feedback, state
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -293,9 +294,9 @@ def _engine(spark, sf):
     v, q = _vectors(spark, sf), _vector_queries(spark, sf)
     c, root = _chunks(spark, sf), _text_index(spark, sf)
     legs = {
-        "bm25": lambda asked, k, types=None, module=None: fts_index.top(root, asked, k, c, types, module),
+        "bm25": lambda asked, k, types=None, module=None, allowed=None: fts_index.top(root, asked, k, c, types, module, allowed),
         "vector": lambda asked, k: vector.top(v, q, k),
-        "graph": lambda asked, k, types=None: gram_index.substring(spark, _gram_index(spark, sf), asked, k, types),
+        "graph": lambda asked, k, types=None, allowed=None: gram_index.substring(spark, _gram_index(spark, sf), asked, k, types, c, allowed),
     }
     return Engine(c, legs=legs)
 
@@ -781,3 +782,129 @@ def version_requirements(spark, sf):
 def token_estimates(spark, sf):
     t = F.coalesce("text", F.lit("0"))
     return table(spark, sf, "documents").select("doc_id", prompt_tokens(t).alias("prompt_tokens"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+
+
+# ---------------------------------------------------------------- joins over time, versions and grants; state with time
+
+
+def _asof_sql(sign: str) -> str:
+    return f"SELECT l.event_id, l.user_id, r.event_id AS r_event_id, r.value AS r_value FROM events l ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND l.ts {sign} r.ts"
+
+
+def _asof(spark, sf, direction: str):
+    events = table(spark, sf, "events")
+    got = asof.asof_join(events, events.where("event_type = 'purchase'"), ["user_id"], "ts", direction=direction, width=86_400e6)
+    return got.select("event_id", "user_id", "r_event_id", "r_value")
+
+
+@query(_asof_sql(">="))
+def asof_backward(spark, sf):
+    """Each event with its user's last purchase; a user's days are parted."""
+    return _asof(spark, sf, "backward")
+
+
+@query(_asof_sql("<="))
+def asof_forward(spark, sf):
+    """Each event with its user's next purchase."""
+    return _asof(spark, sf, "forward")
+
+
+_SIGNS = [">=", "<=", ">", "<", "=", "~", "^", ""]
+_MET = """CASE s_suppkey % 8 WHEN 0 THEN have >= need WHEN 1 THEN have <= need WHEN 2 THEN have > need WHEN 3 THEN have < need WHEN 4 THEN have = need
+    WHEN 5 THEN have >= need AND have // 1000 = need // 1000 WHEN 6 THEN have >= need AND have // 1000000 = need // 1000000 ELSE have >= need END"""
+
+
+@query(f"""WITH v AS (SELECT p_partkey, p_brand, (p_size % 5) * 1000000 + (p_partkey % 7) * 1000 + p_partkey % 11 AS have FROM part),
+    r AS (SELECT s_suppkey, 'Brand#' || (s_suppkey % 25 + 1) AS brand, (s_nationkey % 5) * 1000000 + (s_suppkey % 7) * 1000 AS need FROM supplier)
+    SELECT p_brand AS name, p_partkey, s_suppkey FROM v JOIN r ON p_brand = brand AND {_MET}""")
+def version_matching(spark, sf):
+    """All parts' versions against a table of requirements, one of each supplier."""
+    v = table(spark, sf, "part").select(F.col("p_brand").alias("name"), "p_partkey", F.concat_ws(".", *[x.cast("string") for x in (F.col("p_size") % 5, F.col("p_partkey") % 7, F.col("p_partkey") % 11)]).alias("version"))
+    signs = F.array(*[F.lit(x) for x in _SIGNS])
+    need = F.concat(F.element_at(signs, (F.col("s_suppkey") % 8 + 1).cast("int")), (F.col("s_nationkey") % 5).cast("string"), F.lit("."), (F.col("s_suppkey") % 7).cast("string"))
+    r = table(spark, sf, "supplier").select(F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 25 + 1).cast("string")).alias("name"), "s_suppkey", need.alias("requirement"))
+    return versions.matching(v, r).select("name", "p_partkey", "s_suppkey")
+
+
+def _members(spark, sf):
+    """Customers in nations, nations in regions, and two regions in each other."""
+    c = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("member"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("team"))
+    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
+    r = table(spark, sf, "region").where("r_regionkey < 2").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.concat(F.lit("r"), (1 - F.col("r_regionkey")).cast("string")))
+    return c.union(n).union(r)
+
+
+_MEMBERS_SQL = """m AS (SELECT 'c' || c_custkey AS member, 'n' || c_nationkey AS team FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || (1 - r_regionkey) FROM region WHERE r_regionkey < 2),
+    cl(member, team) AS (SELECT member, team FROM m UNION SELECT cl.member, m.team FROM cl JOIN m ON m.member = cl.team)"""
+
+
+@query(f"WITH RECURSIVE {_MEMBERS_SQL} SELECT member, team FROM cl")
+def membership_closure(spark, sf):
+    return permissions.closure(_members(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {_bm25('ranked')}, {_MEMBERS_SQL}, g AS (SELECT DISTINCT 'r' || substr(module, 4)::INT % 5 AS team, module FROM corpus WHERE module IS NOT NULL),
+    al AS (SELECT DISTINCT 'q' || (substr(member, 2)::INT + 1) AS query_id, module FROM cl JOIN g USING (team) WHERE member IN ('c0', 'c1', 'c2', 'c3'))
+    SELECT s.query_id, s.id, s.raw, s.score, CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY raw, s.id) AS INTEGER) AS rank FROM scored s JOIN corpus c ON c.id = s.id JOIN al ON al.query_id = s.query_id AND al.module = c.module QUALIFY rank <= 10""")
+def search_permitted(spark, sf):
+    """The first four customers ask; regions are granted modules, and each query sees those of its customer's teams."""
+    c = _chunks(spark, sf)
+    grants = c.where("module IS NOT NULL").select("module").distinct().select(F.concat(F.lit("r"), (F.substring("module", 4, 10).cast("int") % 5).cast("string")).alias("team"), "module")
+    users = spark.createDataFrame([(q, f"c{i}") for i, (q, _) in enumerate(ASKED)], "query_id string, user string")
+    return fts_index.top(_text_index(spark, sf), _asked(spark), 10, c, allowed=permissions.allowed(users, _members(spark, sf), grants))
+
+
+@query("""WITH l AS (SELECT user_id, max(ts) AS last_ts, count(*) AS n FROM events GROUP BY user_id)
+    SELECT user_id, round(sum(coalesce(value, 0) * pow(2, -(epoch_us(last_ts) - epoch_us(ts)) / (1e6 * 86400))), 4) AS weight, n FROM events JOIN l USING (user_id) GROUP BY user_id, n""")
+def feedback_decayed(spark, sf):
+    """Users' weights, halved every day; the stream of the same has its twin here."""
+    got = state.decayed(table(spark, sf, "events"), "user_id", 86_400, value="value")
+    return got.select("user_id", F.round("weight", 4).alias("weight"), "n")
+
+
+@query("SELECT conv_id, turn, coalesce(text, '') AS text, array_to_string(coalesce(list(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '') ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []), ' | ') AS context FROM conversations")
+def conversation_carried(spark, sf):
+    got = state.with_context(table(spark, sf, "conversations"), 3)
+    return got.withColumn("context", F.array_join("context", " | "))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, md5(CASE WHEN doc_id % 10 = 3 THEN 'changed' ELSE coalesce(text, '') END) AS hash FROM documents WHERE doc_id % 10 <> 4
+    UNION ALL SELECT 'new' || doc_id, md5(coalesce(text, '')) FROM documents WHERE doc_id % 10 = 5""")
+def incremental_index(spark, sf):
+    """All documents as an index table; then a tenth changed, a tenth deleted and a tenth added, in two segments of their own."""
+    root = _index_root(spark)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("hash"), (F.col("doc_id") % 10).alias("k"))
+    segments.replace(docs.drop("k"), root, "docs", "id")
+    changed = docs.where("k = 3").select("id", F.md5(F.lit("changed").cast("binary")).alias("hash"), F.lit(False).alias("gone"))
+    added = docs.where("k = 5").select(F.concat(F.lit("new"), "id").alias("id"), "hash", F.lit(False).alias("gone"))
+    segments.apply(changed.unionByName(added), root, "docs", deleted="gone")
+    segments.delete(docs.where("k = 4"), root, "docs")
+    return segments.read(spark, root, "docs")
+
+
+@query()
+def vector_topk_trained(spark, sf):
+    """One of a hundred vectors asks an index of trained cells and product codes, written once in a session."""
+    v = _vectors(spark, sf)
+    root = _index(spark, sf, "vectors", lambda root: vector_index.write(v.select("id", "embedding"), root, cells=16))
+    return vector_index.search(spark, root, _all_vector_queries(spark, sf), 5, probes=14, again=64)
+
+
+# ---------------------------------------------------------------- table functions of SQL
+
+
+@query(ORACLE_SQL["api_entry_split"])
+def api_entries_lateral(spark, sf):
+    """As api_entry_split, from SQL."""
+    table_functions.register(spark)
+    _api_docs(spark, sf).createOrReplaceTempView("api_docs")
+    return spark.sql("SELECT page_id, e.entry_no, e.entry_title, e.http_method, e.url_path FROM api_docs, LATERAL api_entries_of(content) e")
+
+
+@query("""SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS ord, unnest(p) AS content
+    FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL)""")
+def paragraphs_lateral(spark, sf):
+    """Every line of every document that isn't empty, from SQL."""
+    table_functions.register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("all_documents")
+    return spark.sql("SELECT doc_id, p.ord, p.content FROM all_documents, LATERAL paragraphs_of(text, '\\n') p")

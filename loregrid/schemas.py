@@ -11,8 +11,8 @@ META = (
 CANDIDATE = "query_id STRING, leg STRING, leg_ord INT, rank INT, id STRING, type STRING, content STRING, score DOUBLE"
 
 # Knowledge types, their boosts, display order and labels; feedback actions.
-TYPES = ["api", "best_practice", "spec", "defect_history", "document", "security_rule", "term", "test_template"]
-TYPE_BOOST = {"api": 1.0, "best_practice": 0.95, "spec": 0.95, "defect_history": 0.90, "document": 0.90, "security_rule": 0.85, "term": 0.80, "test_template": 0.75}
+TYPES = ["term", "api", "document", "best_practice", "defect_history", "security_rule", "test_template", "spec"]
+TYPE_BOOST = {"api": 1.0, "best_practice": 0.95, "defect_history": 0.90, "security_rule": 0.85, "term": 0.80, "spec": 0.95, "test_template": 0.75, "document": 0.90}
 OTHER_BOOST = 0.5
 KEYWORD_BOOST = 0.02
 TYPE_ORDER = {"term": 0, "api": 1, "best_practice": 2, "defect_history": 3, "security_rule": 4, "spec": 5, "test_template": 6}

@@ -217,3 +217,18 @@ def test_a_stream_goes_on_after_a_batch_run(spark, tmp_path):
     assert rows_of(segments.read(spark, root, "docs"), "id", "content") == [("0", "old 0"), ("1", "x"), ("3", "z"), ("9", "y")]
     m = segments.apply(spark.createDataFrame([("0", "again", False)], new), root, "docs", deleted="dead", batch=(str(tmp_path / "cp-a"), 1))
     assert m.version == 4 and ("0", "old 0") in rows_of(segments.read(spark, root, "docs"), "id", "content")
+
+
+def test_table_functions_equal_the_expressions(spark, sf_dir):
+    from loregrid.operators import ingest, table_functions
+
+    table_functions.register(spark)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("content"))
+    d = d.unionByName(spark.createDataFrame([(-1, "intro\n\n## API\n### GET /a\nDoes a.\n### Empty\n#### post /b/c\n x "), (-2, ""), (-3, None), (-4, "one\n \ntwo " + "x" * 4000 + "\n\nthree")], "doc_id long, content string"))
+    d.createOrReplaceTempView("some_documents")
+    got = spark.sql("SELECT doc_id, p.ord, p.content FROM some_documents, LATERAL packed_paragraphs_of(content, r'\n\s*\n') p")
+    assert rows_of(got, "doc_id", "ord", "content") == rows_of(d.select("doc_id", F.posexplode(ingest.packed_paragraphs(F.col("content"))).alias("ord", "content")), "doc_id", "ord", "content")
+    got = spark.sql("SELECT doc_id, e.* FROM some_documents, LATERAL api_entries_of(content) e")
+    names = ("doc_id", "entry_no", "entry_title", "entry", "http_method", "url_path")
+    assert rows_of(got, *names) == rows_of(ingest.api_entries(d), *names) and got.count() == 2
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
