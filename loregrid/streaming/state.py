@@ -46,7 +46,7 @@ class Decay(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("weight", "weight double, n long, at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         weight, n, at = self.state.get() if self.state.exists() else (0.0, 0, None)
         for frame in rows:
             for t, w in zip(frame["t"].tolist(), frame["w"].tolist()):
@@ -61,7 +61,7 @@ class Decay(StatefulProcessor):
         self.handle.registerTimer(at // 1000 + int(1000 * self.idle))
         yield pd.DataFrame({self.key: [key[0]], "weight": [round(weight, 6)], "n": [n], "at": [pd.Timestamp(at, unit="us")], "forgotten": [False]})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         weight, n, at = self.state.get()
         self.state.clear()
         yield pd.DataFrame({self.key: [key[0]], "weight": [0.0], "n": [n], "at": [pd.Timestamp(at, unit="us")], "forgotten": [True]})
@@ -90,15 +90,15 @@ def with_context(turns: DataFrame, most: int = 3) -> DataFrame:
 
 
 class Context(StatefulProcessor):
-    """The last turns of a conversation, forgotten after idle milliseconds of processing time without a turn."""
+    """The last turns of a conversation, forgotten after idle milliseconds of processing time without a turn, if there is such a limit."""
 
-    def __init__(self, most: int, idle_ms: int):
+    def __init__(self, most: int, idle_ms: int | None):
         self.most, self.idle_ms = most, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getListState("last", "text string", self.idle_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [r[0] for r in self.last.get()] if self.last.exists() else []
         new = pd.concat(list(rows)).sort_values(["turn", "text"], kind="stable")
         out = []
@@ -112,9 +112,12 @@ class Context(StatefulProcessor):
         pass
 
 
-def carried(turns: DataFrame, most: int = 3, idle_ms: int = 86_400_000) -> DataFrame:
-    """A stream of conv_id, turn, text, context as with_context() has them, where the turns of a conversation come in order, over any number of batches."""
+def carried(turns: DataFrame, most: int = 3, idle_ms: int | None = None) -> DataFrame:
+    """A stream of conv_id, turn, text, context as with_context() has them, where the turns of a conversation come in order, over any number of batches.
+
+    With idle_ms conversations end by time to live, which needs a trigger that goes on: one for what is available now never ends then.
+    """
     use_rocksdb(turns.sparkSession)
     t = turns.where("conv_id IS NOT NULL").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     kinds = dict(turns.dtypes)
-    return t.groupBy("conv_id").transformWithStateInPandas(Context(most, idle_ms), f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, text string, context array<string>", "Append", "ProcessingTime")
+    return t.groupBy("conv_id").transformWithStateInPandas(Context(most, idle_ms), f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, text string, context array<string>", "Append", "ProcessingTime" if idle_ms else "None")
