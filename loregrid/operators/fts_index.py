@@ -16,11 +16,13 @@ from .match import MatchError, Node, columns_of, combined, parse, stands
 COLUMNS = ("title", "content", "module")
 #: A tile has 2 ** TILE_BITS chunks.
 TILE_BITS = 6
-#: Blocks of one tile make a page, so that a page index skips single tiles; positions are delta coded.
-BLOCK_PAGES = {"parquet.page.row.count.limit": "1", "parquet.block.size": str(32 << 20)}
+#: A few blocks make a page, so that a page index skips tiles (a page for each would take most of the table); positions are delta coded.
+BLOCK_PAGES = {"parquet.page.row.count.limit": "16", "parquet.block.size": str(32 << 20)}
 PLACE_PAGES = {"parquet.writer.version": "v2", "parquet.page.row.count.limit": "2000", "parquet.block.size": str(32 << 20)}
 #: Tiles that are named to the scan at most, and ranges that they are merged into; beyond, blocks are found by the join alone.
 NAMED_TILES, TILE_RANGES = 1 << 12, 64
+#: Tiles that are read first, for each of the k: more of them find a better k-th score.
+FIRST = 2
 #: A score is rounded to 4 digits: bounds within this of the k-th one are read.
 SLACK = 1e-4
 
@@ -29,6 +31,10 @@ def _spots(tokens: Column, column: int) -> Column:
     return F.transform(tokens, lambda t, i: F.struct(t.alias("term"), F.lit(column).alias("col"), i.alias("pos")))
 
 
+def _of_column(spots: Column, column: int) -> Column:
+    return F.transform(F.filter(spots, lambda s: s["col"] == column), lambda s: s["pos"])
+
+
 def write(chunks: DataFrame, root: str) -> None:
     """Writes a new version of the index of chunks (id and COLUMNS): places, blocks, the terms that each file holds, and the corpus' figures. Texts are made into tokens once."""
     spark = chunks.sparkSession
@@ -38,7 +44,9 @@ def write(chunks: DataFrame, root: str) -> None:
     spots = F.concat(*[_spots(F.col(f"t.{c}"), k) for k, c in enumerate(COLUMNS)])
     # a chunk without tokens has one row without a term, so that it counts
     each = held.select("id", "dl", "tile", F.explode_outer(spots).alias("s")).select("id", "dl", "tile", "s.*")
-    places = each.groupBy("term", "tile", "id", "dl").agg(*[F.sort_array(F.collect_list(F.when(F.col("col") == k, F.col("pos")))).alias(c) for k, c in enumerate(COLUMNS)])
+    spot = F.when(F.col("pos").isNotNull(), F.struct("col", "pos"))
+    places = each.groupBy("term", "tile", "id", "dl").agg(F.sort_array(F.collect_list(spot)).alias("spots"))
+    places = places.select("term", "tile", "id", "dl", *[_of_column(F.col("spots"), k).alias(c) for k, c in enumerate(COLUMNS)])
     order = ("term", "tile", "id")
     segments.replace(places.repartitionByRange(*order).sortWithinPartitions(*order), root, "places", options=PLACE_PAGES)
     stored = segments.read(spark, root, "places")
@@ -102,10 +110,11 @@ class Search:
         most = F.sum(F.col("idf") * share_of(F.col("max_tf"), F.col("min_dl"), self.avgdl)).alias("most")
         bounds = heads.join(self.asked, "term").groupBy("query_id", "tile").agg(most, F.sum("n").alias("postings"))
         self.bounds = bounds.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "tile")))
-        self.first = self.scored(self.bounds.where(F.col("place") <= k))
+        self.tiles = FIRST * k
+        self.first = self.scored(self.bounds.where(F.col("place") <= self.tiles))
         least = self.ranked(self.first).where(F.col("rank") == k).select("query_id", (-F.col("raw")).alias("least"))  # a row for each query
         reached = F.coalesce(F.col("most") >= F.col("least") - SLACK, F.lit(True))
-        self.judged = self.bounds.join(least, "query_id", "left").withColumn("read", (F.col("place") <= k) | reached)
+        self.judged = self.bounds.join(least, "query_id", "left").withColumn("read", (F.col("place") <= self.tiles) | reached)
 
     def scored(self, pairs: DataFrame) -> DataFrame:
         """query_id, id, s (the negative score) of the hits in pairs of query and tile."""
@@ -124,7 +133,7 @@ class Search:
         return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
 
     def result(self) -> DataFrame:
-        return self.ranked(self.first.unionByName(self.scored(self.judged.where(F.col("read") & (F.col("place") > self.k)))))
+        return self.ranked(self.first.unionByName(self.scored(self.judged.where(F.col("read") & (F.col("place") > self.tiles)))))
 
 
 def within_grants(rows: DataFrame, chunks: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -135,7 +144,7 @@ def within_grants(rows: DataFrame, chunks: DataFrame, allowed: DataFrame) -> Dat
 def top(root: str, queries: DataFrame, k: int = 30, chunks: DataFrame | None = None, types: list[str] | None = None, module: str | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """As fts.bm25() in ranked mode, from the index below root. chunks serve the filters alone; allowed (query_id, module) says which modules each query may see.
 
-    The bounds of a query's terms in each tile are summed. The k tiles with the highest sums are read first, since each has a hit at least; the k-th best score there is one
+    The bounds of a query's terms in each tile are summed. The 2 * k tiles with the highest sums are read first, each of which has a hit at least; the k-th best score there is one
     that all further tiles must reach, and only those whose sums do are read. Filters keep their chunks before that score is taken; fewer than k hits ask for all tiles.
     """
     return Search(root, queries, k, kept_ids(chunks, types, module) if chunks is not None else None, (chunks, allowed) if allowed is not None else None).result()

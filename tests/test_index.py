@@ -121,7 +121,7 @@ def test_ranking_reads_a_part_of_the_postings(spark, large_index):
 
 
 def test_scans_skip_what_a_condition_on_tiles_leaves_out(spark, large_index):
-    """Pages hold a block each: a scan with a condition on tiles reads few more rows than it returns."""
+    """Pages hold a few blocks: a scan with a condition on neighbouring tiles reads few more rows than it returns."""
     store = spark.sparkContext._jsc.sc().statusStore()
     none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
     read = lambda: sum(s.inputRecords() for s in iterate(store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())))
@@ -131,10 +131,10 @@ def test_scans_skip_what_a_condition_on_tiles_leaves_out(spark, large_index):
 
     blocks = fts_index.of_terms(spark, large_index, "blocks", ["the"])
     tiles = sorted(r.tile for r in blocks.select("tile").collect())
-    asked = spark.createDataFrame([(t,) for t in tiles[:: len(tiles) // 5]], "tile long")
+    asked = spark.createDataFrame([(t,) for t in tiles[:5]], "tile long")
     before = read()
     got = blocks.where(fts_index.tile_ranges(asked)).select("hits").collect()
-    assert 0 < len(got) <= 8 and read() - before - asked.count() * 0 < len(tiles) / 3
+    assert len(got) == 5 and len(tiles) > 100 and read() - before < len(tiles) / 3
 
 
 def test_substrings_by_trigrams(spark, tmp_path):
