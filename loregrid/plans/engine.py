@@ -29,12 +29,16 @@ Leg = Callable[..., DataFrame]
 
 @dataclass
 class Engine:
-    """chunks: CHUNK columns. vectors: id, type, embedding, with queries' embeddings in the queries' column embedding. Legs run in this order."""
+    """chunks: CHUNK columns. vectors: id, type, embedding, with queries' embeddings in the queries' column embedding. Legs run in this order.
+
+    second: a second stage that gives the re-ranked candidates their places anew, as late.rerank() does.
+    """
 
     chunks: DataFrame
     vectors: DataFrame | None = None
     mode: str = "ranked"
     legs: dict[str, Leg] = field(default_factory=dict)
+    second: Callable[[DataFrame], DataFrame] | None = None
 
     def __post_init__(self):
         if not self.legs:
@@ -56,7 +60,8 @@ class Engine:
         chunks = chunks.where(F.col("module") == module) if module else chunks
         items = found.join(chunks.select("id", "type", "content", "title", "module", "meta_json"), "id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
         items = items.join(F.broadcast(allowed), ["query_id", "module"], "left_semi") if allowed is not None else items  # what legs without grants found
-        best = fusion.cut(fusion.rerank(items), min_score, top_k)
+        ranked = fusion.rerank(items)
+        best = fusion.cut(self.second(ranked) if self.second else ranked, min_score, top_k)
         return best.select("query_id", "place", "id", "type", "content", "title", "module", "meta_json", "leg", F.col("final").alias("score"))
 
     def prompts(self, queries: DataFrame, max_tokens: int = 4096, role: str | None = None, **how) -> DataFrame:

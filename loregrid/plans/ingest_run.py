@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fts_index, gram_index, graph, ingest, vector
+from ..operators import fts_index, gram_index, graph, ingest, late, vector
 from ..schemas import CHUNK
 from ..sources.corpus import current_index, poms, resolved_versions, version_overrides, write_index
 from .engine import Engine
@@ -47,6 +47,7 @@ def index(chunks: DataFrame, root: str, embed: Callable | None = None) -> dict[s
     fts_index.write(chunks, root)
     write_index(vector.embedded(chunks, embed or vector.hashed_embedder).select("id", "type", "embedding"), root, "vectors", "id")
     gram_index.write(graph.nodes(chunks), root)
+    late.write(chunks, root)
     write_index(graph.chain_edges(chunks), root, "edges")
     java = F.get_json_object("meta_json", "$.knowledge_source") == "sdk_code"
     n = chunks.agg(F.count("*").alias("total"), F.count_if(java).alias("java")).first()
@@ -55,11 +56,14 @@ def index(chunks: DataFrame, root: str, embed: Callable | None = None) -> dict[s
     return {"doc_chunks": n.total - n.java, "java_chunks": n.java, "total_chunks": n.total, "indexed_bm25": figures.n} | held
 
 
-def stored_engine(spark, root: str, chunks: DataFrame | None = None, queries_embedded: bool = False) -> Engine:
-    """An engine whose legs read the index below root: blocks of the batch's terms, nodes by trigrams, and vectors where queries have an embedding. chunks: those indexed, if they aren't stored."""
+def stored_engine(spark, root: str, chunks: DataFrame | None = None, queries_embedded: bool = False, late_interaction: bool = False) -> Engine:
+    """An engine whose legs read the index below root: blocks of the batch's terms, nodes by trigrams, and vectors where queries have an embedding. chunks: those indexed, if they aren't stored.
+
+    late_interaction: candidates are ranked a second time by their tokens' codes.
+    """
     chunks = current_index(spark, root, "chunks") if chunks is None else chunks
     legs = {"bm25": lambda q, k, types=None, module=None, allowed=None: fts_index.top(root, q, k, chunks, types, module, allowed)}
     if queries_embedded:
         legs["vector"] = lambda q, k: vector.top(current_index(spark, root, "vectors"), q, k)
     legs["graph"] = lambda q, k, types=None, allowed=None: gram_index.substring(spark, root, q, k, types, chunks, allowed)
-    return Engine(chunks, legs=legs)
+    return Engine(chunks, legs=legs, second=(lambda items: late.rerank(items, root)) if late_interaction else None)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import carries_encoded, chunk_id, pipeline_tokens, prompt_tokens, words
-from .operators import asof, fts, fts_index, fusion, gram_index, graph, ingest, knowledge, match, permissions, prompt, table_functions, vector, vector_index, versions
+from .operators import asof, fts, fts_index, fusion, gram_index, graph, ingest, knowledge, late, match, permissions, prompt, table_functions, vector, vector_index, versions
 from .plans.engine import Engine
 from .schemas import ACTIONS, TYPE_BOOST, TYPE_LABEL, TYPE_ORDER, TYPES
 from .sources import segments
@@ -406,6 +406,22 @@ def ingest_stats(spark, sf):
     return spark.createDataFrame(sorted(counts.items()), "counter string, n long")
 
 
+_LATE = f"""{_FUSED}, token_lists AS (SELECT DISTINCT 'c' AS side, id AS key, {_tok('content')} AS t FROM final UNION ALL SELECT 'q', query_id, {_tok('query')} FROM asked),
+    each AS (SELECT side, key, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM token_lists), beside AS (SELECT *, lag(t, 1, '') OVER w AS l, lead(t, 1, '') OVER w AS r FROM each WINDOW w AS (PARTITION BY side, key ORDER BY i)),
+    codes AS (SELECT DISTINCT side, key, ('0x' || substr(md5(t), 1, 8) || substr(md5(substr(t, 1, 4)), 9, 3) || substr(md5(l), 12, 2) || substr(md5(r), 14, 2))::BIGINT AS code FROM beside),
+    best AS (SELECT f.query_id, f.id, q.code, max(60 - 2 * bit_count(xor(q.code, c.code))) AS m FROM final f JOIN codes q ON q.side = 'q' AND q.key = f.query_id JOIN codes c ON c.side = 'c' AND c.key = f.id GROUP BY ALL),
+    sums AS (SELECT query_id, id, sum(m) AS late FROM best GROUP BY ALL), lated AS (SELECT f.*, CAST(coalesce(s.late, 0) AS BIGINT) AS late FROM final f LEFT JOIN sums s USING (query_id, id))"""
+
+
+@query(_with(_LATE, "SELECT query_id, id, late, CAST(row_number() OVER (PARTITION BY query_id ORDER BY late DESC, place, id) AS INTEGER) AS place FROM lated"))
+def rerank_late(spark, sf):
+    """The fused candidates ranked a second time by late interaction; codes of all documents' tokens are written once in a session, the candidates' are read."""
+    e, q = _engine(spark, sf), _asked(spark)
+    items = fusion.rerank(fusion.fuse(e.candidates(q, 5)).join(e.chunks, "id").join(F.broadcast(q), "query_id"))
+    root = _index(spark, sf, "codes", lambda root: late.write(_chunks(spark, sf), root))
+    return late.rerank(items, root).select("query_id", "id", "late", "place")
+
+
 @query(_with(_FUSED, "SELECT query_id, CAST(p AS INTEGER) AS place, id, CAST(final AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS p FROM final WHERE final >= 0.7) WHERE p <= 10"))
 def min_score_topk(spark, sf):
     e, q = _engine(spark, sf), _asked(spark)
