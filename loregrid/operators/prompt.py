@@ -211,3 +211,17 @@ def assemble(items: DataFrame, requests: DataFrame, specs: DataFrame | None = No
     total = sum((prompt_tokens(F.col(c)) for c in sections), F.lit(0))
     out = out.withColumn("estimated_tokens", total).withColumn("budget_remaining", F.greatest(F.lit(0), F.col("max_tokens") - F.col("estimated_tokens")))
     return out.select("query_id", *sections, F.concat_ws("\n\n", *[F.nullif(F.col(c), F.lit("")) for c in sections]).alias("prompt"), "input_items", "after_truncation", "estimated_tokens", "budget_remaining")
+
+
+def assembled(items: DataFrame, requests: DataFrame, specs: DataFrame | None = None, near: bool = False, kept_most: int | None = 50, normalize: bool = True) -> DataFrame:
+    """From raw items to prompts: sanitised, one row for each id and each content (with near also none too similar to one of the kept_most best kept), then as assemble().
+
+    Its input_items counts the rows given; after_dedup those left to assemble() and sanitized_items those that sanitising changed are added. Requests without items have 0.
+    """
+    clean = sanitize(items, normalize=normalize)
+    given = clean.groupBy("query_id").agg(F.count("*").alias("_given"), F.count_if("modified").alias("_modified"))
+    kept = dedup_by_id(clean.drop("modified"))
+    kept = dedup_near(kept, kept_most=kept_most) if near else dedup_by_content(kept)
+    out = assemble(kept, requests, specs).withColumnRenamed("input_items", "after_dedup").join(given, "query_id", "left")
+    out = out.withColumns({"input_items": F.coalesce("_given", F.lit(0)), "sanitized_items": F.coalesce("_modified", F.lit(0))})
+    return out.select(*[c for c in out.columns if not c.startswith("_")])

@@ -65,13 +65,12 @@ class Engine:
         return best.select("query_id", "place", "id", "type", "content", "title", "module", "meta_json", "leg", F.col("final").alias("score"))
 
     def prompts(self, queries: DataFrame, max_tokens: int = 4096, role: str | None = None, **how) -> DataFrame:
-        """Search, then prompts from what it finds: sanitised, deduplicated, cut to the budget. queries may have architecture and dependencies, see prompt.assemble()."""
+        """Search, then prompts from what it finds: sanitised, deduplicated, cut to the budget. queries may have architecture and dependencies, see prompt.assemble() and prompt.assembled()."""
         items = self.search(queries, **how).withColumn("ord", F.col("place"))
-        items = prompt.dedup_by_content(prompt.dedup_by_id(prompt.sanitize(items).drop("modified")))
         fields = ("version", "since_version", "deprecated_in", "security_rule", "code_example", "related_entity")
         meta = F.from_json("meta_json", "knowledge_source STRING, " + ", ".join(f"{f} STRING" for f in fields))
         items = items.withColumn("m", meta).select("query_id", "id", "type", "content", "score", "ord", F.col("m.knowledge_source").alias("source"), *[f"m.{f}" for f in fields])
-        items = prompt.sanitize(items, fields).drop("modified")  # what is read of the meta data goes into the prompt too
+        items = prompt.sanitize(items, fields).drop("modified")  # the content is sanitised below; what is read of the meta data goes into the prompt too
         more = [c for c in ("architecture", "dependencies") if c in queries.columns]
         requests = queries.select("query_id", "query", F.lit(max_tokens).alias("max_tokens"), F.lit(role).cast("string").alias("role"), *more)
-        return prompt.assemble(items, requests)
+        return prompt.assembled(items, requests)

@@ -673,6 +673,43 @@ def assemble_prompt(spark, sf):
     return prompt.assemble(i, ask, specs)
 
 
+def _cost(x: str) -> str:
+    return _COST.replace("text", x)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SYSTEM_SQL = _quoted(prompt.SYSTEM.replace("{role}", prompt.ROLE) + "\n" + prompt.NO_SPECS)
+_GIVEN = f"""{_INJECTED}, one AS (SELECT *, CAST(id AS BIGINT) AS n FROM inj), base AS (SELECT 'q' || (n % 20) AS query_id, id, {_TYPES_SQL}[n % 8 + 1] AS type, coalesce(content, '') AS content, n * 10 AS ord, (n * 37 % 100) / 100.0 AS score FROM one),
+    given AS (SELECT * FROM base UNION ALL SELECT query_id, id, type, content, ord + 1, score / 2 FROM base UNION ALL SELECT query_id, 'c' || id, type, content, ord + 2, score FROM base WHERE ord % 30 = 0),
+    clean AS (SELECT * EXCLUDE (content), {_CLEAN_SQL} AS content, {_CLEAN_SQL} IS DISTINCT FROM content AS modified FROM given),
+    ids AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, ord) AS k FROM clean), firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, md5(lower(content)) ORDER BY score DESC, ord) AS k2 FROM ids WHERE k = 1),
+    held AS (SELECT *, {_FORMATTED.replace("'] (score: '", "'] [文档] (score: '")} AS line FROM firsts WHERE k2 = 1 OR content = ''), costs AS (SELECT *, {_cost('line')} AS cost, {_ORDER} AS spot FROM held),
+    sums AS (SELECT *, sum(cost) OVER w AS so_far, row_number() OVER w AS place FROM costs WINDOW w AS (PARTITION BY query_id ORDER BY spot, score DESC, ord ROWS UNBOUNDED PRECEDING)),
+    fits AS (SELECT *, so_far + {_cost(_quoted(prompt.BACKGROUND))} + {_cost(_quoted(prompt.DOC_HEADING))} <= (20000 - {_cost(_SYSTEM_SQL)} - 200) * 0.8 AS kept FROM sums),
+    per AS (SELECT query_id, count(*) AS after_dedup, count(*) FILTER (kept) AS after_truncation, coalesce(chr(10) || string_agg(line, chr(10) ORDER BY place) FILTER (kept), '') AS lines FROM fits GROUP BY query_id),
+    backs AS (SELECT *, {_quoted(prompt.BACKGROUND)} || chr(10) || {_quoted(prompt.DOC_HEADING)} || lines || CASE WHEN after_truncation < after_dedup THEN chr(10) || chr(10) || '[以下 ' || (after_dedup - after_truncation) || ' 条知识因 token 预算限制省略]' || chr(10) ELSE '' END AS background FROM per),
+    counted AS (SELECT query_id, count(*) AS input_items, count(*) FILTER (modified) AS sanitized_items FROM clean GROUP BY query_id),
+    asks AS (SELECT *, {_quoted(prompt.USER)} || 'How to ' || query_id AS request FROM backs)"""
+
+
+@query(_with(_GIVEN, f"""SELECT query_id, input_items, sanitized_items, after_dedup, after_truncation, md5(background) AS background_md5, {_cost(_SYSTEM_SQL)} + {_cost('background')} + {_cost('request')} AS estimated_tokens,
+    greatest(0, 20000 - ({_cost(_SYSTEM_SQL)} + {_cost('background')} + {_cost('request')})) AS budget_remaining FROM asks JOIN counted USING (query_id)"""))
+def assemble_stats(spark, sf):
+    """Prompts of all documents, each with injected phrases, given twice, and a third of them once more by another id; what the assembly says of itself, and its background's digest."""
+    n = F.col("id").cast("long")
+    kinds = F.array(*[F.lit(t) for t in TYPES])
+    base = _injected(spark, sf).select(F.concat(F.lit("q"), (n % 20).cast("string")).alias("query_id"), "id", F.element_at(kinds, (n % 8 + 1).cast("int")).alias("type"), F.coalesce("content", F.lit("")).alias("content"), (n * 10).alias("ord"), ((n * 37 % 100) / 100.0).alias("score"))
+    given = base.unionByName(base.withColumns({"ord": F.col("ord") + 1, "score": F.col("score") / 2})).unionByName(base.where("ord % 30 = 0").withColumns({"id": F.concat(F.lit("c"), "id"), "ord": F.col("ord") + 2}))
+    none = F.lit(None).cast("string")
+    items = given.withColumns({"version": none, "deprecated_in": none, "security_rule": none, "source": F.lit("doc")})
+    ask = base.select("query_id").distinct().select("query_id", F.concat(F.lit("How to "), "query_id").alias("query"), F.lit(20000).alias("max_tokens"), none.alias("role"))
+    got = prompt.assembled(items, ask, normalize=False)
+    return got.select("query_id", "input_items", "sanitized_items", "after_dedup", "after_truncation", F.md5(F.col("background").cast("binary")).alias("background_md5"), "estimated_tokens", "budget_remaining")
+
+
 @query()
 def search_and_assemble(spark, sf):
     return _engine(spark, sf).prompts(_asked(spark), top_k=5, min_score=0.5)

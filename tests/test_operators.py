@@ -231,6 +231,17 @@ def test_assembly(spark):
     assert least == sorted(least)
 
 
+def test_assembly_from_raw_items(spark):
+    names = "query_id string, id string, type string, content string, score double, ord int, source string, version string, deprecated_in string, security_rule string"
+    rows = [("q", "a", "api", "one {{x}} text", 0.9, 1), ("q", "a", "api", "repeated id", 0.5, 2), ("q", "b", "api", "ONE [已移除] TEXT", 0.8, 3), ("q", "c", "term", "one [已移除] texts", 0.7, 4), ("q", "d", "term", None, None, 5), ("q", "e", "term", "", 0.1, 6)]
+    items = spark.createDataFrame([(*r, "doc", None, None, None) for r in rows], names)
+    ask = spark.createDataFrame([(q, "Do it", 4096, None) for q in ("q", "none")], "query_id string, query string, max_tokens int, role string")
+    got = {r.query_id: r for r in prompt.assembled(items, ask).collect()}
+    figures = lambda r: (r.input_items, r.sanitized_items, r.after_dedup, r.after_truncation)
+    assert figures(got["q"]) == (6, 1, 4, 4) and figures(got["none"]) == (0, 0, 0, 0) and "{{" not in got["q"].prompt
+    assert figures(prompt.assembled(items, ask, near=True).where("query_id = 'q'").first()) == (6, 1, 3, 3)
+
+
 # ---------------------------------------------------------------- ingest
 
 API = """# Title
