@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,6 +170,32 @@ def assemble(items: DataFrame, requests: DataFrame, specs: DataFrame | None = No
     Where they are there: items' since_version, code_example and related_entity, requests' architecture (a text for the system section) and dependencies
     (an array of name and version for the constraints).
     """
+    items = _keyed(items)
+    return _prompts(_costed(items), items, requests, specs).drop("given", "sanitized_items")
+
+
+#: Columns of items that only the text of an item needs.
+LONG = ("content", "code_example", "related_entity")
+
+
+def _keyed(items: DataFrame) -> DataFrame:
+    """items with _key, which rows share only if they are the same in every column."""
+    return items.withColumn("_key", F.md5(F.to_json(F.struct(*items.columns)).cast("binary")))
+
+
+def _line(items: DataFrame) -> Column:
+    more = [F.col(c) if c in items.columns else F.lit(None).cast("string") for c in LONG[1:]]
+    return formatted(F.col("type"), F.col("score"), F.col("content"), F.col("source"), *more)
+
+
+def _costed(items: DataFrame) -> DataFrame:
+    """items with sdk and item_tokens in place of their long texts, which no exchange carries then."""
+    return items.withColumns({"sdk": F.coalesce(F.col("source") == "sdk_code", F.lit(False)), "item_tokens": prompt_tokens(_line(items))}).drop(*LONG)
+
+
+def _prompts(slim: DataFrame, texts: DataFrame, requests: DataFrame, specs: DataFrame | None, clean: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """assemble() of slim, as _costed() gives it; the texts of those that the budget keeps are fetched by _key from texts, and cleaned then. given and sanitized_items sum slim's _given and _modified, if there."""
+    items = slim
     extra = lambda df, c, kind: F.col(c) if c in df.columns else F.lit(None).cast(kind)
     role = F.coalesce(F.nullif("role", F.lit("")), F.lit(ROLE))
     ask = requests.withColumn("system", F.replace(F.lit(SYSTEM), F.lit("{role}"), role))
@@ -184,19 +212,22 @@ def assemble(items: DataFrame, requests: DataFrame, specs: DataFrame | None = No
     ask = ask.withColumn("lines", F.array_compact(F.concat(F.coalesce("lines", F.expr("CAST(array() AS array<string>)")), F.array(needs))))
     ask = ask.withColumn("constraints", F.when(F.size("lines") > 0, F.concat(F.lit(CONSTRAINTS), F.array_join("lines", "\n"))).otherwise(""))
     ask = ask.withColumn("remaining", F.col("max_tokens") - prompt_tokens(F.col("system")) - prompt_tokens(F.col("constraints")) - USER_TOKENS)
-    text = formatted(F.col("type"), F.col("score"), F.col("content"), F.col("source"), extra(items, "code_example", "string"), extra(items, "related_entity", "string"))
-    sdk = F.coalesce(F.col("source") == "sdk_code", F.lit(False))
-    held = items.join(ask.select("query_id", "remaining"), "query_id").withColumns({"text": text, "sdk": sdk}).withColumn("item_tokens", prompt_tokens(F.col("text")))
+    held = items.join(ask.select("query_id", "remaining"), "query_id")
     order = [F.desc("sdk"), F.when(F.col("sdk"), 0).otherwise(type_rank(F.col("type"))), F.when(F.col("sdk"), 0.0).otherwise(F.col("score")).desc(), "ord"]
     whole, so_far = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     head = prompt_tokens(F.lit(BACKGROUND))
     heads = F.when(F.max("sdk").over(whole), prompt_tokens(F.lit(SDK_HEADING))).otherwise(0) + F.when(F.col("sdk"), 0).otherwise(prompt_tokens(F.lit(DOC_HEADING)))
     held = held.withColumn("kept", F.sum("item_tokens").over(so_far) + head + heads <= F.col("remaining") * BACKGROUND_SHARE).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     held = held.withColumn("kept", F.min("kept").over(so_far))
+    total = lambda c: F.sum(c) if c in items.columns else F.lit(0).cast("long")
+    counts = ("input_items", "after_truncation", "n_sdk", "kept_sdk", "given", "sanitized_items")
     per = held.groupBy("query_id").agg(
         F.count("*").alias("input_items"), F.count_if("kept").alias("after_truncation"), F.count_if("sdk").alias("n_sdk"), F.count_if(F.col("sdk") & F.col("kept")).alias("kept_sdk"),
-        F.sort_array(F.collect_list(F.when(F.col("kept"), F.struct("place", "sdk", "text")))).alias("texts"))
-    out = ask.join(per, "query_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("input_items", "after_truncation", "n_sdk", "kept_sdk")})
+        total("_given").alias("given"), total("_modified").alias("sanitized_items"), F.collect_list(F.when(F.col("kept"), F.struct("place", "sdk", "_key"))).alias("keys"))
+    flat = per.select("query_id", *counts, F.explode_outer("keys").alias("k")).select("query_id", *counts, "k.*")
+    lines = clean(flat.join(texts.dropDuplicates(["query_id", "_key"]).drop(*counts, "place", "sdk"), ["query_id", "_key"], "left"))
+    lines = lines.withColumn("text", _line(lines)).groupBy("query_id").agg(*[F.first(c).alias(c) for c in counts], F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "sdk", "text")))).alias("texts"))
+    out = ask.join(lines, "query_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     of = lambda is_sdk: F.transform(F.filter("texts", lambda t: t["sdk"] == is_sdk), lambda t: t["text"])
     left = F.col("input_items") - F.col("after_truncation")
     note = F.concat(F.lit("\n[以下 "), left.cast("string"), F.lit(" 条知识因 token 预算限制省略]\n"))
@@ -210,7 +241,7 @@ def assemble(items: DataFrame, requests: DataFrame, specs: DataFrame | None = No
     sections = ("system", "background", "user_request", "constraints")
     total = sum((prompt_tokens(F.col(c)) for c in sections), F.lit(0))
     out = out.withColumn("estimated_tokens", total).withColumn("budget_remaining", F.greatest(F.lit(0), F.col("max_tokens") - F.col("estimated_tokens")))
-    return out.select("query_id", *sections, F.concat_ws("\n\n", *[F.nullif(F.col(c), F.lit("")) for c in sections]).alias("prompt"), "input_items", "after_truncation", "estimated_tokens", "budget_remaining")
+    return out.select("query_id", *sections, F.concat_ws("\n\n", *[F.nullif(F.col(c), F.lit("")) for c in sections]).alias("prompt"), "input_items", "after_truncation", "estimated_tokens", "budget_remaining", "given", "sanitized_items")
 
 
 def assembled(items: DataFrame, requests: DataFrame, specs: DataFrame | None = None, near: bool = False, kept_most: int | None = 50, normalize: bool = True) -> DataFrame:
@@ -218,10 +249,19 @@ def assembled(items: DataFrame, requests: DataFrame, specs: DataFrame | None = N
 
     Its input_items counts the rows given; after_dedup those left to assemble() and sanitized_items those that sanitising changed are added. Requests without items have 0.
     """
-    clean = sanitize(items, normalize=normalize)
-    given = clean.groupBy("query_id").agg(F.count("*").alias("_given"), F.count_if("modified").alias("_modified"))
-    kept = dedup_by_id(clean.drop("modified"))
-    kept = dedup_near(kept, kept_most=kept_most) if near else dedup_by_content(kept)
-    out = assemble(kept, requests, specs).withColumnRenamed("input_items", "after_dedup").join(given, "query_id", "left")
-    out = out.withColumns({"input_items": F.coalesce("_given", F.lit(0)), "sanitized_items": F.coalesce("_modified", F.lit(0))})
-    return out.select(*[c for c in out.columns if not c.startswith("_")])
+    items = _keyed(items)
+    clean = lambda df: sanitize(df, normalize=normalize).drop("modified")
+    count = lambda c, *by: F.sum(c).over(Window.partitionBy("query_id", *by))
+    same = F.when(F.col("content") != "", F.md5(F.lower("content").cast("binary"))).otherwise(F.concat(F.lit("none "), "_key"))  # empty contents are all kept
+    slim = sanitize(items, normalize=normalize).withColumns({"_same": same, "_given": F.lit(1).cast("long"), "_modified": F.col("modified").cast("long")}).drop("modified")
+    slim = slim if near else _costed(slim)
+    slim = dedup_by_id(slim.withColumns({c: count(c, "id") for c in ("_given", "_modified")}))
+    if near:  # compares texts, and counts before it leaves rows out
+        slim = _costed(dedup_near(slim.withColumns({c: count(c) for c in ("_given", "_modified")}), kept_most=kept_most))
+        first = Window.partitionBy("query_id").orderBy("_key")
+        slim = slim.withColumns({c: F.when(F.row_number().over(first) == 1, F.col(c)).otherwise(0) for c in ("_given", "_modified")})
+    else:
+        order = Window.partitionBy("query_id", "_same").orderBy(F.coalesce("score", F.lit(0.0)).desc(), "ord")
+        slim = slim.withColumns({c: count(c, "_same") for c in ("_given", "_modified")} | {"_k": F.row_number().over(order)}).where("_k = 1").drop("_k")
+    out = _prompts(slim, items, requests, specs, clean).withColumnsRenamed({"input_items": "after_dedup", "given": "input_items"})
+    return out
