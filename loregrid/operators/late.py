@@ -35,8 +35,8 @@ def coded(rows: DataFrame, column: str) -> DataFrame:
 
 def write(chunks: DataFrame, root: str, encode: Callable[[DataFrame, str], DataFrame] = coded) -> None:
     """Writes a new version of the codes of chunks (id, content) below root, by id, with the range of ids of each file."""
-    made = encode(chunks.where("id IS NOT NULL").select("id", "content"), "content").select("id", "codes")
-    segments.replace(made.repartitionByRange("id").sortWithinPartitions("id"), root, "codes", "id", PAGES)
+    texts = chunks.where("id IS NOT NULL").select("id", "content").repartitionByRange("id").sortWithinPartitions("id")  # texts, as codes don't compress
+    segments.replace(encode(texts, "content").select("id", "codes"), root, "codes", "id", PAGES)
     files = segments.read(chunks.sparkSession, root, "codes").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     segments.replace(files, root, "codes_files")
 
