@@ -47,10 +47,11 @@ def specs_for(specs: DataFrame, module: str | None = None, file_path: str | None
 
 
 def spec_conflicts(specs: DataFrame) -> DataFrame:
-    """id, conflict_id: pairs of specs of a module of which one names the other, each once."""
+    """id, conflict_id: pairs of specs of a module of which one names the other, each once: ids that are whole numbers by number, others after them by text."""
     named = specs.select("module", F.col("id").alias("a"), F.explode("conflicts").alias("b"))
     both = named.join(specs.select("module", F.col("id").alias("b")), ["module", "b"])
-    return both.select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("conflict_id")).distinct()
+    order = lambda c: F.struct(F.coalesce(F.when(F.col(c).rlike("^[0-9]+$"), F.col(c).try_cast("decimal(38, 0)")), F.lit("9" * 38).cast("decimal(38, 0)")).alias("n"), F.col(c).alias("id"))
+    return both.select(F.least(order("a"), order("b"))["id"].alias("id"), F.greatest(order("a"), order("b"))["id"].alias("conflict_id")).distinct()
 
 
 def recommended(usage: DataFrame, most: int = 5) -> DataFrame:

@@ -336,6 +336,8 @@ def test_versions_and_entities(spark):
     assert values(knowledge.entity(e, n).orderBy("query_id"), "entity_id", "found") == [(2, True), (1, True), (None, False)]
     s = spark.createDataFrame([("m", "r1", ["r2", "r9"]), ("m", "r2", ["r1"]), ("n", "r9", [])], "module string, id string, conflicts array<string>")
     assert values(knowledge.spec_conflicts(s), "id", "conflict_id") == [("r1", "r2")]
+    s = spark.createDataFrame([("100", "m", ["75"]), ("75", "m", ["100", "x"]), ("x", "m", [])], "id string, module string, conflicts array<string>")
+    assert sorted(values(knowledge.spec_conflicts(s), "id", "conflict_id")) == [("75", "100"), ("75", "x")]  # numbers by number
 
 
 def test_health(spark, tmp_path):
