@@ -137,6 +137,29 @@ def test_scans_skip_what_a_condition_on_tiles_leaves_out(spark, large_index):
     assert len(got) == 5 and len(tiles) > 100 and read() - before < len(tiles) / 3
 
 
+def test_indexes_are_written_without_an_exchange(spark, tmp_path):
+    """A task writes the tiles of its own chunks: what is exchanged is a few rows of figures, not the postings; terms and trigrams of several runs and files are found."""
+    from loregrid.operators import fts_index as index
+
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def exchanged():
+        stages = store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    root = f"file://{tmp_path}/index"
+    c = _chunks(spark, "/root/testdata/sf0.001").repartition(3).localCheckpoint()
+    many = c.count()
+    before = exchanged()
+    index.write(c, root)
+    gram_index.write(graph.nodes(c), root)
+    assert exchanged() - before < 200 * many
+    assert segments.read(spark, root, "figures").first().n == many
+    word = index.match(spark, root, "the").count()
+    assert word == match.match(c, "the").count() > 0
+
+
 def test_substrings_by_trigrams(spark, tmp_path):
     root = f"file://{tmp_path}/grams"
     rows = [(f"id{i}", "api" if i % 2 else "spec", t) for i, t in enumerate(["Points Contract", "a points contract, twice: points contract", "poi", "pointscontract", "", None, "ÄÖ points", "日本語テキスト", "contract points"] * 9)]
