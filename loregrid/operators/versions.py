@@ -39,14 +39,18 @@ def interval(requirement: Column) -> Column:
 def matching(versions: DataFrame, requirements: DataFrame, name: str = "name", version: str = "version", requirement: str = "requirement") -> DataFrame:
     """Rows of versions and requirements of the same name whose version meets the requirement: all columns of both, the name once; other names that they share are an error.
 
-    A requirement's interval is cut along the major numbers that its name's versions have, which are one row for each; names and major numbers then meet by equality, and only versions at an interval's
-    ends are told apart by their keys. Null names, versions and requirements meet nothing.
+    Distinct versions meet distinct requirements first, each once for a name: a requirement's interval is cut along the major numbers that its name's versions have, names and major numbers meet by
+    equality, and only versions at an interval's ends are told apart by their keys. Rows then join by their version's and requirement's texts, so what is left to do is as much as there are rows to
+    give; they are dealt by version over all of the session's partitions, as few rows may give many. Null names, versions and requirements meet nothing.
     """
     if clash := set(versions.columns) & set(requirements.columns) - {name}:
         raise ValueError(f"both tables have {sorted(clash)}")
-    v = versions.where(F.col(version).isNotNull()).withColumns({"_key": version_key(F.col(version)), "_major": version_parts(F.col(version))[0].cast("bigint")})
-    r = requirements.withColumn("_in", interval(F.col(requirement))).where("_in IS NOT NULL")
-    majors = v.select(name, "_major").distinct()
-    cut = r.join(majors, name).where("_major >= _in.first AND (_in.last IS NULL OR _major <= _in.last)")
-    met = cut.join(v, [name, "_major"]).where("_key >= _in.lo AND _key < _in.hi")
-    return met.select(name, *[c for c in versions.columns if c != name], *[c for c in requirements.columns if c != name])
+    v = versions.where(F.col(version).isNotNull()).withColumn("_key", version_key(F.col(version)))
+    held = v.select(name, "_key", version_parts(F.col(version))[0].cast("bigint").alias("_major")).distinct()
+    asked = requirements.select(name, requirement).distinct().withColumn("_in", interval(F.col(requirement))).where("_in IS NOT NULL")
+    cut = asked.join(held.select(name, "_major").distinct(), name).where("_major >= _in.first AND (_in.last IS NULL OR _major <= _in.last)")
+    met = cut.join(held, [name, "_major"]).where("_key >= _in.lo AND _key < _in.hi").select(name, requirement, "_key")
+    wanted = requirements.join(met, [name, requirement])
+    parts = int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = wanted.repartition(parts, name, "_key").join(v.repartition(parts, name, "_key"), [name, "_key"])
+    return both.select(name, *[c for c in versions.columns if c != name], *[c for c in requirements.columns if c != name])

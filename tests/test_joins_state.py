@@ -58,6 +58,16 @@ def test_versions_meet_as_the_plain_condition_says(spark):
         versions.matching(left, right.withColumn("a", F.lit(1)))
 
 
+def test_versions_meet_once_for_each_class_and_rows_are_dealt(spark):
+    """Copies of a version and of a requirement are not compared again, and the rows they give are made in as many tasks as the session has partitions."""
+    left = spark.range(3000).select(F.lit("n").alias("name"), F.concat(F.lit("1."), (F.col("id") % 20).cast("string")).alias("version"), F.col("id").alias("a"))
+    right = spark.range(200).select(F.lit("n").alias("name"), F.concat(F.lit(">=1."), (F.col("id") % 20).cast("string")).alias("requirement"), F.col("id").alias("b"))
+    got = versions.matching(left, right)
+    assert got.count() == 3000 * 200 * 21 // 40
+    spread = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) > 2 and max(r["count"] for r in spread) < 0.8 * 3000 * 200 * 21 // 40
+
+
 def test_memberships_in_circles_end_and_grants_hold_in_search(spark):
     m = spark.createDataFrame([("u", "t1"), ("t1", "t2"), ("t2", "t3"), ("t3", "t1"), ("v", "t4"), (None, "t1"), ("w", None)], "member string, team string")
     assert values(permissions.closure(m), "member", "team") == sorted(map(repr, [(a, b) for a in ("u", "t1", "t2", "t3") for b in ("t1", "t2", "t3")] + [("v", "t4")]))
