@@ -94,6 +94,25 @@ def test_vector_filters(spark):
     assert abs(sum(x * x for x in e[0].embedding) - 1) < 1e-5 and not any(e[1].embedding)
 
 
+def test_vectors_that_fit_no_matrix_and_pairs_that_are_scored(spark):
+    """Beside the plain join of all pairs, with vectors and queries that are missing, ragged, huge or not numbers; few pairs leave the products."""
+    import numpy as np
+    from pyspark.sql import Window
+
+    r = np.random.default_rng(4)
+    rows = [(f"v{i}", "api", [float(np.float32(x)) for x in np.round(r.normal(size=4), 1)]) for i in range(300)]
+    odd = [None, [], [1.0, None, 0.0, 2.0], [float("nan"), 0.0, 0.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], [1e20, -1e20, 1.0, 0.0], [1.0, 2.0], [1.0] * 5]
+    v = spark.createDataFrame(rows + [(f"w{i}", "spec", x) for i, x in enumerate(odd)], "id string, type string, embedding array<float>")
+    for asked in (rows[:7] + [(f"w{i}", "", x) for i, x in enumerate(odd)], [("w", "", [1.0, None])], rows[:1]):
+        q = spark.createDataFrame([(i, x) for i, _, x in asked], "query_id string, embedding array<float>")
+        pairs = v.crossJoin(q.select("query_id", F.col("embedding").alias("_q"))).select("query_id", "id", "type", F.round(vector.inner_product(F.col("embedding"), F.col("_q")), 4).alias("score"))
+        want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 12")
+        names = ("query_id", "id", "type", "score", "rank")
+        assert sorted(map(repr, values(vector.top(v, q, 12), *names))) == sorted(map(repr, values(want, *names)))
+    asked = spark.createDataFrame([(i, x) for i, _, x in rows[:20]], "query_id string, _q array<float>")
+    assert vector._near(v.where("type = 'api'").coalesce(1), asked, 3).count() < 20 * 300 / 10
+
+
 def test_recall_of_cells(spark, sf_dir):
     """The query, with fewer probes than cells, against brute force on the embeddings."""
     import numpy as np
