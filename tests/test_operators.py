@@ -78,6 +78,27 @@ def test_bm25_orders_and_scores(spark, notes):
     assert [r.id for r in both] and both[0].raw >= both[-1].raw
 
 
+def test_postings_are_made_where_their_chunk_is(spark):
+    """Beside plain loops; ids that several chunks have, none among them, still make one posting for each term, and only without such ids no token is exchanged."""
+    rows = [("a", "Über the the übér x"), ("b", ""), ("c", None), ("d", "  ,, "), ("e", "the " * 300 + "日本 x"), ("a", "x the"), (None, "x y"), (None, "y"), ("f", "x")]
+    c = spark.createDataFrame([(i, t, "x t") for i, t in rows], "id string, content string, title string")
+
+    def plain(given, columns):
+        want = {}
+        for i, t, u in given:
+            for col, text_ in zip(("content", "title"), (t, u)):
+                for n, w in enumerate(fts.split(text_ or "") if col in columns else []):
+                    want.setdefault((w, i, col), []).append(n)
+        return sorted((repr(k), len(v), sorted(v)) for k, v in want.items())
+
+    got = lambda df: sorted((repr((r.term, r.doc_id, r.col)), r.tf, list(r.positions)) for r in df.collect())
+    for columns in (("content",), ("content", "title")):
+        assert got(fts.postings(c, columns)) == plain([tuple(r) for r in c.collect()], columns)
+    lone = fts.postings(c.where("id > 'a'"))
+    assert got(lone) == plain([tuple(r) for r in c.where("id > 'a'").collect()], ("content",))
+    assert "Exchange" not in lone._jdf.queryExecution().executedPlan().toString()
+
+
 # ---------------------------------------------------------------- vectors and graph
 
 
