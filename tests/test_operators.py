@@ -274,6 +274,29 @@ def test_dedup_near_compares_all_rows(spark, sf_dir):
     assert sorted(values(queries.QUERIES["dedup_near"](spark, sf_dir), "id")) == sorted(want)
 
 
+def test_common_subsequences_bound_what_matches():
+    """Beside the plain table: what is ruled out never has a sequence of that length, and the whole length is found exactly where the bound is not needed early."""
+    import random
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    r, ruled_out = random.Random(6), 0
+    for _ in range(300):
+        a = "".join(r.choice("abcd é\U0001f600") for _ in range(r.randint(1, 200)))
+        b = "".join(c if r.random() < r.choice([0.3, 0.95]) else r.choice("abcx") for c in a)[r.randint(0, 3) :] + "b" * r.randint(0, 9)
+        n = longest(a, b)
+        assert all(prompt.may_share(a, prompt.places(b), len(b), k) for k in (0, n // 2, n))
+        assert not prompt.may_share(a, prompt.places(b), len(b), n + 1)
+        ruled_out += not prompt.may_share(a, prompt.places(b), len(b), int(0.92 * max(len(a), len(b))))
+    assert ruled_out > 50
+
+
 def test_assembly(spark):
     names = "query_id string, id string, type string, content string, score double, ord int, source string, version string, deprecated_in string, security_rule string"
     items = spark.createDataFrame([("q", "a", "api", "sig", 0.9, 1, "sdk_code", "1.0", None, None), ("q", "b", "document", "word " * 40, 0.8, 2, "doc", None, None, None), ("q", "c", "term", "short", 0.5, 3, "doc", None, None, None)], names)
