@@ -6,37 +6,70 @@ company is nearer than the word alone, and forms of a word are nearer than stran
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import tokens
+from ..functions.batches import small_batches
 from ..sources import segments
+from .fts import terms_joined
 
 SIGNS = 60
-PAGES = {"parquet.page.row.count.limit": "16", "parquet.block.size": str(32 << 20)}
+#: A row group's Bloom filter tells ids that are not there, whatever the order of the source.
+PAGES = {"parquet.page.row.count.limit": "16", "parquet.block.size": str(32 << 20), "parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.expected.ndv#id": "20000"}
 #: Chunks that a scan names one by one; of more, the table is read and joined.
 NAMED_IDS = 1_000
 #: Values of one IN that the Parquet reader checks page by page; a longer list counts as its range there.
 IN_VALUES = 10
 
 
+@functools.lru_cache(1 << 16)
+def _signs(token: str) -> int:
+    """The first 64 bits of a token's MD5; a worker keeps those of its last tokens."""
+    return int.from_bytes(hashlib.md5(token.encode()).digest()[:8], "big")
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _codes(joined: pa.Array) -> pa.Array:
+    """The distinct codes, in order, of tokens joined by spaces. A batch's tokens are hashed once, however often they stand."""
+    words = pc.split_pattern(pc.if_else(pc.equal(joined, ""), None, joined), " ")
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    held = coded.dictionary.to_pylist()
+    whole, none = np.array([_signs(t) for t in held], np.uint64), _signs("")
+    stem = {t: _signs(t) for t in {t[:4] for t in held}}
+    own = whole >> 32 << 28 | np.array([stem[t[:4]] for t in held], np.uint64) >> 20 << 52 >> 36
+    at, row = coded.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    before, after = (np.full(len(at), none >> shift & 0xFF, np.uint64) for shift in (12, 4))
+    beside = row[1:] == row[:-1]
+    before[1:][beside] = (whole >> 12 & 0xFF)[at[:-1]][beside]
+    after[:-1][beside] = (whole >> 4 & 0xFF)[at[1:]][beside]
+    code = (own[at] | before << 8 | after).astype(np.int64)
+    order = np.lexsort((code, row))
+    code, row = code[order], row[order]
+    first = np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))[: len(code)]
+    ends = np.append(0, np.cumsum(np.bincount(row[first], minlength=len(sizes))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(code[first]))
+
+
 def coded(rows: DataFrame, column: str) -> DataFrame:
     """rows with codes: the distinct codes of the text column's tokens, in order; a null text has none."""
-    part = lambda t, start, n: F.substring(F.md5(t.cast("binary")), start, n)
-    side = lambda c, i, start: F.coalesce(F.get(c, i)[f"s{start}"], part(F.lit(""), start, 2))
-    hashed = F.transform(tokens(F.coalesce(column, F.lit("")), True), lambda t: F.struct(part(t, 1, 8).alias("own"), part(F.substring(t, 1, 4), 9, 3).alias("stem"), part(t, 12, 2).alias("s12"), part(t, 14, 2).alias("s14")))
-    # an array of one element binds the hashes to a name, so they are made once
-    codes = F.transform(F.array(hashed), lambda h: F.transform(h, lambda x, i: F.conv(F.concat(x["own"], x["stem"], side(h, i - 1, 12), side(h, i + 1, 14)), 16, 10).cast("long")))
-    return rows.withColumn("codes", F.array_sort(F.array_distinct(F.flatten(codes))))
+    small_batches(rows.sparkSession)
+    return rows.withColumn("codes", _codes(terms_joined(F.coalesce(column, F.lit("")))))
 
 
 def write(chunks: DataFrame, root: str, encode: Callable[[DataFrame, str], DataFrame] = coded) -> None:
-    """Writes a new version of the codes of chunks (id, content) below root, by id, with the range of ids of each file."""
-    texts = chunks.where("id IS NOT NULL").select("id", "content").repartitionByRange("id").sortWithinPartitions("id")  # texts, as codes don't compress
-    segments.replace(encode(texts, "content").select("id", "codes"), root, "codes", "id", PAGES)
+    """Writes a new version of the codes of chunks (id, content) below root, each file by id, with the range of ids of each file. Nothing is exchanged."""
+    rows = encode(chunks.where("id IS NOT NULL").select("id", "content"), "content").select("id", "codes")
+    segments.replace(rows.sortWithinPartitions("id"), root, "codes", "id", PAGES)
     files = segments.read(chunks.sparkSession, root, "codes").groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     segments.replace(files, root, "codes_files")
 
@@ -50,7 +83,7 @@ def codes_of(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
     if len(named) > NAMED_IDS:
         return table.join(ids.select("id").distinct(), "id", "left_semi")
     wanted = F.array(*[F.lit(x) for x in named])
-    files = segments.read(spark, root, "codes_files").where(F.exists(wanted, lambda x: x.between(F.col("lo"), F.col("hi")))).collect()  # at most a file for each id
+    files = segments.read(spark, root, "codes_files").where(F.exists(wanted, lambda x: x.between(F.col("lo"), F.col("hi")))).collect()  # files, not rows
     if not files:
         return table.limit(0)
     some = F.lit(False)
@@ -70,7 +103,10 @@ def rerank(items: DataFrame, root: str, encode: Callable[[DataFrame, str], DataF
 
     Chunks without stored codes, without tokens, and queries without tokens have 0. Only the candidates' codes are read.
     """
-    queries = encode(items.select("query_id", "query").distinct(), "query").select("query_id", F.col("codes").alias("_asked"))
-    held = codes_of(items.sparkSession, root, items).select("id", F.col("codes").alias("_held"))
+    named = items.select("query_id", "query", "id")
+    few = named.limit(NAMED_IDS + 1).toArrow()  # without texts; made once for the queries and the ids
+    batch = items.sparkSession.createDataFrame(few, named.schema) if few.num_rows <= NAMED_IDS else named
+    queries = encode(batch.select("query_id", "query").distinct(), "query").select("query_id", F.col("codes").alias("_asked"))
+    held = codes_of(items.sparkSession, root, batch).select("id", F.col("codes").alias("_held"))
     scored = items.join(held, "id", "left").join(queries, "query_id", "left").withColumn("late", similarity(F.col("_asked"), F.col("_held"))).drop("_asked", "_held")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("late"), "place", "id")))

@@ -8,7 +8,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from loregrid.operators import late
+from loregrid.operators import gram_index, graph, late
 from loregrid.plans import ingest_run
 from loregrid.queries import _asked, _chunks
 
@@ -55,6 +55,31 @@ def test_codes_of_named_chunks_alone(spark, tmp_path, monkeypatch, named):
     assert ("Join" in plan) == (named == 5) and ("In(id" in plan) == (named > 5)
 
 
+def test_codes_and_searches_exchange_no_texts(spark, sf_dir, tmp_path):
+    """What is exchanged is figures of files and a batch's candidates, not the texts: neither when codes are written nor when nodes are searched."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def exchanged():
+        stages = store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    c = _chunks(spark, sf_dir)
+    size = c.agg(F.sum(F.length("content"))).first()[0]
+    gram_index.write(graph.nodes(c), str(tmp_path))
+    before = exchanged()
+    late.write(c, str(tmp_path))
+    assert exchanged() - before < size / 50
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = exchanged()
+        gram_index.substring(spark, str(tmp_path), _asked(spark)).collect()
+        assert exchanged() - before < size / 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_no_codes(spark, tmp_path):
     late.write(spark.createDataFrame([], "id string, content string"), str(tmp_path))
     items = spark.createDataFrame([("q", "a", "c", 1)], "query_id string, query string, id string, place int")
