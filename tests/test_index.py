@@ -137,6 +137,19 @@ def test_scans_skip_what_a_condition_on_tiles_leaves_out(spark, large_index):
     assert len(got) == 5 and len(tiles) > 100 and read() - before < len(tiles) / 3
 
 
+def test_ids_stand_once_in_the_ranking_index(spark, sf_dir, tmp_path):
+    """A posting is a number, of which the tile's row gives the id and length; it was an id, a length and a frequency."""
+    c = _chunks(spark, sf_dir).repartition(3).localCheckpoint()
+    fts_index.write_ranking(c, str(tmp_path))
+    tiles, blocks = (segments.read(spark, str(tmp_path), n) for n in ("tiles", "blocks"))
+    assert dict(blocks.dtypes)["hits"] == "array<bigint>"
+    assert sorted(r.id for r in tiles.select(F.explode("ids").alias("id")).collect()) == sorted(r.id for r in c.collect())
+    held = {r.tile: list(zip(r.ids, r.dl)) for r in tiles.collect()}
+    got = {(r.term, held[r.tile][h & 63][0]): h >> 6 for r in blocks.collect() for h in r.hits}
+    want = fts.postings(c, fts_index.COLUMNS).groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+    assert got == {(r.term, r.doc_id): r.tf for r in want.collect()}
+
+
 def test_indexes_are_written_without_an_exchange(spark, tmp_path):
     """A task writes the tiles of its own chunks: what is exchanged is figures and common terms, here 1.0 MB for 0.5 MB of text where it was 7.2, and not the postings; terms and trigrams of several runs and files are found."""
     from loregrid.operators import fts_index as index
