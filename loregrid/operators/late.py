@@ -103,9 +103,10 @@ def rerank(items: DataFrame, root: str, encode: Callable[[DataFrame, str], DataF
 
     Chunks without stored codes, without tokens, and queries without tokens have 0. Only the candidates' codes are read.
     """
-    named = items.select("query_id", "query", "id")
+    named = items.select("query_id", "query", "id", "place")
     few = named.limit(NAMED_IDS + 1).toArrow()  # without texts; made once for the queries and the ids
     batch = items.sparkSession.createDataFrame(few, named.schema) if few.num_rows <= NAMED_IDS else named
+    items = batch if set(items.columns) == set(named.columns) else items  # what has nothing else isn't made again
     queries = encode(batch.select("query_id", "query").distinct(), "query").select("query_id", F.col("codes").alias("_asked"))
     held = codes_of(items.sparkSession, root, batch).select("id", F.col("codes").alias("_held"))
     scored = items.join(held, "id", "left").join(queries, "query_id", "left").withColumn("late", similarity(F.col("_asked"), F.col("_held"))).drop("_asked", "_held")

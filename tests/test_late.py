@@ -80,6 +80,15 @@ def test_codes_and_searches_exchange_no_texts(spark, sf_dir, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_candidates_are_made_once(spark, tmp_path):
+    """A batch's candidates are what the legs found: to make them again is to search again."""
+    late.write(spark.createDataFrame([("1", "alpha"), ("2", "beta")], "id string, content string"), str(tmp_path))
+    items = spark.range(1, 4).select(F.lit("q").alias("query_id"), F.lit("beta").alias("query"), F.col("id").cast("string").alias("id"), F.col("id").cast("int").alias("place"))
+    got = late.rerank(items, str(tmp_path))
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [x.id for x in got.orderBy("place").collect()][0] == "2" and got.count() == 3
+
+
 def test_no_codes(spark, tmp_path):
     late.write(spark.createDataFrame([], "id string, content string"), str(tmp_path))
     items = spark.createDataFrame([("q", "a", "c", 1)], "query_id string, query string, id string, place int")
