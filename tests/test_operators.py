@@ -274,6 +274,78 @@ def test_dedup_near_compares_all_rows(spark, sf_dir):
     assert sorted(values(queries.QUERIES["dedup_near"](spark, sf_dir), "id")) == sorted(want)
 
 
+def _prose(r, vocabulary, n):
+    text = ""
+    while len(text) < n:
+        text += r.choice(vocabulary) + r.choice([" "] * 30 + [", ", ". ", "; ", " 7 "])
+    return text[:n]
+
+
+def _edited(r, text, part):
+    """text with that part of its characters changed: dealt evenly, in one place, left out at the end, or a letter mostly left out."""
+    t, kind, k = list(text), r.randrange(4), max(2, int(1 / part))
+    if kind == 0:
+        for i in range(r.randrange(k), len(t), k):
+            t[i] = r.choice(["", "#", "e"])
+    elif kind == 1:
+        i = r.randrange(len(t))
+        t[i : i + len(t) // k] = [r.choice("aeio ,") for _ in range(len(t) // k)]
+    elif kind == 2:
+        t = t[: len(t) - len(t) // k]
+    else:
+        letter = r.choice(t)
+        t = [c for c in t if c != letter or r.random() < 0.3]
+    return "".join(t)
+
+
+def test_dedup_near_many_texts_of_a_query(spark):
+    """Texts of the same words and lengths, which bounds on counts and short runs don't tell apart: not all pairs are compared."""
+    import difflib
+    import random
+    import time
+
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("etaoinshrdlu" * 6 + "cmfpgwybvkxjqz") for _ in range(r.randint(3, 9))) for _ in range(60)]
+    texts = [_prose(r, vocabulary, 600) for _ in range(1400)]
+    copies = [(t, _edited(r, t, r.choice([0.01, 0.04, 0.08]))) for t in r.sample(texts, 100)]
+    want = len(texts) + sum(difflib.SequenceMatcher(None, *c).ratio() < 0.92 for c in copies)
+    assert 1400 < want < 1480
+    rows = [("q", str(i), t, None if i % 3 == 0 else float("nan"), i) for i, t in enumerate(texts + [c for _, c in copies])]
+    rows += [("q", "same", texts[5].upper(), -1.0, 1), ("q", "same", texts[5].upper(), -1.0, 1), ("q", "none", "", -1.0, 1), ("q", "none", None, -1.0, 1)]
+    made = spark.createDataFrame(rows, "query_id string, id string, content string, score double, ord long")
+    start = time.time()
+    got = values(prompt.dedup_near(made), "id")
+    assert "same" not in got and got.count("none") == 2 and len(got) == want + 2 and {str(i) for i in range(1400)} <= set(got)
+    assert time.time() - start < 120
+
+
+def test_near_texts_are_linked():
+    """Every two near texts by themselves, with and without characters that difflib leaves out as frequent; and the ratio is settled as difflib does."""
+    import difflib
+    import random
+
+    import numpy as np
+
+    from loregrid.operators import near_copies
+
+    r, near, far = random.Random(4), 0, 0
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "aab", "e" * 40 + "taoin" * 8 + "qxz😀"):
+        vocabulary = ["".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(40)]
+        for _ in range(250):
+            a = _prose(r, vocabulary, r.choice([60, 199, 200, 260, 500]))
+            b = _edited(r, a, r.choice([0.02, 0.06, 0.1])) or "x"
+            ratio = difflib.SequenceMatcher(None, a, b).ratio()
+            assert near_copies.reaches(a, b, 0.92) == (ratio >= 0.92) and near_copies.reaches(a, b, ratio) and not near_copies.reaches(a, b, ratio + 1e-9)
+            linked = near_copies.linked([a, b], np.array([False, True]), 0.92) == [(0, 1)]
+            assert a == b or linked or ratio < 0.92
+            near, far = near + (ratio >= 0.92), far + (ratio < 0.92)
+    assert near > 150 and far > 150
+    texts = [_prose(r, vocabulary, 400) for _ in range(60)]
+    assert near_copies.linked(texts, np.zeros(60, bool), 0.92) == []
+    met = sum(len(a) for a, _, _ in near_copies._Anchored([near_copies.codes(_prose(r, [str(n) + w for n in range(99) for w in vocabulary], 900)) for _ in range(60)], 0.92).meetings())
+    assert met < 60 * 59 / 2 / 4
+
+
 def test_common_subsequences_bound_what_matches():
     """Beside the plain table: what is ruled out never has a sequence of that length, and the whole length is found exactly where the bound is not needed early."""
     import random
