@@ -53,11 +53,11 @@ def may_share(a: str, at: dict[str, int], size: int, least: int) -> bool:
     return True
 
 
-def reaches(a: str, b: str, ratio: float) -> bool:
-    """Whether difflib's ratio of a and b is that high; its blocks are found from large gaps to small ones, only until that is settled."""
-    blocks, total = difflib.SequenceMatcher(None, a, b), len(a) + len(b)
-    matched, most = 0, min(len(a), len(b))
-    gaps = [(-most, 0, len(a), 0, len(b))]
+def reaches(blocks: difflib.SequenceMatcher, ratio: float) -> bool:
+    """Whether blocks.ratio() is that high; the blocks are found from large gaps to small ones, only until that is settled."""
+    total = len(blocks.a) + len(blocks.b)
+    matched, most = 0, min(len(blocks.a), len(blocks.b))
+    gaps = [(-most, 0, len(blocks.a), 0, len(blocks.b))]
     while 2.0 * matched / total < ratio <= 2.0 * most / total and gaps:
         room, a_from, a_to, b_from, b_to = heapq.heappop(gaps)
         i, j, n = blocks.find_longest_match(a_from, a_to, b_from, b_to)

@@ -334,8 +334,9 @@ def test_near_texts_are_linked():
         for _ in range(250):
             a = _prose(r, vocabulary, r.choice([60, 199, 200, 260, 500]))
             b = _edited(r, a, r.choice([0.02, 0.06, 0.1])) or "x"
-            ratio = difflib.SequenceMatcher(None, a, b).ratio()
-            assert near_copies.reaches(a, b, 0.92) == (ratio >= 0.92) and near_copies.reaches(a, b, ratio) and not near_copies.reaches(a, b, ratio + 1e-9)
+            blocks = difflib.SequenceMatcher(None, a, b)
+            ratio = blocks.ratio()
+            assert near_copies.reaches(blocks, 0.92) == (ratio >= 0.92) and near_copies.reaches(blocks, ratio) and not near_copies.reaches(blocks, ratio + 1e-9)
             linked = near_copies.linked([a, b], np.array([False, True]), 0.92) == [(0, 1)]
             assert a == b or linked or ratio < 0.92
             near, far = near + (ratio >= 0.92), far + (ratio < 0.92)
